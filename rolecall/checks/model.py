@@ -115,7 +115,12 @@ SELECT CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS BIGINT) AS id,
        CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS INT) AS jobs_extracted_count,
        CAST(max(ts) AS TIMESTAMP) AS last_heartbeat_at
 FROM $events
-GROUP BY CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS BIGINT)"""
+GROUP BY CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS BIGINT)
+UNION ALL
+SELECT CAST(20230001 + r_regionkey AS BIGINT), TIMESTAMP '2023-12-01 00:00:00' + INTERVAL '1' DAY * r_regionkey,
+       NULL, 'RUNNING', CAST(NULL AS STRING), 0, 0, 0, 0,
+       CASE WHEN r_regionkey = 3 THEN NULL ELSE TIMESTAMP '2023-12-02 00:00:00' END
+FROM $region"""
 
 VIEWS["crawl_run_company_results"] = """
 SELECT event_id AS id,

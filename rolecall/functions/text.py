@@ -46,7 +46,7 @@ def case_first(rules, default=None) -> Column:
 
 def like_contains(c: Column, needle: str) -> Column:
     """Case-insensitive LIKE '%needle%'; % and _ in the needle stay wildcards."""
-    return F.lower(c).like(F.lit("%" + needle.lower() + "%"))
+    return F.lower(c).like("%" + needle.lower() + "%")
 
 
 def unescape_html(c: Column) -> Column:
