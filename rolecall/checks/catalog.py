@@ -4,3 +4,4 @@ from rolecall.checks.registry import BUILDERS, ORACLES, run  # noqa: F401
 from rolecall.checks import lookups  # noqa: F401
 from rolecall.checks import listings  # noqa: F401
 from rolecall.checks import state_of_tables  # noqa: F401
+from rolecall.checks import cleaning  # noqa: F401

@@ -386,6 +386,36 @@ SELECT doc_id AS id, doc_id % 150 AS company_id, source AS org_name, lang AS loc
        text AS description_text, text AS description_plain
 FROM $documents"""
 
+VIEWS["raw_urls"] = """
+SELECT page_id AS pos, regexp_extract(url, '^https?://([^/?#]+)', 1) AS source,
+       CASE page_id % 12
+            WHEN 0 THEN replace(replace(url, 'http://', 'HTTP://'), 'https://', 'HTTPS://')
+            WHEN 1 THEN concat(' ', replace(replace(url, 'http://', ''), 'https://', ''), ' ')
+            WHEN 2 THEN replace(replace(url, '.example', '.Example'), '/en/', '//en//jobs/')
+            WHEN 3 THEN replace(replace(url, 'https://', 'https://u:p@'), '/en/', ':443/en/')
+            WHEN 4 THEN replace(replace(url, '/en/', ':8080/careers/a%20b/'), '/fr/', ':80/fr/')
+            WHEN 5 THEN concat('https://x.example.com/p?b=2&gclid=9&A=%41%20z&a=1&utm_x=1&c&a=0#f', CAST(page_id % 3 AS STRING))
+            WHEN 6 THEN concat('https://bad host.example.com/', CAST(page_id AS STRING))
+            WHEN 7 THEN concat('https://boards.greenhouse.io/acme', CAST(page_id % 5 AS STRING), '/jobs/', CAST(page_id AS STRING), '?gh_src=abc&x=1')
+            WHEN 8 THEN concat('https://t', CAST(page_id AS STRING), '.wd5.myworkdayjobs.com/en-US/ext/job/', CAST(page_id AS STRING), '/')
+            WHEN 9 THEN concat('//cdn.example.com/logo', CAST(page_id AS STRING), '.png')
+            WHEN 10 THEN concat('https://www.example.net/find?q=career+', CAST(page_id % 4 AS STRING), '&source=mail&keep=1')
+            ELSE url END AS url
+FROM $pages"""
+
+VIEWS["failure_keys"] = """
+SELECT event_id AS id,
+       CASE event_type WHEN 'error' THEN CASE WHEN value < 20 THEN 404 WHEN value < 30 THEN 401 WHEN value < 40 THEN 408
+            WHEN value < 50 THEN 429 WHEN value < 80 THEN 502 WHEN value < 90 THEN 0 END ELSE 200 END AS http_status,
+       CASE event_id % 5 WHEN 0 THEN 'IO_ERROR' WHEN 1 THEN 'read_Timeout' WHEN 2 THEN ' ' WHEN 3 THEN 'other' END AS error_code,
+       CASE event_id % 4 WHEN 0 THEN 'java.net.UnknownHostException' WHEN 1 THEN 'SSL handshake' WHEN 2 THEN 'reset' END AS error_message,
+       CASE event_id % 16 WHEN 0 THEN 'homepage_blocked_by_robots' WHEN 1 THEN 'Host_Cooldown' WHEN 2 THEN 'no_sitemaps'
+            WHEN 3 THEN 'sitemap_fetch_failed' WHEN 4 THEN 'no_jobposting_structured_data' WHEN 5 THEN 'json_parse_error'
+            WHEN 6 THEN 'time_budget_exceeded' WHEN 7 THEN 'sitemap_http_503' WHEN 8 THEN 'http_404_then_http_429'
+            WHEN 9 THEN 'http_' WHEN 10 THEN '' WHEN 11 THEN 'HTTP_418' WHEN 12 THEN 'gzip_decode_error'
+            WHEN 13 THEN 'dns failure' WHEN 14 THEN 'TLS alert' END AS error_key
+FROM $events"""
+
 _REF = re.compile(r"\$(\w+)")
 
 
@@ -404,14 +434,8 @@ class Model:
         self.spark.read.schema(BASE[name]).parquet(path).createOrReplaceTempView(view)
         return view
 
-    def expand(self, text: str) -> str:
-        def one(match):
-            name = match.group(1)
-            return self._given(name) if name in BASE else f"({self.expand(VIEWS[name])}) {name}"
-        return _REF.sub(one, text)
-
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(self.expand(text))
+        return self.spark.sql(compose(text, self._given))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
@@ -421,22 +445,33 @@ class Model:
         raise AttributeError(name)
 
 
-def oracle_text(body: str) -> str:
-    """DuckDB text: the views a body names as ``$view`` become CTEs in front of it."""
+def compose(body: str, base_name) -> str:
+    """SQL text with the views a body names as ``$view`` put in front of it as CTEs."""
     order: list[str] = []
+    named: dict[str, str] = {}
 
     def visit(text):
         for name in _REF.findall(text):
-            if name in VIEWS and name not in order:
+            if name in BASE:
+                named.setdefault(name, base_name(name))
+            elif name in VIEWS and name not in order:
                 visit(VIEWS[name])
                 order.append(name)
 
+    def plain(text):
+        return _REF.sub(lambda m: named.get(m.group(1), m.group(1)), text).strip()
+
     visit(body)
-    plain = lambda text: _REF.sub(lambda m: m.group(1), text).strip()
     ctes = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
     body = plain(body)
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes}, {body[5:]}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(word):
+            return f"{word}{ctes}, {body[len(word):]}"
     return f"WITH {ctes} {body}"
+
+
+def oracle_text(body: str) -> str:
+    """DuckDB text, where the given tables go by their own names."""
+    return compose(body, lambda name: name)

@@ -33,10 +33,7 @@ def from_error(code: Column, message: Column) -> Column:
 
 def embedded_status(key: Column) -> Column:
     """Number right after the last ``http_``; null when none follows."""
-    tail = F.when(
-        F.lower(key).contains("http_"), F.substring_index(F.lower(key), "http_", -1)
-    )
-    return F.regexp_extract(tail, r"^(\d+)", 1).try_cast("int")
+    return F.regexp_extract(F.lower(key), r"^.*http_(\d+)(?!.*http_)", 1).try_cast("int")
 
 
 def from_key(key: Column) -> Column:

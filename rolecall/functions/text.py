@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Keeps long expressions linear in size: a plain reference would be copied into
+    every place it is used, and copied again by each step that uses the result.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip_controls(c: Column) -> Column:
     """Trim every leading and trailing character up to U+0020, not only spaces."""
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
@@ -21,7 +30,13 @@ def blank_to_null(c: Column) -> Column:
 
 
 def first_non_blank(*cols: Column) -> Column:
-    return F.coalesce(*[F.when(~is_blank(c), strip_controls(c)) for c in cols])
+    return F.coalesce(*[strip_controls(blank_to_null(c)) for c in cols])
+
+
+def texts(*cols: Column) -> Column:
+    """Array of the trimmed non-blank texts, in order."""
+    trimmed = F.array(*[strip_controls(c) for c in cols])
+    return F.filter(trimmed, lambda x: ~is_blank(x))
 
 
 def contains_any(c: Column, words) -> Column:
@@ -50,37 +65,39 @@ def like_contains(c: Column, needle: str) -> Column:
 
 
 def unescape_html(c: Column) -> Column:
-    """Decode the named entities of the markup subset, then numeric ones by number."""
-    numeric = F.regexp_extract_all(c, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1))
-    decoded = F.aggregate(
-        F.array_distinct(numeric),
-        c,
-        lambda acc, ref: F.replace(acc, ref, _code_point(ref)),
+    """Decode numeric entities by number and the listed named ones."""
+    refs = F.regexp_extract_all(
+        c, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)
+    )
+    out = F.aggregate(
+        F.array_distinct(refs), c, lambda acc, ref: F.replace(acc, ref, _code_point(ref))
     )
-    out = F.when(c.contains("&#"), decoded).otherwise(c)
     for name, char in NAMED_ENTITIES:
         out = F.replace(out, F.lit("&" + name + ";"), F.lit(char))
-    return F.when(c.contains("&"), out).otherwise(c)
+    return out
 
 
 def _code_point(ref: Column) -> Column:
-    is_hex = F.lower(ref).startswith("&#x")
     digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-    number = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
-    utf8 = (
-        F.when(number < 0x80, F.hex(number))
-        .when(number < 0x800, F.hex(F.lit(0xC080) + F.shiftright(number, 6) * 256
-                                    + (number.bitwiseAND(0x3F))))
-        .when(number < 0x10000, F.hex(F.lit(0xE08080) + F.shiftright(number, 12) * 65536
-                                      + F.shiftright(number, 6).bitwiseAND(0x3F) * 256
-                                      + number.bitwiseAND(0x3F)))
-        .otherwise(F.hex(F.lit(0xF0808080) + F.shiftright(number, 18) * 16777216
-                         + F.shiftright(number, 12).bitwiseAND(0x3F) * 65536
-                         + F.shiftright(number, 6).bitwiseAND(0x3F) * 256
-                         + number.bitwiseAND(0x3F)))
+    number = F.when(
+        F.lower(ref).startswith("&#x"), F.conv(digits, 16, 10)
+    ).otherwise(digits).cast("bigint")
+    return let(number, lambda n: F.when(
+        (n > 0) & (n < 0x110000), F.decode(F.unhex(F.hex(_utf8(n))), "UTF-8")
+    ).otherwise(ref))
+
+
+def _utf8(n: Column) -> Column:
+    """Bytes of a code point as one number."""
+    low = n.bitwiseAND(0x3F)
+    mid = F.shiftright(n, 6).bitwiseAND(0x3F) * 256
+    high = F.shiftright(n, 12).bitwiseAND(0x3F) * 65536
+    return (
+        F.when(n < 0x80, n)
+        .when(n < 0x800, F.lit(0xC080) + F.shiftright(n, 6) * 256 + low)
+        .when(n < 0x10000, F.lit(0xE08080) + F.shiftright(n, 12) * 65536 + mid + low)
+        .otherwise(F.lit(0xF0808080) + F.shiftright(n, 18) * 16777216 + high + mid + low)
     )
-    text = F.decode(F.unhex(utf8), "UTF-8")
-    return F.when((number > 0) & (number < 0x110000), text).otherwise(ref)
 
 
 # fixed values: named entities, decoded in this order with the ampersand last
@@ -102,5 +119,5 @@ def html_to_text(c: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """Strict yyyy-MM-dd from the first ten characters, null when it is no date."""
-    head = F.substring(strip_controls(c), 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd"))
+    head = F.regexp_extract(F.substring(strip_controls(c), 1, 10), r"^(\d{4}-\d{2}-\d{2})$", 1)
+    return F.try_to_date(head, "yyyy-MM-dd")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolecall.functions import fixed_values as V
-from rolecall.functions.text import contains_any, is_blank, strip_controls
+from rolecall.functions.text import blank_to_null, contains_any, is_blank, let, strip_controls
 
 
 def part(url: Column, name: str) -> Column:
@@ -17,22 +17,41 @@ def part(url: Column, name: str) -> Column:
 
 def with_scheme(c: Column) -> Column:
     """Trimmed text with https:// put in front when it has no http(s) scheme."""
-    t = strip_controls(c)
-    return F.when(t.rlike(r"(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
+    return F.regexp_replace(strip_controls(c), r"(?i)^(?!https?://)", "https://")
+
+
+def with_lower_scheme(c: Column) -> Column:
+    """As above, but only a lower-case scheme counts as one."""
+    return F.regexp_replace(strip_controls(c), r"^(?!https?://)", "https://")
 
 
 def host_of(url: Column) -> Column:
     return F.lower(part(url, "HOST"))
 
 
+def decode(raw: Column) -> Column:
+    """Percent-decoded text; '+' stays '+'."""
+    return let(F.coalesce(raw, F.lit("")), lambda r: F.coalesce(
+        F.try_url_decode(F.replace(r, F.lit("+"), F.lit("%2B"))), r))
+
+
 def decoded_path(url: Column) -> Column:
-    """Percent-decoded path; '+' stays '+'."""
-    raw = F.coalesce(part(url, "PATH"), F.lit(""))
-    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    return decode(part(url, "PATH"))
 
 
-def url_encode(c: Column) -> Column:
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+def drop_end(c: Column, count: int = 1) -> Column:
+    return c.substr(F.lit(1), F.length(c) - count)
+
+
+def parts_of(url: Column) -> Column:
+    """Scheme, lower-cased host, authority, decoded path and raw query of a URL."""
+    return let(url, lambda u: F.struct(
+        F.lower(part(u, "PROTOCOL")).alias("scheme"),
+        host_of(u).alias("host"),
+        part(u, "AUTHORITY").alias("authority"),
+        decoded_path(u).alias("path"),
+        part(u, "QUERY").alias("query"),
+    ))
 
 
 def canonical_url(c: Column) -> Column:
@@ -41,27 +60,25 @@ def canonical_url(c: Column) -> Column:
     Lower-cases scheme and host, drops default port, user info, fragment and
     tracking parameters, collapses slashes, and sorts the query by key then value.
     """
-    url = with_scheme(c)
-    scheme = F.lower(part(url, "PROTOCOL"))
-    port = F.regexp_extract(part(url, "AUTHORITY"), r":(\d+)$", 1).try_cast("int")
-    default_port = F.when(scheme == "http", 80).otherwise(443)
-    port_text = F.when((port > 0) & (port != default_port), F.concat(F.lit(":"), port)).otherwise("")
-
-    slashed = F.regexp_replace(decoded_path(url), "/{2,}", "/")
-    trimmed = F.when(
-        (F.length(slashed) > 1) & slashed.endswith("/"), F.expr("NULL")
-    ).otherwise(slashed)
-    path = F.when(is_blank(slashed), F.lit("/")).otherwise(
-        F.coalesce(trimmed, slashed.substr(F.lit(1), F.length(slashed) - 1))
-    )
+    return F.when(~is_blank(c), let(parts_of(with_scheme(c)), _canonical))
+
+
+def _canonical(u: Column) -> Column:
+    port = F.regexp_extract(u["authority"], r":0*([1-9]\d*)$", 1)
+    default = F.when(u["scheme"] == "http", "80").otherwise("443")
+    port_text = F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise("")
+    query = canonical_query(u["query"])
+    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
+    return F.concat(u["scheme"], F.lit("://"), u["host"], port_text, _one_slash(u["path"]), tail)
 
-    query = canonical_query(part(url, "QUERY"))
-    tail = F.when(F.length(query) > 0, F.concat(F.lit("?"), query)).otherwise("")
-    out = F.concat(scheme, F.lit("://"), host_of(url), port_text, path, tail)
-    return F.when(~is_blank(c), out)
+
+def _one_slash(path: Column) -> Column:
+    collapsed = F.regexp_replace(path, "/{2,}", "/")
+    return F.coalesce(blank_to_null(F.regexp_replace(collapsed, "(?<=.)/$", "")), F.lit("/"))
 
 
 def canonical_query(raw: Column) -> Column:
+    """Kept pairs sorted by key, then value, and encoded again; empty text for none."""
     pairs = F.filter(F.split(F.coalesce(raw, F.lit("")), "&"), lambda p: ~is_blank(p))
     decoded = F.transform(
         pairs,
@@ -73,10 +90,14 @@ def canonical_query(raw: Column) -> Column:
         ),
     )
     kept = F.filter(decoded, lambda p: ~is_tracking_key(p["k"]))
-    text = F.transform(
+    pair_texts = F.transform(
         F.array_sort(kept), lambda p: F.concat(url_encode(p["k"]), F.lit("="), url_encode(p["v"]))
     )
-    return F.array_join(text, "&")
+    return F.when(raw.isNull(), F.lit("")).otherwise(F.array_join(pair_texts, "&"))
+
+
+def url_encode(c: Column) -> Column:
+    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
 
 
 def is_tracking_key(key: Column) -> Column:
@@ -85,21 +106,18 @@ def is_tracking_key(key: Column) -> Column:
 
 def candidate_url(c: Column) -> Column:
     """Careers-candidate form: other tracking list, query order kept, no trailing slash."""
-    t = strip_controls(c)
-    value = F.when(t.startswith("//"), F.concat(F.lit("https:"), t)).otherwise(t)
-    url = F.when(value.rlike("^https?://"), value).otherwise(F.concat(F.lit("https://"), value))
-    kept = F.filter(
-        F.split(F.coalesce(part(url, "QUERY"), F.lit("")), "&"),
+    value = F.regexp_replace(strip_controls(c), "^//", "https://")
+    return F.when(~is_blank(c), let(parts_of(with_lower_scheme(value)), _candidate))
+
+
+def _candidate(u: Column) -> Column:
+    kept = F.array_join(F.filter(
+        F.split(F.coalesce(u["query"], F.lit("")), "&"),
         lambda p: ~is_blank(p) & ~_candidate_tracking(F.lower(F.substring_index(p, "=", 1))),
-    )
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    scheme = F.lower(part(url, "PROTOCOL"))
-    full = F.concat(scheme, F.lit("://"), host_of(url), decoded_path(url), tail)
-    cut = F.when(
-        full.endswith("/") & (F.length(full) > F.length(scheme) + 5),
-        full.substr(F.lit(1), F.length(full) - 1),
-    ).otherwise(full)
-    return F.when(~is_blank(c), cut)
+    ), "&")
+    tail = F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")
+    full = F.concat(u["scheme"], F.lit("://"), u["host"], u["path"], tail)
+    return F.regexp_replace(full, "^([a-z]+://..+)/$", "$1")
 
 
 def _candidate_tracking(key: Column) -> Column:
@@ -108,18 +126,15 @@ def _candidate_tracking(key: Column) -> Column:
 
 def domain_host(c: Column) -> Column:
     """Host of a domain-like text: canonical host, else the text up to the first slash."""
-    low = F.lower(strip_controls(c))
-    bare = F.regexp_replace(low, "^https?://", "")
+    bare = F.regexp_replace(F.lower(strip_controls(c)), "^https?://", "")
     fallback = F.substring_index(bare, "/", 1)
-    host = F.coalesce(host_of(canonical_url(c)), fallback)
-    return F.when(~is_blank(c) & ~is_blank(host), host)
+    return blank_to_null(F.coalesce(host_of(canonical_url(c)), fallback))
 
 
 def registrable_host(c: Column) -> Column:
     """Lower-cased host without a leading www."""
-    t = strip_controls(c)
-    url = F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
-    return F.when(~is_blank(c), F.regexp_replace(host_of(url), r"^www\.", ""))
+    host = F.regexp_replace(host_of(with_lower_scheme(c)), r"^www\.", "")
+    return F.when(~is_blank(c), host)
 
 
 def is_vendor_landing_host(host: Column) -> Column:
@@ -128,46 +143,42 @@ def is_vendor_landing_host(host: Column) -> Column:
 
 def url_class(url: Column) -> Column:
     """ATS_LANDING, CANDIDATE_JOB or OTHER."""
-    host = host_of(url)
-    path = F.lower(decoded_path(url))
-    return (
-        F.when(host.isNull(), F.lit("OTHER"))
-        .when(is_vendor_landing_host(host), F.lit("ATS_LANDING"))
-        .when(contains_any(path, V.JOB_PATH_HINTS), F.lit("CANDIDATE_JOB"))
+    return let(parts_of(url), lambda u: (
+        F.when(u["host"].isNull(), F.lit("OTHER"))
+        .when(is_vendor_landing_host(u["host"]), F.lit("ATS_LANDING"))
+        .when(contains_any(F.lower(u["path"]), V.JOB_PATH_HINTS), F.lit("CANDIDATE_JOB"))
         .otherwise(F.lit("OTHER"))
-    )
+    ))
 
 
 def is_job_like(url: Column) -> Column:
     """Not an asset, and a vendor host or a path or query that hints at jobs."""
-    host = host_of(url)
-    path = F.lower(decoded_path(url))
-    full = F.concat(host, path)
-    asset = full.rlike("(" + "|".join(e.replace(".", r"\.") for e in V.ASSET_EXTENSIONS) + ")$")
-    raw_query = F.coalesce(part(url, "QUERY"), F.lit(""))
-    query = F.lower(F.coalesce(F.try_url_decode(raw_query), raw_query))
-    hinted = (
-        is_vendor_landing_host(host)
-        | contains_any(path, V.JOB_LIKE_PATH_HINTS)
-        | contains_any(query, ["job", "career"])
-    )
-    return F.coalesce(~asset & hinted, F.lit(False))
+    ending = "(" + "|".join(e.replace(".", r"\.") for e in V.ASSET_EXTENSIONS) + ")$"
+
+    def test(u):
+        full = F.lower(F.concat(u["host"], u["path"]))
+        hinted = (
+            is_vendor_landing_host(u["host"])
+            | contains_any(F.lower(u["path"]), V.JOB_LIKE_PATH_HINTS)
+            | contains_any(F.lower(decode(u["query"])), ["job", "career"])
+        )
+        return F.coalesce(~full.rlike(ending) & hinted, F.lit(False))
+
+    return let(parts_of(url), test)
 
 
 def posting_url(c: Column) -> Column:
     """Trimmed public posting URL, null when invalid or when it is a vendor API URL."""
-    t = strip_controls(c)
-    host = host_of(t)
-    path = F.lower(decoded_path(t))
-    api = (
-        host.contains("api.greenhouse.io")
-        | (host.contains("api.lever.co") & path.contains("/postings/"))
-        | (host.contains("myworkdayjobs.com")
-           & (path.contains("/wday/cxs/") | path.endswith("/jobs") | path.endswith("/jobs/")))
-    )
-    http = F.lower(part(t, "PROTOCOL")).isin("http", "https")
-    ok = ~is_blank(c) & ~F.lower(t).contains("invalid-url") & host.isNotNull() & http & ~api
-    return F.when(ok, t)
+    def public(u, text):
+        path = F.lower(u["path"])
+        api = (
+            u["host"].contains("api.greenhouse.io")
+            | (u["host"].contains("api.lever.co") & path.contains("/postings/"))
+            | (u["host"].contains("myworkdayjobs.com") & path.rlike("/wday/cxs/|/jobs/?$"))
+        )
+        return u["scheme"].isin("http", "https") & ~F.lower(text).contains("invalid-url") & ~api
+
+    return let(strip_controls(c), lambda t: F.when(let(parts_of(t), lambda u: public(u, t)), t))
 
 
 def is_invalid_posting_url(c: Column) -> Column:
@@ -185,36 +196,41 @@ def resolve_url(base: Column, ref: Column) -> Column:
     Absolute, scheme-relative, root-relative, query-only and path-relative
     references; dot segments are removed.
     """
-    ref = strip_controls(ref)
-    scheme = part(base, "PROTOCOL")
-    root = F.concat(scheme, F.lit("://"), part(base, "AUTHORITY"))
-    base_path = F.coalesce(part(base, "PATH"), F.lit(""))
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    merged = (
-        F.when(ref.startswith("/"), ref)
-        .when(ref.startswith("?"), F.concat(base_path, ref))
-        .otherwise(F.concat(folder, ref))
-    )
-    only_path = F.regexp_extract(merged, r"^([^?#]*)", 1)
-    rest = F.regexp_extract(merged, r"^[^?#]*(.*)$", 1)
-    clean = F.when(only_path.rlike(r"(^|/)\.\.?(/|$)"), _no_dots(only_path)).otherwise(only_path)
-    return (
-        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-        .when(root.isNotNull(), F.concat(root, clean, rest))
-    )
+    def relative(b, r):
+        folder = F.coalesce(
+            blank_to_null(F.regexp_extract(b["path"], r"^(.*/)", 1)), F.lit("/"))
+        merged = (
+            F.when(r.startswith("/"), r)
+            .when(r.startswith("?"), F.concat(b["path"], r))
+            .otherwise(F.concat(folder, r))
+        )
+        return F.concat(b["root"], let(merged, lambda m: F.concat(
+            _no_dots(F.regexp_extract(m, r"^([^?#]*)", 1)),
+            F.regexp_extract(m, r"^[^?#]*(.*)$", 1),
+        )))
+
+    page = let(base, lambda b: F.struct(
+        part(b, "PROTOCOL").alias("scheme"),
+        F.concat(part(b, "PROTOCOL"), F.lit("://"), part(b, "AUTHORITY")).alias("root"),
+        F.coalesce(part(b, "PATH"), F.lit("")).alias("path"),
+    ))
+    return let(F.struct(page.alias("page"), strip_controls(ref).alias("ref")), lambda x: (
+        F.when(x["ref"].rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), x["ref"])
+        .when(x["ref"].startswith("//"), F.concat(x["page"]["scheme"], F.lit(":"), x["ref"]))
+        .otherwise(relative(x["page"], x["ref"]))
+    ))
 
 
 def _no_dots(path: Column) -> Column:
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    """Path without . and .. segments."""
     kept = F.aggregate(
-        parts,
+        F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    ends = path.endswith("/") | path.rlike(r"/\.\.?$")
-    body = F.array_join(F.filter(kept, lambda s: s != ""), "/")
-    return F.concat(F.lit("/"), body, F.when(ends & (body != ""), F.lit("/")).otherwise(""))
+    tail = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise("")
+    return F.when(
+        path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), tail)
+    ).otherwise(path)

@@ -4,8 +4,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolecall.functions import fixed_values as V
-from rolecall.functions.text import case_first, contains_any, is_blank, strip_controls
-from rolecall.functions.urls import decoded_path, host_of, part, path_segments
+from rolecall.functions.text import (
+    blank_to_null, case_first, contains_any, is_blank, let, strip_controls,
+)
+from rolecall.functions.urls import host_of, parts_of, path_segments, with_lower_scheme
 
 
 def vendor_of_host(host: Column) -> Column:
@@ -16,20 +18,20 @@ def vendor_of_host(host: Column) -> Column:
 
 def vendor_of_url(url: Column) -> Column:
     host = F.coalesce(host_of(url), host_of(F.concat(F.lit("https://"), url)))
-    return F.when(host.isNull(), F.lit(V.UNKNOWN_VENDOR)).otherwise(vendor_of_host(host))
+    return let(host, lambda h: F.when(h.isNull(), F.lit(V.UNKNOWN_VENDOR)).otherwise(vendor_of_host(h)))
 
 
 def vendor_of_html(html: Column) -> Column:
-    low = F.lower(html)
-    return case_first(
+    return let(F.lower(html), lambda low: case_first(
         [(contains_any(low, words), name) for name, words in V.VENDOR_HTML_MARKERS],
         V.UNKNOWN_VENDOR,
-    )
+    ))
 
 
 def vendor_of_page(url: Column, html: Column) -> Column:
-    by_url = vendor_of_url(url)
-    return F.when(by_url != V.UNKNOWN_VENDOR, by_url).otherwise(vendor_of_html(html))
+    return let(vendor_of_url(url), lambda by_url: F.when(
+        by_url != V.UNKNOWN_VENDOR, by_url
+    ).otherwise(vendor_of_html(html)))
 
 
 def strip_punctuation(c: Column) -> Column:
@@ -38,59 +40,52 @@ def strip_punctuation(c: Column) -> Column:
 
 
 def clean_token(c: Column) -> Column:
-    out = strip_punctuation(c)
-    return F.when(~is_blank(out), out)
+    return blank_to_null(strip_punctuation(c))
 
 
 def endpoint_url(vendor: Column, raw: Column) -> Column:
     """Stored form of a vendor endpoint URL; unparsable text is kept trimmed."""
-    t = strip_controls(raw)
-    url = F.when(t.rlike("^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
-    host = host_of(url)
-    path = decoded_path(url)
-    seg = path_segments(path)
-
-    api = (vendor == "GREENHOUSE") & host.isin("api.greenhouse.io", "boards-api.greenhouse.io")
-    new_host = (
+    made = let(parts_of(with_lower_scheme(raw)), lambda u: _endpoint(vendor, u))
+    return F.when(~is_blank(raw) & vendor.isNotNull(), F.coalesce(made, strip_controls(raw)))
+
+
+def _endpoint(vendor: Column, u: Column) -> Column:
+    greenhouse = vendor == "GREENHOUSE"
+    api = greenhouse & u["host"].isin("api.greenhouse.io", "boards-api.greenhouse.io")
+    host = (
         F.when(api, F.lit("boards-api.greenhouse.io"))
-        .when((vendor == "GREENHOUSE") & (host == "job-boards.greenhouse.io"),
-              F.lit("boards.greenhouse.io"))
-        .otherwise(host)
+        .when(greenhouse & (u["host"] == "job-boards.greenhouse.io"), F.lit("boards.greenhouse.io"))
+        .otherwise(u["host"])
     )
-    new_path = (
-        F.when(vendor == "WORKDAY", strip_punctuation(path))
-        .when(vendor == "ICIMS", _icims_path(host, seg, 3))
-        .when(vendor == "TALEO", _taleo_path(path, seg))
+    query = F.when(api & ~is_blank(u["query"]), F.concat(F.lit("?"), u["query"])).otherwise("")
+    path = (
+        F.when(vendor == "WORKDAY", strip_punctuation(u["path"]))
+        .when(vendor == "ICIMS", icims_path(u["host"], u["path"], 3))
+        .when(vendor == "TALEO", taleo_path(u["path"]))
         .when(vendor == "SUCCESSFACTORS", F.lit("/career"))
-        .otherwise(path)
+        .otherwise(u["path"])
     )
-    query = part(url, "QUERY")
-    tail = F.when(api & ~is_blank(query), F.concat(F.lit("?"), query)).otherwise("")
-    full = F.concat(F.lit("https://"), new_host, new_path, tail)
-    cut = _cut_slash(full)
-    return F.when(~is_blank(raw) & vendor.isNotNull(), F.when(host.isNull(), t).otherwise(cut))
+    return cut_slash(F.concat(F.lit("https://"), host, path, query))
 
 
-def _cut_slash(full: Column) -> Column:
-    return F.when(
-        full.endswith("/") & (F.length(full) > len("https://x/")),
-        full.substr(F.lit(1), F.length(full) - 1),
-    ).otherwise(full)
+def cut_slash(full: Column) -> Column:
+    """Drop one trailing slash when more than a one-letter host stands before it."""
+    return F.regexp_replace(full, "^(https://..+)/$", "$1")
 
 
-def _icims_path(host: Column, seg: Column, least: int) -> Column:
-    named = (
-        (host == "careers.icims.com")
-        & (F.size(seg) >= least)
-        & (F.lower(F.get(seg, 0)) == "jobs")
-    )
-    return F.when(named, F.concat(F.lit("/jobs/"), F.get(seg, 1), F.lit("/jobs"))).otherwise(
-        "/jobs/search"
-    )
+def icims_path(host: Column, path: Column, least: int) -> Column:
+    """Account path on the shared host with enough segments, the search path otherwise."""
+    def shared(seg):
+        named = (F.size(seg) >= least) & (F.lower(F.get(seg, 0)) == "jobs")
+        return F.when(named, F.concat(F.lit("/jobs/"), F.get(seg, 1), F.lit("/jobs")))
+
+    account = F.when(host == "careers.icims.com", let(path_segments(path), shared))
+    return F.coalesce(account, F.lit("/jobs/search"))
+
 
+def taleo_path(path: Column) -> Column:
+    def section(seg):
+        named = (F.size(seg) >= 2) & (F.lower(F.get(seg, 0)) == "careersection")
+        return F.when(named, F.concat(F.lit("/careersection/"), F.get(seg, 1), F.lit("/jobsearch.ftl")))
 
-def _taleo_path(path: Column, seg: Column) -> Column:
-    named = (F.size(seg) >= 2) & (F.lower(F.get(seg, 0)) == "careersection")
-    return F.when(
-        named, F.concat(F.lit("/careersection/"), F.get(seg, 1), F.lit("/jobsearch.ftl"))
-    ).otherwise(path)
+    return F.coalesce(let(path_segments(path), section), path)

@@ -184,7 +184,7 @@ def posting_detail(postings, companies, endpoints, posting_id=None, ties="one")
 
 
 def run_delta_counts(postings: DataFrame, runs: DataFrame, from_run: int, to_run: int,
-                     company_id: int | None = None) -> DataFrame:
+                     company_id: int | None = None, as_of=None) -> DataFrame:
     """New, removed and updated postings of every company between two runs.
 
     New: attributed to the later run and first seen inside its window. Removed:
@@ -192,7 +192,7 @@ def run_delta_counts(postings: DataFrame, runs: DataFrame, from_run: int, to_run
     """
     rows = postings if company_id is None else postings.where(F.col("company_id") == company_id)
     rows = rows.where(F.col("crawl_run_id").isin(from_run, to_run))
-    window = _run_window(runs, to_run)
+    window = _run_window(runs, to_run, as_of)
     rows = rows.join(window, F.col("crawl_run_id") == F.col("_run"), "left")
     return rows.groupBy("company_id").agg(
         F.count_if(_is_new(to_run)).alias("new_count"),
@@ -201,10 +201,11 @@ def run_delta_counts(postings: DataFrame, runs: DataFrame, from_run: int, to_run
     )
 
 
-def _run_window(runs: DataFrame, run_id: int) -> DataFrame:
+def _run_window(runs: DataFrame, run_id: int, as_of) -> DataFrame:
+    """Start and end of a run; a run still going ends at ``as_of``."""
+    end = F.coalesce(F.col("finished_at"), F.lit(as_of).cast("timestamp"))
     return runs.where(F.col("id") == run_id).select(
-        F.col("id").alias("_run"), F.col("started_at").alias("_from"),
-        F.col("finished_at").alias("_to"),
+        F.col("id").alias("_run"), F.col("started_at").alias("_from"), end.alias("_to")
     )
 
 
@@ -222,13 +223,13 @@ DELTA = ["id", "company_id", "title", "location_text", "source_url", "first_seen
 
 
 def run_delta_postings(postings, runs, endpoints, from_run, to_run, company_id=None, limit=None,
-                       ties="one") -> DataFrame:
+                       ties="one", as_of=None) -> DataFrame:
     """The new and removed postings themselves, newest first within each kind.
 
     With a company the limit applies to each kind, as in the point report.
     """
     rows = postings if company_id is None else postings.where(F.col("company_id") == company_id)
-    new = rows.join(_run_window(runs, to_run), F.col("crawl_run_id") == F.col("_run"))
+    new = rows.join(_run_window(runs, to_run, as_of), F.col("crawl_run_id") == F.col("_run"))
     new = new.where(_is_new(to_run)).select(*DELTA)
     gone = rows.where(_is_removed(from_run)).select(*DELTA)
     new = take(new, [F.desc("first_seen_at"), F.desc("id")], limit) if limit else new
