@@ -5,3 +5,4 @@ from rolecall.checks import lookups  # noqa: F401
 from rolecall.checks import listings  # noqa: F401
 from rolecall.checks import state_of_tables  # noqa: F401
 from rolecall.checks import cleaning  # noqa: F401
+from rolecall.checks import merging  # noqa: F401
