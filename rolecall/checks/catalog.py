@@ -6,3 +6,5 @@ from rolecall.checks import listings  # noqa: F401
 from rolecall.checks import state_of_tables  # noqa: F401
 from rolecall.checks import cleaning  # noqa: F401
 from rolecall.checks import merging  # noqa: F401
+from rolecall.checks import state_folds  # noqa: F401
+from rolecall.checks import reports_of_runs  # noqa: F401
