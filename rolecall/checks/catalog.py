@@ -8,3 +8,4 @@ from rolecall.checks import cleaning  # noqa: F401
 from rolecall.checks import merging  # noqa: F401
 from rolecall.checks import state_folds  # noqa: F401
 from rolecall.checks import reports_of_runs  # noqa: F401
+from rolecall.checks import extraction  # noqa: F401

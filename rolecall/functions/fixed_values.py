@@ -184,3 +184,50 @@ GATE_MIN_URLS = 2000
 GATE_MIN_ATTEMPTS_PER_MINUTE = 10.0
 GATE_SUCCESS_RATE = 0.45
 GATE_MIN_PROCESSED = 20
+
+# --- fixed values: vendor links in pages -----------------------------------
+# (vendor, pattern, endpoint with the pattern's groups), in the order they are tried
+VENDOR_LINKS = [
+    ("GREENHOUSE", r"(?i)(?:https?:)?//boards\.greenhouse\.io/([A-Za-z0-9._-]+)",
+     "https://boards.greenhouse.io/{1}"),
+    ("GREENHOUSE", r"(?i)(?:https?:)?//job-boards\.greenhouse\.io/([A-Za-z0-9._-]+)",
+     "https://boards.greenhouse.io/{1}"),
+    ("GREENHOUSE", r"(?i)(?:https?:)?//(?:boards-api|api)\.greenhouse\.io/v1/boards/([A-Za-z0-9._-]+)",
+     "https://boards.greenhouse.io/{1}"),
+    ("GREENHOUSE", r"(?i)(?:https?:)?//boards\.greenhouse\.io/embed/job_board[^\"'\s>]*",
+     "https://boards.greenhouse.io/{for}"),
+    ("LEVER", r"(?i)(?:https?:)?//jobs\.lever\.co/([A-Za-z0-9._-]+)", "https://jobs.lever.co/{1}"),
+    ("LEVER", r"(?i)(?:https?:)?//apply\.lever\.co/([A-Za-z0-9._-]+)", "https://jobs.lever.co/{1}"),
+    ("LEVER", r"(?i)(?:https?:)?//api\.lever\.co/v0/postings/([A-Za-z0-9._-]+)",
+     "https://jobs.lever.co/{1}"),
+    ("WORKDAY", r"(?i)(?:https?:)?//([A-Za-z0-9-]+\.[A-Za-z0-9.-]*myworkdayjobs\.com)(/[^\"'\s<>]*)?",
+     "https://{1}{site}"),
+    ("SMARTRECRUITERS", r"(?i)(?:https?:)?//jobs\.smartrecruiters\.com/([A-Za-z0-9._-]+)",
+     "https://careers.smartrecruiters.com/{1}"),
+    ("SMARTRECRUITERS", r"(?i)(?:https?:)?//careers\.smartrecruiters\.com/([A-Za-z0-9._-]+)",
+     "https://careers.smartrecruiters.com/{1}"),
+    ("SMARTRECRUITERS", r"(?i)(?:https?:)?//www\.smartrecruiters\.com/([A-Za-z0-9._-]+)",
+     "https://careers.smartrecruiters.com/{1}"),
+    ("SMARTRECRUITERS", r"(?i)(?:https?:)?//api\.smartrecruiters\.com/v1/companies/([A-Za-z0-9._-]+)",
+     "https://careers.smartrecruiters.com/{1}"),
+    ("ICIMS", r"(?i)(?:https?:)?//([A-Za-z0-9.-]*icims\.com)/jobs(?:/search[^\"'\s<>]*)?",
+     "https://{1}/jobs/search"),
+    ("ICIMS", r"(?i)(?:https?:)?//careers\.icims\.com/jobs/([A-Za-z0-9._-]+)(?:/[^\"'\s<>]*)?",
+     "https://careers.icims.com/jobs/{1}/jobs"),
+    ("TALEO", r"(?i)(?:https?:)?//([A-Za-z0-9.-]*taleo\.net)/careersection/([A-Za-z0-9._-]+)/jobsearch\.ftl[^\"'\s<>]*",
+     "https://{1}/careersection/{2}/jobsearch.ftl"),
+    ("SUCCESSFACTORS", r"(?i)(?:https?:)?//([A-Za-z0-9.-]*(?:successfactors\.[A-Za-z.]+|jobs\.sap\.com))/career[^\"'\s<>]*",
+     "https://{1}/career"),
+]
+VENDOR_SHORT_LINK = r"(?i)(?:https?:)?//grnh\.se/([A-Za-z0-9._-]+)"
+VENDOR_LINK_HINT = r"(?i)greenhouse\.io|lever\.co|myworkdayjobs\.com|smartrecruiters\.com|icims\.com|taleo\.net|successfactors\.|jobs\.sap\.com"
+LOCALE_SEGMENT = r"^[a-z]{2}-[A-Z]{2}$"
+
+# --- fixed values: vendor payload fields, in the order they are tried ------
+WORKDAY_URL_FIELDS = [
+    "externalPath", "externalUrl", "jobPostingUrl", "jobUrl", "url", "applyUrl", "externalApplyUrl",
+]
+WORKDAY_TOTAL_FIELDS = [
+    "total", "totalResults", "totalCount", "resultsCount", "totalRecords", "jobCount",
+]
+WORKDAY_PAGING_TOTAL_FIELDS = ["total", "totalCount", "resultsCount"]

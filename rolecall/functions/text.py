@@ -15,6 +15,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def record(**fields: Column) -> Column:
+    """Struct with the given field names.
+
+    Unlike aliases inside ``struct``, the names survive beside a generator.
+    """
+    return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+
+
 def strip_controls(c: Column) -> Column:
     """Trim every leading and trailing character up to U+0020, not only spaces."""
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")

@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolecall.functions import fixed_values as V
-from rolecall.functions.text import blank_to_null, contains_any, is_blank, let, strip_controls
+from rolecall.functions.text import (
+    blank_to_null, contains_any, is_blank, let, record, strip_controls,
+)
 
 
 def part(url: Column, name: str) -> Column:
@@ -45,15 +47,17 @@ def drop_end(c: Column, count: int = 1) -> Column:
 
 def parts_of(url: Column) -> Column:
     """Scheme, lower-cased host, authority, decoded path and raw query of a URL."""
-    return let(url, lambda u: F.struct(
-        F.lower(part(u, "PROTOCOL")).alias("scheme"),
-        host_of(u).alias("host"),
-        part(u, "AUTHORITY").alias("authority"),
-        decoded_path(u).alias("path"),
-        part(u, "QUERY").alias("query"),
+    return let(url, lambda u: record(
+        scheme=F.lower(part(u, "PROTOCOL")), host=host_of(u), authority=part(u, "AUTHORITY"),
+        path=decoded_path(u), query=part(u, "QUERY"),
     ))
 
 
+def raw_parts_of(url: Column) -> Column:
+    """Lower-cased host, path as written and raw query of a URL."""
+    return let(url, lambda u: record(host=host_of(u), path=part(u, "PATH"), query=part(u, "QUERY")))
+
+
 def canonical_url(c: Column) -> Column:
     """Canonical form of a URL, null when it cannot be parsed.
 
@@ -82,11 +86,9 @@ def canonical_query(raw: Column) -> Column:
     pairs = F.filter(F.split(F.coalesce(raw, F.lit("")), "&"), lambda p: ~is_blank(p))
     decoded = F.transform(
         pairs,
-        lambda p: F.struct(
-            F.lower(F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), p)).alias("k"),
-            F.coalesce(
-                F.try_url_decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)), F.lit("")
-            ).alias("v"),
+        lambda p: record(
+            k=F.lower(F.coalesce(F.try_url_decode(F.substring_index(p, "=", 1)), p)),
+            v=F.coalesce(F.try_url_decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)), F.lit("")),
         ),
     )
     kept = F.filter(decoded, lambda p: ~is_tracking_key(p["k"]))
@@ -209,12 +211,12 @@ def resolve_url(base: Column, ref: Column) -> Column:
             F.regexp_extract(m, r"^[^?#]*(.*)$", 1),
         )))
 
-    page = let(base, lambda b: F.struct(
-        part(b, "PROTOCOL").alias("scheme"),
-        F.concat(part(b, "PROTOCOL"), F.lit("://"), part(b, "AUTHORITY")).alias("root"),
-        F.coalesce(part(b, "PATH"), F.lit("")).alias("path"),
+    page = let(base, lambda b: record(
+        scheme=part(b, "PROTOCOL"),
+        root=F.concat(part(b, "PROTOCOL"), F.lit("://"), part(b, "AUTHORITY")),
+        path=F.coalesce(part(b, "PATH"), F.lit("")),
     ))
-    return let(F.struct(page.alias("page"), strip_controls(ref).alias("ref")), lambda x: (
+    return let(record(page=page, ref=strip_controls(ref)), lambda x: (
         F.when(x["ref"].rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), x["ref"])
         .when(x["ref"].startswith("//"), F.concat(x["page"]["scheme"], F.lit(":"), x["ref"]))
         .otherwise(relative(x["page"], x["ref"]))

@@ -9,7 +9,8 @@ from rolecall.functions import urls as U
 from rolecall.functions import vendors as N
 from rolecall.functions.hashing import content_hash, string_hash_hex
 from rolecall.functions.text import (
-    blank_to_null, contains_any, host_under, html_to_text, is_blank, let, strip_controls, texts,
+    blank_to_null, contains_any, host_under, html_to_text, is_blank, let, record, strip_controls,
+    texts,
 )
 from rolecall.operators.latest import dedupe_first, top_per_group
 from rolecall.operators.targets import take
@@ -244,9 +245,9 @@ def text_parts(url: Column) -> Column:
         authority = F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
         host = F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", "")
         path = F.regexp_extract(t, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-        return F.struct(
-            F.lower(host).alias("host"),
-            F.when(t == "", F.lit("")).when(path == "", F.lit("/")).otherwise(F.lower(path)).alias("path"),
+        return record(
+            host=F.lower(host),
+            path=F.when(t == "", F.lit("")).when(path == "", F.lit("/")).otherwise(F.lower(path)),
         )
 
     return let(F.trim(F.coalesce(url, F.lit(""))), split)
@@ -479,7 +480,7 @@ def name_signals(name: Column) -> Column:
             F.exists(F.split(w, " "), _is_strong), F.array_distinct(F.filter(F.split(w, " "), _is_strong))
         ).otherwise(texts(F.replace(w, F.lit(" "), F.lit("")))))
         roots = F.array_distinct(F.concat(slugs(clean), slugs(stripped)))
-        return F.struct(tokens.alias("tokens"), roots.alias("roots"))
+        return record(tokens=tokens, roots=roots)
 
     return let(cleanup_title(F.translate(name, "&", " ")), signals)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolecall.functions import fixed_values as V
 from rolecall.functions import reasons as R
-from rolecall.functions.text import is_blank
+from rolecall.functions.text import is_blank, record
 from rolecall.operators.ordered import ordered_fold, running
 
 RATE_LIMITED = ["HTTP_429", "HTTP_403"]
@@ -81,12 +81,12 @@ def frontier_backoff(attempts: DataFrame, hosts: DataFrame | None = None,
 
 def trailing_failures(log: DataFrame, keys: list[str], seq: str, good: Column, bad: Column) -> DataFrame:
     """Per key: failures since the last success, and since the start without one."""
-    unit = F.struct(good.alias("reset"), F.when(good, 0).when(bad, 1).otherwise(0).cast("bigint").alias("n"))
+    unit = record(reset=good, n=F.when(good, 0).when(bad, 1).otherwise(0).cast("bigint"))
 
     def combine(left, right):
-        return F.struct(
-            (left["reset"] | right["reset"]).alias("reset"),
-            F.when(right["reset"], right["n"]).otherwise(left["n"] + right["n"]).alias("n"),
+        return record(
+            reset=left["reset"] | right["reset"],
+            n=F.when(right["reset"], right["n"]).otherwise(left["n"] + right["n"]),
         )
 
     return ordered_fold(log, keys, seq, unit, combine).select(
