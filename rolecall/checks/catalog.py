@@ -1,11 +1,7 @@
 """All registered queries: importing the groups fills the registry."""
 
 from rolecall.checks.registry import BUILDERS, ORACLES, run  # noqa: F401
-from rolecall.checks import lookups  # noqa: F401
-from rolecall.checks import listings  # noqa: F401
-from rolecall.checks import state_of_tables  # noqa: F401
-from rolecall.checks import cleaning  # noqa: F401
-from rolecall.checks import merging  # noqa: F401
-from rolecall.checks import state_folds  # noqa: F401
-from rolecall.checks import reports_of_runs  # noqa: F401
-from rolecall.checks import extraction  # noqa: F401
+from rolecall.checks import (  # noqa: F401
+    lookups, listings, state_of_tables, cleaning, merging, state_folds, reports_of_runs,
+    extraction, composites,
+)

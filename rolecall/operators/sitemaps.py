@@ -11,6 +11,7 @@ from rolecall.functions import fixed_values as V
 from rolecall.functions import urls as U
 from rolecall.functions.text import blank_to_null, is_blank, record, strip_controls, unescape_html
 from rolecall.operators.latest import dedupe_first, top_per_group
+from rolecall.session import cut_lineage
 
 
 @F.pandas_udf(T.StringType())
@@ -82,9 +83,10 @@ def sitemap_closure(docs: DataFrame, seeds: DataFrame, max_depth: int = V.SITEMA
     ``docs`` has url and text; ``seeds`` has company_id, pos and url. A sitemap
     counts once, at its first place; one without a stored document counts too.
     Every level keeps only what the limit can still admit, so a company's part
-    never exceeds the limit however many sitemaps its documents name.
+    never exceeds the limit however many sitemaps its documents name. Links and
+    levels are checkpointed: each is used by every later level.
     """
-    links = child_sitemaps(docs)
+    links = cut_lineage(child_sitemaps(docs))
     level = seeds.select("company_id", sitemap_location(F.col("url")).alias("url"), F.col("pos").alias("_a"),
                          F.lit(0).alias("_b"), F.lit(0).alias("depth"))
     level = level.where(F.col("url").isNotNull())
@@ -94,7 +96,7 @@ def sitemap_closure(docs: DataFrame, seeds: DataFrame, max_depth: int = V.SITEMA
         if seen is not None:
             first = first.join(seen.select("company_id", "url"), ["company_id", "url"], "left_anti")
         best = top_per_group(first, ["company_id"], [F.asc("_a"), F.asc("_b"), F.asc("url")], max_documents)
-        numbered = best.withColumn("_at", _rank_in_company())
+        numbered = cut_lineage(best.withColumn("_at", _rank_in_company()))
         seen = numbered if seen is None else seen.unionByName(numbered)
         if depth < max_depth:
             level = numbered.join(links, "url").select(
