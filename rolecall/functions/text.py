@@ -34,7 +34,7 @@ def is_blank(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(~is_blank(c), c)
+    return let(c, lambda x: F.when(x.rlike(r"\S"), x))
 
 
 def first_non_blank(*cols: Column) -> Column:
@@ -73,16 +73,25 @@ def like_contains(c: Column, needle: str) -> Column:
 
 
 def unescape_html(c: Column) -> Column:
-    """Decode numeric entities by number and the listed named ones."""
-    refs = F.regexp_extract_all(
-        c, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)
-    )
-    out = F.aggregate(
-        F.array_distinct(refs), c, lambda acc, ref: F.replace(acc, ref, _code_point(ref))
-    )
-    for name, char in NAMED_ENTITIES:
-        out = F.replace(out, F.lit("&" + name + ";"), F.lit(char))
-    return out
+    """Decode the entities a text names: numeric ones by number, listed names, ampersands last.
+
+    A reference that is decoded to an ampersand never starts a new one.
+    """
+    def decoded(text):
+        refs = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)))
+        others = F.filter(refs, lambda r: ~r.isin(AMPERSANDS))
+        plain = F.aggregate(others, text, lambda acc, r: F.replace(acc, r, _entity(r)))
+        for ampersand in AMPERSANDS:
+            plain = F.replace(plain, F.lit(ampersand), F.lit("&"))
+        return plain
+
+    return let(c, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
+
+
+def _entity(ref: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for n, char in NAMED_ENTITIES for x in (f"&{n};", char)])
+    return F.when(ref.startswith("&#"), _code_point(ref)).otherwise(
+        F.coalesce(F.try_element_at(names, ref), ref))
 
 
 def _code_point(ref: Column) -> Column:
@@ -108,21 +117,30 @@ def _utf8(n: Column) -> Column:
     )
 
 
-# fixed values: named entities, decoded in this order with the ampersand last
+ENTITY = r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});)"
+
+# fixed values: named entities
 NAMED_ENTITIES = [
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "),
-    ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"),
-    ("ldquo", "“"), ("rdquo", "”"), ("bull", "•"), ("hellip", "…"),
-    ("middot", "·"), ("copy", "©"), ("reg", "®"), ("trade", "™"),
-    ("euro", "€"), ("amp", "&"),
+    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"),
+    ("ndash", "\u2013"), ("mdash", "\u2014"), ("lsquo", "\u2018"), ("rsquo", "\u2019"),
+    ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("bull", "\u2022"), ("hellip", "\u2026"),
+    ("middot", "\u00b7"), ("copy", "\u00a9"), ("reg", "\u00ae"), ("trade", "\u2122"),
+    ("euro", "\u20ac"),
 ]
+AMPERSANDS = ["&#38;", "&amp;"]
 
 
 def html_to_text(c: Column) -> Column:
     """Tags to spaces, entities decoded, white space collapsed."""
-    no_code = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    no_tags = F.regexp_replace(no_code, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    return F.trim(F.regexp_replace(F.translate(unescape_html(no_tags), " ", " "), r"\s+", " "))
+    def no_tags(t):
+        no_code = F.when(
+            t.rlike(r"(?i)<(?:script|style)"),
+            F.regexp_replace(t, r"(?is)<(script|style)\b.*?</\1\s*>", " "),
+        ).otherwise(t)
+        return F.regexp_replace(no_code, r"(?s)<!--.*?-->|<[^>]*>", " ")
+
+    bare = let(c, lambda t: F.when(t.contains("<"), no_tags(t)).otherwise(t))
+    return F.trim(F.regexp_replace(F.translate(unescape_html(bare), "\u00a0", " "), r"\s+", " "))
 
 
 def iso_date(c: Column) -> Column:

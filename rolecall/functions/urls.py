@@ -169,18 +169,28 @@ def is_job_like(url: Column) -> Column:
     return let(parts_of(url), test)
 
 
-def posting_url(c: Column) -> Column:
-    """Trimmed public posting URL, null when invalid or when it is a vendor API URL."""
-    def public(u, text):
-        path = F.lower(u["path"])
+def _is_public(text: Column) -> Column:
+    def test(u):
+        path = F.lower(decode(u["path"]))
         api = (
             u["host"].contains("api.greenhouse.io")
             | (u["host"].contains("api.lever.co") & path.contains("/postings/"))
             | (u["host"].contains("myworkdayjobs.com") & path.rlike("/wday/cxs/|/jobs/?$"))
         )
-        return u["scheme"].isin("http", "https") & ~F.lower(text).contains("invalid-url") & ~api
+        return u["host"].isNotNull() & ~api
+
+    plain = text.rlike("(?i)^https?:") & ~F.lower(text).contains("invalid-url")
+    return plain & let(record(host=host_of(text), path=part(text, "PATH")), test)
+
 
-    return let(strip_controls(c), lambda t: F.when(let(parts_of(t), lambda u: public(u, t)), t))
+def is_posting_url(c: Column) -> Column:
+    """A public posting URL: http(s) with a host, not marked invalid, not a vendor API URL."""
+    return F.coalesce(let(strip_controls(c), _is_public), F.lit(False))
+
+
+def posting_url(c: Column) -> Column:
+    """Trimmed public posting URL, null when it is not one."""
+    return let(strip_controls(c), lambda t: F.when(_is_public(t), t))
 
 
 def is_invalid_posting_url(c: Column) -> Column:

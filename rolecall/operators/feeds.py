@@ -16,8 +16,8 @@ from rolecall.operators.pages import with_hash
 
 def finish_postings(rows: DataFrame) -> DataFrame:
     """Keep rows with a public URL and a title, and hash them."""
-    out = rows.withColumn("canonical_url", U.posting_url(F.col("canonical_url")))
-    return with_hash(out.where(F.col("canonical_url").isNotNull() & ~is_blank(F.col("title"))))
+    out = rows.where(U.is_posting_url(F.col("canonical_url")) & ~is_blank(F.col("title")))
+    return with_hash(out.withColumn("canonical_url", strip_controls(F.col("canonical_url"))))
 
 
 def cap_feed(postings: DataFrame, keys: list[str], limit: int = V.MAX_POSTINGS_PER_FEED) -> DataFrame:
@@ -48,8 +48,10 @@ def greenhouse_job_url(raw: Column) -> Column:
         full = cut_slash(F.concat(F.lit("https://"), host, F.coalesce(u["path"], F.lit("")), tail))
         return F.when(u["host"].isNull(), t).when(~u["host"].contains("api.greenhouse.io"), full)
 
-    parts = U.raw_parts_of(U.with_lower_scheme(raw))
-    return F.when(raw.isNotNull(), let(parts, lambda u: public(u, strip_controls(raw))))
+    def url(t):
+        return F.when(t.isNotNull(), let(U.raw_parts_of(U.with_lower_scheme(t)), lambda u: public(u, t)))
+
+    return let(strip_controls(raw), url)
 
 
 def greenhouse_token(endpoint: Column) -> Column:

@@ -30,17 +30,25 @@ ORD = "ord"
 
 def fold_batch(batch: DataFrame, keys: list[str], policy: dict[str, str]) -> DataFrame:
     """One row per key: what the rows of a batch amount to when applied in order."""
+    order = F.col(ORD)
+
     def folded(name, how):
-        c, order = F.col(name), F.col(ORD)
-        if how == NEW:
-            return F.max_by(c, order)
+        c = F.col(name)
         if how == FILL:
             return F.max_by(c, F.when(c.isNotNull(), order))
         if how == KEEP:
             return F.min_by(c, F.when(c.isNotNull(), order))
         return {MAX: F.max, MIN: F.min}[how](c)
 
-    return batch.groupBy(*keys).agg(*[folded(n, h).alias(n) for n, h in policy.items()])
+    # the columns of the last row go through the aggregation as one value
+    last = [n for n, how in policy.items() if how == NEW]
+    aggs = [folded(n, how).alias(n) for n, how in policy.items() if how != NEW]
+    if last:
+        aggs.append(F.max_by(F.struct(*last), order).alias("_last"))
+    out = batch.groupBy(*keys).agg(*aggs) if aggs else batch.select(*keys).distinct()
+    return out.select(*keys, *[
+        F.col(f"_last.{n}").alias(n) if how == NEW else F.col(n) for n, how in policy.items()
+    ])
 
 
 def combined(old: Column, new: Column, how: str) -> Column:

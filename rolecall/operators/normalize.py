@@ -115,10 +115,10 @@ def job_like_urls(urls: DataFrame, per_source_limit: int = V.SITEMAP_CANDIDATE_B
 
 def sanitize_posting_urls(postings: DataFrame) -> DataFrame:
     """Postings with a public canonical URL and a valid source URL."""
-    rows = postings.withColumn("canonical_url", U.posting_url(F.col("canonical_url")))
-    return rows.where(
-        F.col("canonical_url").isNotNull() & ~U.is_invalid_posting_url(F.col("source_url"))
+    rows = postings.where(
+        U.is_posting_url(F.col("canonical_url")) & ~U.is_invalid_posting_url(F.col("source_url"))
     )
+    return rows.withColumn("canonical_url", strip_controls(F.col("canonical_url")))
 
 
 def normalize_endpoints(endpoints: DataFrame) -> DataFrame:
