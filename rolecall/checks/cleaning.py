@@ -424,7 +424,11 @@ def _(m):
     return N.identity_variants(m.sql(NAMED))
 
 
-@check("domain_candidates")
+@check("domain_candidates", """
+WITH w AS (SELECT id AS company_id, CASE WHEN name LIKE '%Acquisition-Corp' THEN concat('customer ', substr(name, 10, 9), ' acquisition corp')
+    WHEN name LIKE '%Sons%' THEN concat('customer ', substr(name, 10, 9), ' sons') ELSE concat('customer ', substr(name, 10, 9)) END AS words FROM $companies),
+ r AS (SELECT company_id, unnest([0, 1, 2, 3, 4, 5]) AS rank, replace(words, ' ', '') AS compact, replace(words, ' ', '-') AS hyphened FROM w)
+SELECT company_id, CAST(rank AS INT) AS rank, concat(CASE rank % 2 WHEN 0 THEN compact ELSE hyphened END, CASE WHEN rank < 2 THEN '.com' WHEN rank < 4 THEN '.io' ELSE '.ai' END) AS candidate_domain FROM r""")
 def _(m):
     return N.domain_candidates(m.sql(NAMED))
 

@@ -68,7 +68,21 @@ def _(m):
     return P.short_links(m.sql(CAREER_PAGES))
 
 
-@check("ranked_career_links")
+SCORED = " + ".join(
+    [f"CASE WHEN lower(u) LIKE '%{w}%' THEN 6 ELSE 0 END + CASE WHEN lower(t) LIKE '%{w}%' THEN 4 ELSE 0 END"
+     for w in ["careers", "career", "jobs", "job", "join", "talent", "opportunit", "work-with-us", "open-positions"]]
+    + ["CASE WHEN lower(u) LIKE '%/careers%' OR lower(u) LIKE '%/jobs%' THEN 4 ELSE 0 END",
+       "CASE WHEN lower(u) LIKE '%jobs.%' OR lower(u) LIKE '%careers.%' THEN 3 ELSE 0 END"])
+
+
+@check("ranked_career_links", f"""
+WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]* href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS h,
+    unnest(regexp_extract_all(html, '<a[^>]* href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS raw FROM ({CAREER_PAGES}) p),
+ b AS (SELECT page_id, replace(h, '&amp;', '&') AS h, regexp_replace(raw, '<[^>]*>', ' ', 'g') AS t, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root,
+    regexp_extract(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^(.*/)', 1) AS folder FROM a),
+ c AS (SELECT page_id, t, CASE WHEN h LIKE 'http%' THEN h WHEN h LIKE '/%' THEN concat(root, h) ELSE concat(root, CASE WHEN folder = '' THEN '/' ELSE folder END, h) END AS u FROM b WHERE h NOT LIKE 'mailto:%'),
+ s AS (SELECT page_id, u, {SCORED} AS score FROM c), m AS (SELECT page_id, u, max(score) AS score FROM s WHERE score > 0 GROUP BY 1, 2)
+SELECT page_id, candidate_url, score FROM (SELECT page_id, u AS candidate_url, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, u) AS rn FROM m) x WHERE rn <= 5""")
 def _(m):
     return P.ranked_career_links(m.sql(CAREER_PAGES), 5)
 

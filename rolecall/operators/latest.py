@@ -9,9 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+LIMIT_BEFORE_SHUFFLE = 1000  # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
+SALTS = 64
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1,
                   ties: bool = False) -> DataFrame:
-    """First ``n`` rows of each key; ``ties`` keeps rows equal to the last kept one."""
+    """First ``n`` rows of each key; ``ties`` keeps rows equal to the last kept one.
+
+    Past the size that Spark limits before the shuffle, each key is first cut in
+    salted parts, so that one task meets at most ``SALTS * n`` rows of a key.
+    """
+    rows = df
+    if n > LIMIT_BEFORE_SHUFFLE and not ties:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        rows = _ranked(salted, [*keys, "_salt"], order, n, False).drop("_salt")
+    return _ranked(rows, keys, order, n, ties)
+
+
+def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int, ties: bool) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     rank = F.rank() if ties else F.row_number()
     return df.withColumn("_rank", rank.over(w)).where(F.col("_rank") <= n).drop("_rank")

@@ -134,7 +134,8 @@ def merge_domains(domains: DataFrame, batch: DataFrame) -> DataFrame:
     manual = F.col("source") == "MANUAL"
     kept = domains.where(manual).select(*keys, F.lit(True).alias("_locked"))
     first = batch.where(manual).groupBy(*keys).agg(F.min(ORD).alias("_first"))
-    rows = batch.join(kept, keys, "left").join(first, keys, "left")
+    # spread again after the join, so a key that fills the batch is folded map-side
+    rows = batch.join(kept.join(first, keys, "full"), keys, "left").repartition(*keys, ORD)
     counts = manual | (
         F.col("_locked").isNull() & (F.col("_first").isNull() | (F.col(ORD) < F.col("_first")))
     )
@@ -440,7 +441,7 @@ def apply_queue_outcomes(queue: DataFrame, outcomes: DataFrame, as_of) -> DataFr
     after = outcomes.join(
         outcomes.where(good).groupBy("company_id").agg(F.max(ORD).alias("_good")),
         "company_id", "left",
-    )
+    ).repartition("company_id", ORD)
     sums = after.groupBy("company_id").agg(
         F.count_if(ran).alias("_runs"), F.count_if(good).alias("_good_runs"),
         F.count_if(bad).alias("_bad_runs"),

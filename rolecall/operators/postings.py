@@ -21,9 +21,9 @@ def posting_view(postings: DataFrame, companies: DataFrame, endpoints: DataFrame
                  ties: str = "one", extra: list[str] = ()) -> DataFrame:
     """Postings with their company and its latest vendor, fifteen columns.
 
-    The company and vendor sides hold one row per company (more on vendor ties),
-    so Spark broadcasts them while they are small; beyond that it sorts and
-    merges, and splits partitions of a company with very many postings.
+    Company and vendor are put together first, so the postings are joined once.
+    Spark broadcasts that side while it is small; beyond that it sorts and merges,
+    and splits the partition of a company with very many postings.
     """
     names = companies.select(F.col("id").alias("company_id"), "ticker",
                              F.col("name").alias("company_name"))
@@ -32,8 +32,7 @@ def posting_view(postings: DataFrame, companies: DataFrame, endpoints: DataFrame
     ).select("company_id", F.col("ats_type").alias("latest_ats_type"))
     return (
         postings.select("id", "company_id", *POSTING_FIELDS, *extra)
-        .join(names, "company_id")
-        .join(vendor, "company_id", "left")
+        .join(names.join(vendor, "company_id", "left"), "company_id")
         .select("id", "company_id", "ticker", "company_name", "latest_ats_type",
                 *POSTING_FIELDS, *extra)
     )
