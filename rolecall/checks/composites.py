@@ -211,8 +211,8 @@ def _(m):
 
 
 @check("run_artifacts", """
-SELECT min(event_id) AS domains_before, max(event_id) AS domains_after, count(*) + 1 AS selection_eligible_count, 0 AS selection_returned_count, count(DISTINCT user_id) AS companies_attempted_count,
-  0 AS vendor_detected_count, CAST(2 AS BIGINT) AS endpoint_extracted_count, count(*) FILTER (WHERE event_type = 'error') AS robots FROM $events GROUP BY CAST(ts AS DATE)""")
+SELECT min(event_id) AS domains_before, max(event_id) AS domains_after, count(*) + 1 AS selection_eligible_count, CAST(0 AS BIGINT) AS selection_returned_count, count(DISTINCT user_id) AS companies_attempted_count,
+  CAST(0 AS BIGINT) AS vendor_detected_count, CAST(2 AS BIGINT) AS endpoint_extracted_count, count(*) FILTER (WHERE event_type = 'error') AS robots FROM $events GROUP BY CAST(ts AS DATE)""")
 def _(m):
     lines = m.sql("""SELECT concat('{"pipeline":{"domain_counts_before":{"companies_with_domain_count":', CAST(min(event_id) AS STRING), '},"domain_counts_after":{"companies_with_domain_count":', CAST(max(event_id) AS STRING),
       '},"ats_selection_metrics":{"vendor_probe":{"selectionEligibleCount":', CAST(count(*) AS STRING), ',"companiesAttemptedCount":', CAST(count(DISTINCT user_id) AS STRING), '},"full":{"selectionEligibleCount":1,"endpointExtractedCount":2}}},',

@@ -192,7 +192,7 @@ SELECT p_partkey AS payload_id, p_partkey % 25 AS company_id, CAST(p_partkey AS
 
 @check("workday_postings", f"""
 WITH f AS (SELECT *, p_partkey AS payload_id, p_partkey % 25 AS company_id, CAST(p_partkey AS INT) AS page_no, concat('https://t', CAST(p_partkey % 25 AS VARCHAR), '.wd5.myworkdayjobs.com/wday/cxs/t/External/jobs') AS source_url FROM $part),
-p AS (SELECT payload_id, company_id, page_no, 0 AS pos, source_url, concat('https://t', CAST(company_id AS VARCHAR), '.wd5.myworkdayjobs.com/en-US/External/job/Austin/X_R', {PART}) AS canonical_url, p_name AS title, NULL AS org_name,
+p AS (SELECT payload_id, company_id, page_no, 0 AS pos, source_url, concat('https://t', CAST(company_id AS VARCHAR), '.wd5.myworkdayjobs.com/en-US/External/job/Austin/X_R', {PART}) AS canonical_url, p_name AS title, CAST(NULL AS VARCHAR) AS org_name,
   'Austin' AS location_text, 'Full time' AS employment_type, DATE '2024-02-01' AS date_posted, concat('Do ', p_name) AS description_text, concat('R', {PART}) AS external_identifier FROM f
  UNION ALL SELECT payload_id, company_id, page_no, 1, source_url, concat('https://t.wd1.myworkdayjobs.com/External/job/a/B_', {PART}, '?q=1'), 'second', NULL, 'Paris | Rome', 'Regular', DATE '2024-03-01', NULL, concat('S', {PART}) FROM f)
 {HASHED}""")

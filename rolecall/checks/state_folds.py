@@ -113,7 +113,7 @@ def _(m):
 
 
 @check("request_budget_cut", """
-SELECT id, sum(request_count) OVER w AS requests_so_far, sum(request_count) OVER w - request_count < 120 AS processed
+SELECT id, CAST(sum(request_count) OVER w AS BIGINT) AS requests_so_far, sum(request_count) OVER w - request_count < 120 AS processed
 FROM $careers_discovery_company_results WINDOW w AS (PARTITION BY discovery_run_id ORDER BY id)""")
 def _(m):
     return S.request_budget_cut(m.careers_discovery_company_results, ["discovery_run_id"], "id", 120).select(
