@@ -48,13 +48,15 @@ def texts(*cols: Column) -> Column:
 
 
 def contains_any(c: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    def any_of(x):
+        return reduce(lambda a, b: a | b, [x.contains(w) for w in words])
+
+    return any_of(c) if len(words) == 1 else let(c, any_of)
 
 
 def host_under(host: Column, suffixes) -> Column:
     """Host equals one of the suffixes or is a subdomain of one."""
-    tests = [(host == s) | host.endswith("." + s) for s in suffixes]
-    return reduce(lambda a, b: a | b, tests)
+    return host.rlike(r"(^|\.)(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
 
 
 def case_first(rules, default=None) -> Column:

@@ -71,8 +71,8 @@ def _canonical(u: Column) -> Column:
     port = F.regexp_extract(u["authority"], r":0*([1-9]\d*)$", 1)
     default = F.when(u["scheme"] == "http", "80").otherwise("443")
     port_text = F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise("")
-    query = canonical_query(u["query"])
-    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
+    tail = let(canonical_query(u["query"]), lambda q: F.when(
+        q != "", F.concat(F.lit("?"), q)).otherwise(""))
     return F.concat(u["scheme"], F.lit("://"), u["host"], port_text, _one_slash(u["path"]), tail)
 
 
@@ -83,7 +83,7 @@ def _one_slash(path: Column) -> Column:
 
 def canonical_query(raw: Column) -> Column:
     """Kept pairs sorted by key, then value, and encoded again; empty text for none."""
-    pairs = F.filter(F.split(F.coalesce(raw, F.lit("")), "&"), lambda p: ~is_blank(p))
+    pairs = F.filter(F.split(raw, "&"), lambda p: ~is_blank(p))
     decoded = F.transform(
         pairs,
         lambda p: record(
@@ -114,10 +114,11 @@ def candidate_url(c: Column) -> Column:
 
 def _candidate(u: Column) -> Column:
     kept = F.array_join(F.filter(
-        F.split(F.coalesce(u["query"], F.lit("")), "&"),
+        F.split(u["query"], "&"),
         lambda p: ~is_blank(p) & ~_candidate_tracking(F.lower(F.substring_index(p, "=", 1))),
     ), "&")
-    tail = F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")
+    tail = F.when(u["query"].isNull(), F.lit("")).otherwise(
+        let(kept, lambda k: F.when(k != "", F.concat(F.lit("?"), k)).otherwise("")))
     full = F.concat(u["scheme"], F.lit("://"), u["host"], u["path"], tail)
     return F.regexp_replace(full, "^([a-z]+://..+)/$", "$1")
 
@@ -169,18 +170,21 @@ def is_job_like(url: Column) -> Column:
     return let(parts_of(url), test)
 
 
+API_HINT = r"(?i)api\.greenhouse\.io|api\.lever\.co|myworkdayjobs\.com"
+
+
 def _is_public(text: Column) -> Column:
-    def test(u):
-        path = F.lower(decode(u["path"]))
-        api = (
+    def is_api(u):
+        return (
             u["host"].contains("api.greenhouse.io")
-            | (u["host"].contains("api.lever.co") & path.contains("/postings/"))
-            | (u["host"].contains("myworkdayjobs.com") & path.rlike("/wday/cxs/|/jobs/?$"))
+            | (u["host"].contains("api.lever.co") & u["path"].contains("/postings/"))
+            | (u["host"].contains("myworkdayjobs.com") & u["path"].rlike("/wday/cxs/|/jobs/?$"))
         )
-        return u["host"].isNotNull() & ~api
 
+    parts = record(host=host_of(text), path=F.lower(decoded_path(text)))
+    api = F.when(text.rlike(API_HINT), let(parts, is_api)).otherwise(F.lit(False))
     plain = text.rlike("(?i)^https?:") & ~F.lower(text).contains("invalid-url")
-    return plain & let(record(host=host_of(text), path=part(text, "PATH")), test)
+    return plain & part(text, "HOST").isNotNull() & ~api
 
 
 def is_posting_url(c: Column) -> Column:

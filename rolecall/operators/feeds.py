@@ -145,13 +145,15 @@ def workday_path(raw: Column) -> Column:
 
 def _path_candidates(path: Column, site: Column) -> Column:
     """Paths to try for one job path: with locale and site, without, and as it is."""
-    prefixed = F.when(
-        F.lower(path).startswith(F.lower(F.concat(F.lit("/"), site, F.lit("/")))), path
-    ).otherwise(F.concat(F.lit("/"), site, path))
     us = F.lit("/en-US")
-    made = F.when(path.rlike("^/[a-z]{2}-[A-Z]{2}/.*"), F.array(path)).otherwise(F.array(
-        F.concat(us, prefixed), prefixed, F.concat(us, path), path))
-    return F.coalesce(made, F.array().cast("array<string>"))
+
+    def made(p):
+        own = F.lower(p).startswith(F.lower(F.concat(F.lit("/"), site, F.lit("/"))))
+        prefixed = F.when(own, p).otherwise(F.concat(F.lit("/"), site, p))
+        plain = let(prefixed, lambda x: F.array(F.concat(us, x), x, F.concat(us, p), p))
+        return F.when(p.rlike("^/[a-z]{2}-[A-Z]{2}/.*"), F.array(p)).when(p.isNotNull(), plain)
+
+    return F.coalesce(let(path, made), F.array().cast("array<string>"))
 
 
 def workday_url_candidates(host: Column, site: Column, raw: Column) -> Column:
@@ -162,20 +164,21 @@ def workday_url_candidates(host: Column, site: Column, raw: Column) -> Column:
         tail = F.when(~is_blank(query), F.concat(F.lit("?"), query)).otherwise("")
         return F.transform(paths, lambda p: F.concat(F.lit("https://"), a_host, p, tail))
 
-    def absolute(u):
-        path = workday_path(u["path"])
-        seg = U.path_segments(u["path"])
+    def ordered(seg, path):
         has_site = (F.lower(F.get(seg, 0)) == F.lower(site)) | (
             F.get(seg, 0).rlike(V.LOCALE_SEGMENT) & (F.lower(F.get(seg, 1)) == F.lower(site)))
-        direct = F.array_compact(F.array(path))
-        made = _path_candidates(path, site)
-        paths = F.when(F.coalesce(has_site, F.lit(False)), F.concat(direct, made)).otherwise(
-            F.concat(made, direct))
+        both = let(path, lambda p: record(direct=F.array_compact(F.array(p)), made=_path_candidates(p, site)))
+        return let(both, lambda x: F.when(
+            F.coalesce(has_site, F.lit(False)), F.concat(x["direct"], x["made"])
+        ).otherwise(F.concat(x["made"], x["direct"])))
+
+    def absolute(u):
+        paths = let(U.path_segments(u["path"]), lambda seg: ordered(seg, workday_path(u["path"])))
         return F.when(u["host"].endswith("myworkdayjobs.com"), on(u["host"], paths, u["query"]))
 
     def candidates(t):
         made = F.when(t.rlike("^https?://"), let(U.raw_parts_of(t), absolute)).otherwise(
-            on(host, let(workday_path(t), lambda p: _path_candidates(p, site)), F.lit(None)))
+            on(host, _path_candidates(workday_path(t), site), F.lit(None)))
         usable = ~is_blank(t) & ~F.lower(t).contains("invalid-url")
         return F.when(usable, F.array_distinct(F.coalesce(made, empty))).otherwise(empty)
 
