@@ -270,7 +270,7 @@ def _(m):
 
 SEEDS = """
 SELECT c_custkey AS company_id, 0 AS pos, concat('https://s', CAST(c_custkey AS STRING), '.example.com/sitemap.xml') AS url FROM $customer
-UNION ALL SELECT c_custkey, 1, concat('s', CAST(c_custkey + 4 AS STRING), '.example.com/sitemap.xml') FROM $customer WHERE c_custkey % 3 = 0"""
+UNION ALL SELECT c_custkey, 1, concat('s', CAST(c_custkey + 4 AS STRING), '.example.com/sitemap.xml') FROM $customer WHERE c_acctbal > 5000"""
 
 CLOSURE = f"""
 WITH RECURSIVE links AS ({CHILDREN}),
