@@ -20,7 +20,7 @@ from rolecall.operators.targets import take
 
 def clean_text(c: Column) -> Column:
     """No-break spaces to spaces, footnote marks removed, trimmed; empty is null."""
-    plain = strip_controls(F.translate(c, " ", " "))
+    plain = strip_controls(F.translate(c, "\u00a0", " "))
     out = strip_controls(F.regexp_replace(plain, r"\[[^\]]+\]", ""))
     return F.when(F.length(out) > 0, out)
 

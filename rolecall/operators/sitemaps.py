@@ -129,7 +129,7 @@ def robots_lines(docs: DataFrame, key: str = "host") -> DataFrame:
     came in. A blank or comment-only line ends a group; a user-agent line after
     any other directive starts one.
     """
-    lines = docs.select(key, F.posexplode(F.split("text", r"\r\n|[\n\u000B\f\r\u0085  ]")).alias("no", "raw"))
+    lines = docs.select(key, F.posexplode(F.split("text", r"\r\n|[\n\u000B\f\r\u0085\u2028\u2029]")).alias("no", "raw"))
     line = strip_controls(F.substring_index(F.col("raw"), "#", 1))
     rows = lines.select(key, "no", line.alias("line")).where((F.col("line") == "") | F.col("line").rlike("^[^:]+:"))
     name = F.lower(strip_controls(F.substring_index("line", ":", 1)))
