@@ -229,11 +229,14 @@ def workday_postings(payloads: DataFrame) -> DataFrame:
     rows = rows.where(F.col("site").isNotNull()).withColumn("raw", raw)
     urls = F.flatten(F.transform("raw", lambda r: workday_url_candidates(
         F.col("site.host"), F.col("site.site"), r)))
-    url = F.get(F.filter(urls, lambda u: ~is_workday_api(u)), 0)
+    # exploding the first usable URL, if any, keeps later filters from computing it again
+    usable = F.slice(F.filter(urls, lambda u: ~is_workday_api(u)), 1, 1)
+    rows = rows.select("payload_id", "company_id", "page_no", "pos", "source_url", "job", "raw",
+                       F.explode(usable).alias("canonical_url"))
     job = F.col("job")
     from_path = F.regexp_extract(F.get("raw", 0), r"_([A-Za-z0-9-]+)$", 1)
     out = rows.select(
-        "payload_id", "company_id", "page_no", "pos", "source_url", url.alias("canonical_url"),
+        "payload_id", "company_id", "page_no", "pos", "source_url", "canonical_url",
         first_non_blank(job["title"], job["jobTitle"]).alias("title"),
         F.lit(None).cast("string").alias("org_name"), _location(job).alias("location_text"),
         first_non_blank(job["timeType"], job["workerSubType"], job["timeTypeLabel"]).alias("employment_type"),
