@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
+from rolecall.llm.lm_scoring import op5_lm_scoring
 from rolecall.llm.simhash_dedup import op1_simhash_dedup
 from rolecall.llm.substring_dedup import op8_substring_dedup
 
 QUERIES = {
+    "op5_lm_scoring": op5_lm_scoring,
     "op1_simhash_dedup": op1_simhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
