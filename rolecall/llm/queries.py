@@ -1,13 +1,16 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from rolecall.llm.lm_scoring import op5_lm_scoring
-from rolecall.llm.simhash_dedup import op1_simhash_dedup
-from rolecall.llm.substring_dedup import op8_substring_dedup
+from rolecall.llm import line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup
 
 QUERIES = {
-    "op5_lm_scoring": op5_lm_scoring,
-    "op1_simhash_dedup": op1_simhash_dedup,
-    "op8_substring_dedup": op8_substring_dedup,
+    "op1_simhash_dedup": simhash_dedup.op1_simhash_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}
