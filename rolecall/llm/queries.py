@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from rolecall.llm import language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup
+from rolecall.llm import language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
     "op1_simhash_dedup": simhash_dedup.op1_simhash_dedup,
+    "op2_url_filters": url_filters.op2_url_filters,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
