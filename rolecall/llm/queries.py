@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from rolecall.llm import bpe_codec, language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup, url_filters
+from rolecall.llm import bpe_codec, html_extraction, language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
     "op1_simhash_dedup": simhash_dedup.op1_simhash_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_bpe_codec": bpe_codec.op6_bpe_codec,
+    "op7_html_extraction": html_extraction.op7_html_extraction,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
