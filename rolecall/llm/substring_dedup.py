@@ -6,7 +6,7 @@ begins at a window that starts earlier elsewhere and goes on as long as the next
 stops, the boundary is the last word of the last such window. Factors of ``window`` words and more
 are the duplicate spans.
 
-Only distinct windows of a block are shuffled (8 bytes and a place each), so a passage that a third of
+Only distinct windows of a block are shuffled (7 bytes and a place each), so a passage that a third of
 all texts share sends one entry per block. The texts are shuffled once, to meet their spans.
 """
 
@@ -22,7 +22,7 @@ from rolecall.llm import words
 
 WINDOW = 20
 #: Windows of one reference block: bounds the memory of a task.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _ENTRY = np.dtype([("hash", "<u8"), ("window", "<u4")])
 _DOC = np.dtype([("doc", "<i8"), ("text", "<i8"), ("windows", "<u4")])
@@ -69,7 +69,7 @@ def _index(window: int, buckets: int):
             first.sort()
             entries = np.zeros(len(first), _ENTRY)
             entries["hash"], entries["window"] = hashes[first], first
-            bucket = ((entries["hash"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            bucket = ((entries["hash"] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             entries, cuts = entries[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(b, entries[cuts[b]:cuts[b + 1]], None) for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -85,30 +85,36 @@ def _index(window: int, buckets: int):
 
 
 def _packed(entries: np.ndarray, docs: np.ndarray) -> bytes:
-    """Hashes, then the steps from window to window, then id, first window and last one of documents."""
+    """Hashes, steps from window to window, and id and first window of the documents.
+
+    The bucket says what the highest byte of a hash is, so seven are kept; a step takes one byte, or
+    four more if it is large.
+    """
     stops = np.cumsum(docs["windows"], dtype=np.int64)
-    at = np.searchsorted(stops, entries["window"], "right")
-    used = np.unique(at)
+    used = np.unique(np.searchsorted(stops, entries["window"], "right"))
     steps = np.diff(entries["window"].astype(np.int64), prepend=0)
-    small = np.minimum(steps, 0xFFFF).astype("<u2")
-    large = steps[steps >= 0xFFFF].astype("<u4")
+    large = steps[steps >= 0xFF].astype("<u4")
     head = np.array([len(entries), len(large), len(used)], "<u4")
-    return b"".join((head.tobytes(), entries["hash"].tobytes(), small.tobytes(), large.tobytes(),
-                     docs["doc"][used].tobytes(), (stops[used] - docs["windows"][used]).astype("<u4").tobytes()))
+    hashes = entries["hash"]
+    return b"".join((
+        head.tobytes(), hashes.astype("<u4").tobytes(), (hashes >> np.uint64(32)).astype("<u2").tobytes(),
+        (hashes >> np.uint64(48)).astype("u1").tobytes(), np.minimum(steps, 0xFF).astype("u1").tobytes(),
+        large.tobytes(), docs["doc"][used].tobytes(), (stops[used] - docs["windows"][used]).astype("<u4").tobytes()))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, window number in the block, document id and place in the document of each entry."""
     n, n_large, n_docs = np.frombuffer(blob, "<u4", 3).tolist()
     at = 12
-    hashes = np.frombuffer(blob, "<u8", n, at)
-    at += 8 * n
-    steps = np.frombuffer(blob, "<u2", n, at).astype(np.int64)
-    at += 2 * n
-    steps[steps == 0xFFFF] = np.frombuffer(blob, "<u4", n_large, at)
-    at += 4 * n_large
-    ids = np.frombuffer(blob, "<i8", n_docs, at)
-    begins = np.frombuffer(blob, "<u4", n_docs, at + 8 * n_docs).astype(np.int64)
+    parts = []
+    for kind, count in (("<u4", n), ("<u2", n), ("u1", n), ("u1", n), ("<u4", n_large), ("<i8", n_docs), ("<u4", n_docs)):
+        parts.append(np.frombuffer(blob, kind, count, at))
+        at += parts[-1].nbytes
+    low, middle, high, small, large, ids, begins = parts
+    hashes = (low.astype(np.uint64) | middle.astype(np.uint64) << np.uint64(32)
+              | high.astype(np.uint64) << np.uint64(48))
+    steps = small.astype(np.int64)
+    steps[steps == 0xFF] = large
     window = np.cumsum(steps)
     doc = np.searchsorted(begins, window, "right") - 1
     return hashes, window, ids[doc] if n else ids[:0], window - begins[doc] if n else window
@@ -201,7 +207,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     the same document and an earlier start. Null and empty texts have no words and give an empty
     text. Rows that are equal in id and text are one place and do not remove each other. A row
     without doc_id has no place in the order: it is neither cut nor a source. Other columns are left
-    out. Windows are told apart by 64-bit hashes.
+    out. Windows are told apart by hashes of 62 bits and more.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),

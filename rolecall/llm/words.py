@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text worked on at once; only a longer single row goes beyond.
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 _random = np.random.default_rng(20240607)
 _BYTES = _random.integers(1, 2**64, 256, dtype=np.uint64)
