@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
-from rolecall.llm import bpe_codec, html_extraction, language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup, url_filters
+from rolecall.llm import bpe_codec, decontamination, html_extraction, language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
     "op1_simhash_dedup": simhash_dedup.op1_simhash_dedup,
     "op2_url_filters": url_filters.op2_url_filters,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_bpe_codec": bpe_codec.op6_bpe_codec,
