@@ -26,15 +26,16 @@ PASSAGE, PASSAGE_STEP = 16, 8
 #: Words of a document's window, and of the step: any passage lies in one whole window.
 WINDOW, STEP = 24, 8
 #: Dimensions of the latent space, surplus ones while it is made, and rounds of power iteration.
-RANK, SURPLUS, ROUNDS = 96, 16, 2
-#: Documents of which windows help to fit the space, besides all passages.
-SAMPLE = 500
+RANK, SURPLUS, ROUNDS = 192, 16, 2
 #: Cosine from which a window and a passage are candidates.
 COSINE = 0.5
-#: Share of a window's squared weight that the items' terms must hold, as a cosine needs it.
-MASS = COSINE ** 2
+#: Share of a passage's squared weight that a window must hold before it is compared with it, share of
+#: the passage's latent vector that it must contain, and share of the passage's words.
+MASS, CONTAINED, SHARED = 0.5, 0.5, 0.5
 #: Common subsequence, as a share of a passage, of an item, and of an item whose answer is found.
 PASSAGE_SHARE, ITEM_SHARE, ANSWERED_SHARE, ANSWER_SHARE = 0.8, 0.6, 0.5, 0.8
+#: Terms of which products are summed together.
+TERMS = 512
 #: Words of all items of a block.
 BLOCK_WORDS = 200_000
 
@@ -96,13 +97,22 @@ def _frequencies(block):
     return run
 
 
+def _weights(frequency: np.ndarray, total: int) -> np.ndarray:
+    """Inverse document frequencies; words outside the items have none, as they match nothing."""
+    weight = np.log((total + 1.0) / (frequency + 0.5)).clip(0.05)
+    weight[-1] = 0
+    return weight.astype(np.float32)
+
+
 def _windows(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and stop of the windows of all texts; the last one ends with its text."""
+    """First word and stop of the windows of all texts.
+
+    A window starts at every ``STEP`` words while a passage's words are left, once at least.
+    """
     n = np.diff(before)
-    count = np.where(n > 0, np.maximum(0, -(-(n - WINDOW) // STEP)) + 1, 0)
+    count = np.where(n > 0, np.maximum(0, -(-(n - PASSAGE) // STEP)) + 1, 0)
     row = np.repeat(np.arange(len(n)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = before[row] + np.minimum(nth * STEP, np.maximum(n[row] - WINDOW, 0))
+    start = before[row] + STEP * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
     return start, np.minimum(start + WINDOW, before[row + 1])
 
 
@@ -122,17 +132,26 @@ def _products(block, idf, right):
                 index = np.where(place < e[:, None], term[np.minimum(place, len(term) - 1)], size)
                 rows = (basis[index] * weight[index][:, :, None]).sum(1)
                 np.add.at(total, index.ravel(), (rows[:, None, :] * weight[index][:, :, None]).reshape(-1, basis.shape[1]))
-        used = np.flatnonzero(total[:size].any(1))
+        parts = [(at // TERMS, total[at:at + TERMS].tobytes()) for at in range(0, size, TERMS)
+                 if total[at:at + TERMS].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array(list(total[used]), pa.list_(pa.float64()))], ["term", "row"])
+            [pa.array([p for p, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["part", "rows"])
     return run
 
 
+def _added(group: pd.DataFrame) -> pd.DataFrame:
+    """The sum of what tasks send for some terms."""
+    total = np.frombuffer(group["rows"].iloc[0]).copy()
+    for rows in group["rows"].iloc[1:]:
+        total += np.frombuffer(rows)
+    return pd.DataFrame({"part": group["part"].iloc[:1], "rows": [total.tobytes()]})
+
+
 def latent_terms(rows: DataFrame, block, idf, size: int) -> np.ndarray:
     """Leading right singular vectors of the TF-IDF matrix of ``rows``, by terms.
 
-    A random start is multiplied by A'A, made orthonormal, and so on. Tasks fold their rows' products;
-    sums over tasks are grouped by term. What comes to the driver has the size of the block's vocabulary.
+    ``rows`` are the items' texts. A random start is multiplied by A'A, made orthonormal, and so on. Tasks fold their rows' products;
+    sums over tasks are grouped by range of terms. What comes to the driver has the size of the block's vocabulary.
     """
     spark = rows.sparkSession
     width = min(RANK + SURPLUS, size)
@@ -140,10 +159,13 @@ def latent_terms(rows: DataFrame, block, idf, size: int) -> np.ndarray:
     basis[size] = 0
     for _ in range(ROUNDS + 1):
         right = spark.sparkContext.broadcast(basis)
-        sums = rows.mapInArrow(_products(block, idf, right), "term long, row array<double>").select(
-            "term", F.posexplode("row").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x")).toPandas()
+        sums = (rows.mapInArrow(_products(block, idf, right), "part long, rows binary")
+                .groupBy("part").applyInPandas(_added, "part long, rows binary").collect())
         basis = np.zeros((size + 1, width))
-        basis[sums["term"], sums["k"]] = sums["x"]
+        for part, found in sums:
+            found = np.frombuffer(found).reshape(-1, width)
+            basis[part * TERMS:part * TERMS + len(found)] = found
+        basis[size] = 0
         basis[:size] = np.linalg.qr(basis[:size])[0]
         right.unpersist()
     return basis[:, :RANK].astype(np.float32)
@@ -163,54 +185,94 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _search(block, idf, latent):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weight, space = block.value, idf.value, latent.value
-        size = len(own.vocabulary)
-        weighted = space * weight[:, None]
-        mass = (weight ** 2).astype(np.float64)
+class Passages:
+    """Passages in the latent space, from light to heavy."""
+
+    def __init__(self, block: Block, weight: np.ndarray, space: np.ndarray):
+        self.block, self.size = block, len(block.vocabulary)
+        self.space = space * weight[:, None]
+        self.squares = (weight ** 2).astype(np.float64)
+        terms = [block.terms(p) for p in block.passages]
+        mass = np.array([self.squares[t].sum() for t in terms])
+        self.order = np.argsort(mass, kind="stable")
+        self.needs = MASS * mass[self.order]
+        latent = np.stack([self.space[terms[i]].sum(0) for i in self.order])
+        self.norm = np.linalg.norm(latent, axis=1)
+        self.latent = np.ascontiguousarray(latent.T)
+        self.terms = np.full((len(terms), PASSAGE), -1)
+        for k, i in enumerate(self.order):
+            self.terms[k, :len(terms[i])] = terms[i]
+        self.length = (self.terms >= 0).sum(1)
+
+    def _sums(self, term: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Latent vectors of windows; steps of words are added up once and shared by their windows."""
+        parts = WINDOW // STEP
+        begins = (start[:, None] + STEP * np.arange(parts)).ravel()
+        limit = np.repeat(stop, parts)
+        begins = np.where(begins < limit, begins, -1)  # beyond the text
+        begins, index, where = np.unique(begins, return_index=True, return_inverse=True)
+        ends = np.where(begins < 0, -1, np.minimum(begins + STEP, limit[index]))
+        total = np.zeros((len(begins), self.space.shape[1]), np.float32)
+        for j in range(STEP):
+            place = begins + j
+            total += self.space[np.where(place < ends, term[np.minimum(place, len(term) - 1)], self.size)]
+        where = where.reshape(-1, parts)
+        out = total[where[:, 0]]
+        for j in range(1, parts):
+            out += total[where[:, j]]
+        return out
+
+    def candidates(self, term: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple]:
+        """First word, stop, passage number and cosine of the windows that may hold a passage."""
+        held = np.concatenate([[0.0], np.cumsum(self.squares[term])])
+        held = held[stop] - held[start]
+        keep = held >= self.needs[0]
+        start, stop, held = start[keep], stop[keep], held[keep]
+        for at in range(0, len(start), 2048):
+            s, e, h = (x[at:at + 2048] for x in (start, stop, held))
+            windows = self._sums(term, s, e)
+            order = np.argsort(h)
+            for some in np.array_split(order, 8):  # lighter windows meet fewer passages
+                if not len(some):
+                    continue
+                count = int(np.searchsorted(self.needs, h[some[-1]], "right"))
+                dot = windows[some] @ self.latent[:, :count]
+                size = np.linalg.norm(windows[some], axis=1)[:, None]
+                norm = self.norm[:count]
+                w, p = np.nonzero((dot >= CONTAINED * norm ** 2) & (dot >= COSINE * norm * size))
+                cosine = dot[w, p] / np.maximum(norm[p] * size[w, 0], 1e-9)
+                w = some[w]
+                for k in range(0, len(w), 1 << 14):
+                    a, b, q = s[w[k:k + (1 << 14)]], e[w[k:k + (1 << 14)]], p[k:k + (1 << 14)]
+                    place = a[:, None] + np.arange(WINDOW)
+                    words_ = np.where(place < b[:, None], term[np.minimum(place, len(term) - 1)], self.size)
+                    shared = (self.terms[q][:, :, None] == words_[:, None, :]).any(2).sum(1)
+                    good = shared >= SHARED * self.length[q]
+                    yield from zip(a[good].tolist(), b[good].tolist(), self.order[q[good]].tolist(),
+                                   cosine[k:k + (1 << 14)][good].tolist())
 
-        def unit(x):
-            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
-        passages = unit(np.stack([weighted[own.terms(p)].sum(0) for p in own.passages])).T
-        owner = np.array(own.owner)
-        sets = [set(p.tolist()) for p in own.passages]
+def _search(block, idf, latent):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = block.value
+        passages = Passages(own, idf.value, latent.value)
         for batch in words.pieces(batches):
             hashes, before = _hashed(batch.column("text"))
-            term = own.terms(hashes)
-            start, stop = _windows(before)
-            inside = np.concatenate([[0.0], np.cumsum(np.where(term < size, mass[term], 0.0))])
-            whole = np.concatenate([[0.0], np.cumsum(mass[term])])
-            held = inside[stop] - inside[start]
-            keep = held >= MASS * np.maximum(whole[stop] - whole[start], 1e-9)
-            start, stop = start[keep], stop[keep]
             best: dict[tuple[int, int], tuple] = {}
-            for at in range(0, len(start), 2048):
-                s, e = start[at:at + 2048], stop[at:at + 2048]
-                place = s[:, None] + np.arange(WINDOW)
-                index = np.where(place < e[:, None], term[np.minimum(place, len(term) - 1)], size)
-                window = unit(weighted[index].sum(1))
-                cosine = window @ passages
-                for w, p in zip(*np.nonzero(cosine >= COSINE)):
-                    a, b = int(s[w]), int(e[w])
-                    passage = own.passages[p]
-                    here = sets[p].intersection(hashes[a:b].tolist())
-                    if len(here) < 0.4 * len(sets[p]):  # below what any of the shares below can come from
-                        continue
-                    row = int(np.searchsorted(before, a, "right")) - 1
-                    low, high = int(before[row]), int(before[row + 1])
-                    share = _lcs(passage, hashes[max(a - STEP, low):min(b + STEP, high)]) / len(passage)
-                    if share < ANSWERED_SHARE:
-                        continue
-                    i = int(owner[p])
-                    item, answer = own.items[i], own.answers[i]
-                    around = hashes[max(a - len(item), low):min(b + len(item), high)]
-                    item_share = _lcs(item, around) / len(item)
-                    answered = len(answer) > 0 and _lcs(answer, around) >= ANSWER_SHARE * len(answer)
-                    found = (max(share, best.get((row, i), (0,))[0]), item_share, answered, a - low, float(cosine[w, p]))
-                    if (row, i) not in best or (found[0], found[1]) > best[row, i][:2]:
-                        best[row, i] = found
+            for a, b, p, cosine in passages.candidates(own.terms(hashes), *_windows(before)):
+                row = int(np.searchsorted(before, a, "right")) - 1
+                low, high = int(before[row]), int(before[row + 1])
+                passage, i = own.passages[p], own.owner[p]
+                share = _lcs(passage, hashes[max(a - STEP, low):min(b + STEP, high)]) / len(passage)
+                if share < ANSWERED_SHARE:
+                    continue
+                item, answer = own.items[i], own.answers[i]
+                around = hashes[max(a - len(item), low):min(b + len(item), high)]
+                item_share = _lcs(item, around) / len(item)
+                answered = len(answer) > 0 and _lcs(answer, around) >= ANSWER_SHARE * len(answer)
+                known = best.get((row, i), (0.0, 0.0, False, a - low, 0.0))
+                best[row, i] = (max(share, known[0]), max(item_share, known[1]), answered or known[2],
+                                min(a - low, known[3]), max(cosine, known[4]))
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[r], own.ids[i], *v) for (r, i), v in sorted(best.items())]
             yield pa.RecordBatch.from_arrays(
@@ -266,11 +328,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         frequency = np.zeros(size + 1)
         known = counts[counts["term"] >= 0]
         frequency[known["term"]] = known["n"]
-        idf = spark.sparkContext.broadcast(np.log((total + 1.0) / (frequency + 0.5)).clip(0.05).astype(np.float32))
+        idf = spark.sparkContext.broadcast(_weights(frequency, total))
         passages = spark.createDataFrame(pd.DataFrame({"text": items["text"]}))
-        sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text")
-        rows = words.stored(passages.unionByName(sample), "passages").repartition(
-            int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = words.stored(passages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "passages")
         latent = spark.sparkContext.broadcast(latent_terms(rows, sent, idf, size))
         found = words.stored(texts.mapInArrow(_search(sent, idf, latent), _MATCH), "matches")
         out = found if not number else out.unionByName(found)

@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
+import corpus_pipeline
 from rolecall.llm import bpe_codec, decontamination, html_extraction, language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup, url_filters
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -94,23 +94,34 @@ def _packed(entries: np.ndarray, docs: np.ndarray) -> bytes:
     used = np.unique(np.searchsorted(stops, entries["window"], "right"))
     steps = np.diff(entries["window"].astype(np.int64), prepend=0)
     large = steps[steps >= 0xFF].astype("<u4")
-    head = np.array([len(entries), len(large), len(used)], "<u4")
+    ids, begins = docs["doc"][used], stops[used] - docs["windows"][used]
+    id_steps, begin_steps = _narrow(np.diff(ids.view(np.uint64))), _narrow(np.diff(begins, prepend=0))
+    head = np.array([len(entries), len(large), len(used), id_steps.itemsize, begin_steps.itemsize], "<u4")
     hashes = entries["hash"]
     return b"".join((
         head.tobytes(), hashes.astype("<u4").tobytes(), (hashes >> np.uint64(32)).astype("<u2").tobytes(),
         (hashes >> np.uint64(48)).astype("u1").tobytes(), np.minimum(steps, 0xFF).astype("u1").tobytes(),
-        large.tobytes(), docs["doc"][used].tobytes(), (stops[used] - docs["windows"][used]).astype("<u4").tobytes()))
+        large.tobytes(), ids[:1].tobytes(), id_steps.tobytes(), begin_steps.tobytes()))
+
+
+def _narrow(steps: np.ndarray) -> np.ndarray:
+    """Steps upwards in the narrowest type that holds them."""
+    return steps.astype(np.min_scalar_type(int(steps.max(initial=0))).newbyteorder("<"))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, window number in the block, document id and place in the document of each entry."""
-    n, n_large, n_docs = np.frombuffer(blob, "<u4", 3).tolist()
-    at = 12
+    n, n_large, n_docs, id_size, begin_size = np.frombuffer(blob, "<u4", 5).tolist()
+    at = 20
     parts = []
-    for kind, count in (("<u4", n), ("<u2", n), ("u1", n), ("u1", n), ("<u4", n_large), ("<i8", n_docs), ("<u4", n_docs)):
+    for kind, count in (("<u4", n), ("<u2", n), ("u1", n), ("u1", n), ("<u4", n_large), ("<i8", min(n_docs, 1)),
+                        (f"<u{id_size}", max(n_docs - 1, 0)), (f"<u{begin_size}", n_docs)):
         parts.append(np.frombuffer(blob, kind, count, at))
         at += parts[-1].nbytes
-    low, middle, high, small, large, ids, begins = parts
+    low, middle, high, small, large, first, id_steps, begin_steps = parts
+    # ids may lie anywhere in 64 bits, so their steps are added as they wrap
+    ids = np.cumsum(np.concatenate([first.view("<u8"), id_steps.astype("<u8")]), dtype=np.uint64).view(np.int64)
+    begins = np.cumsum(begin_steps, dtype=np.int64)
     hashes = (low.astype(np.uint64) | middle.astype(np.uint64) << np.uint64(32)
               | high.astype(np.uint64) << np.uint64(48))
     steps = small.astype(np.int64)
