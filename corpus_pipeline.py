@@ -23,30 +23,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with ``lang`` set to the language found."""
     found = document_languages(docs, _table(spark, sf_dir, "pages")).where("kept")
-    kept = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max_by("language", "confidence").alias("_language"))
-    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-            .withColumn("lang", F.col("_language")).select(*docs.columns))
+    own, language = words.fresh(docs, "_id", "_language")
+    kept = found.groupBy(F.col("doc_id").alias(own)).agg(F.max_by("language", "confidence").alias(language))
+    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)))
+            .withColumn("lang", F.col(language)).select(*docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those of which nothing is left go."""
-    cut = without_repeated_lines(docs).where("n_lines = 0 OR n_removed < n_lines")
+    # the operator's own columns must not replace columns of the table
+    cut = without_repeated_lines(docs.drop("n_lines", "n_removed", "removed_lines"))
+    cut = cut.where("n_lines = 0 OR n_removed < n_lines")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of near duplicates; those without an id stay."""
+    (own,) = words.fresh(docs, "_id")
     firsts = simhash_classes(docs.select("doc_id", "text")).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_id")).distinct()
-    return docs.join(firsts, F.col("doc_id") == F.col("_id"), "left").where(
-        "_id IS NOT NULL OR doc_id IS NULL").select(*docs.columns)
+        F.col("doc_id").alias(own)).distinct()
+    return docs.join(firsts, F.col("doc_id") == F.col(own), "left").where(
+        F.col(own).isNotNull() | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    (own,) = words.fresh(docs, "_id")
     hit = benchmark_matches(docs.select("doc_id", "text"), _table(spark, sf_dir, "benchmark")).where(
-        "contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+        "contaminated").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

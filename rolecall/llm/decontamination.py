@@ -26,7 +26,7 @@ PASSAGE, PASSAGE_STEP = 16, 8
 #: Words of a document's window, and of the step: any passage lies in one whole window.
 WINDOW, STEP = 24, 8
 #: Dimensions of the latent space, surplus ones while it is made, and rounds of power iteration.
-RANK, SURPLUS, ROUNDS = 192, 16, 2
+RANK, SURPLUS, ROUNDS = 192, 16, 1
 #: Cosine from which a window and a passage are candidates.
 COSINE = 0.5
 #: Share of a passage's squared weight that a window must hold before it is compared with it, share of
@@ -36,8 +36,8 @@ MASS, CONTAINED, SHARED = 0.5, 0.5, 0.5
 PASSAGE_SHARE, ITEM_SHARE, ANSWERED_SHARE, ANSWER_SHARE = 0.8, 0.6, 0.5, 0.8
 #: Terms of which products are summed together.
 TERMS = 512
-#: Words of all items of a block.
-BLOCK_WORDS = 200_000
+#: Words of all items of a block, and of those that a task of the SVD takes.
+BLOCK_WORDS, TASK_WORDS = 200_000, 25_000
 
 #: Letters and digits stay, ASCII punctuation separates words like white space.
 _WORDS = np.arange(256, dtype=np.uint8)
@@ -77,10 +77,9 @@ class Block:
         return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary))
 
 
-def _frequencies(block):
+def _frequencies(own):
     """Document frequencies of a block's terms, folded in each task."""
     def run(batches):
-        own = block.value
         size = len(own.vocabulary)
         found, total = np.zeros(size, np.int64), 0
         for batch in words.pieces(batches):
@@ -116,10 +115,17 @@ def _windows(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW, before[row + 1])
 
 
-def _products(block, idf, right):
+def _start(size: int, width: int) -> np.ndarray:
+    """The random start of the SVD, the same in every task."""
+    basis = np.random.default_rng(7).standard_normal((size + 1, width)).astype(np.float32)
+    basis[size] = 0
+    return basis
+
+
+def _products(own, weight, width, right):
     """A block of rows' share of A' A times ``right``, where A has the TF-IDF rows of windows."""
     def run(batches):
-        own, weight, basis = block.value, idf.value, right.value
+        basis = right.value if right else _start(len(own.vocabulary), width)
         size = len(own.vocabulary)
         total = np.zeros((size + 1, basis.shape[1]))
         for batch in words.pieces(batches):
@@ -155,11 +161,9 @@ def latent_terms(rows: DataFrame, block, idf, size: int) -> np.ndarray:
     """
     spark = rows.sparkSession
     width = min(RANK + SURPLUS, size)
-    basis = np.random.default_rng(7).standard_normal((size + 1, width))
-    basis[size] = 0
-    for _ in range(ROUNDS + 1):
-        right = spark.sparkContext.broadcast(basis)
-        sums = (rows.mapInArrow(_products(block, idf, right), "part long, rows binary")
+    right = None
+    for left in range(ROUNDS, -1, -1):
+        sums = (rows.mapInArrow(_products(block, idf, width, right), "part long, rows binary")
                 .groupBy("part").applyInPandas(_added, "part long, rows binary").collect())
         basis = np.zeros((size + 1, width))
         for part, found in sums:
@@ -167,8 +171,9 @@ def latent_terms(rows: DataFrame, block, idf, size: int) -> np.ndarray:
             basis[part * TERMS:part * TERMS + len(found)] = found
         basis[size] = 0
         basis[:size] = np.linalg.qr(basis[:size])[0]
-        right.unpersist()
-    return basis[:, :RANK].astype(np.float32)
+        basis = basis.astype(np.float32)
+        right = spark.sparkContext.broadcast(basis) if left else None
+    return basis[:, :RANK]
 
 
 def _lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -252,10 +257,9 @@ class Passages:
                                    cosine[k:k + (1 << 14)][good].tolist())
 
 
-def _search(block, idf, latent):
+def _search(own, weight, latent):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = block.value
-        passages = Passages(own, idf.value, latent.value)
+        passages = Passages(own, weight, latent.value)
         for batch in words.pieces(batches):
             hashes, before = _hashed(batch.column("text"))
             best: dict[tuple[int, int], tuple] = {}
@@ -321,18 +325,19 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         size = len(block.vocabulary)
         if not size:
             continue
-        sent = spark.sparkContext.broadcast(block)
-        counts = texts.select("text").mapInArrow(_frequencies(sent), "term long, n long").groupBy("term").agg(
+        counts = texts.select("text").mapInArrow(_frequencies(block), "term long, n long").groupBy("term").agg(
             F.sum("n").alias("n")).toPandas()
         total = int(counts.loc[counts["term"] < 0, "n"].sum())
         frequency = np.zeros(size + 1)
         known = counts[counts["term"] >= 0]
         frequency[known["term"]] = known["n"]
-        idf = spark.sparkContext.broadcast(_weights(frequency, total))
+        weight = _weights(frequency, total)
         passages = spark.createDataFrame(pd.DataFrame({"text": items["text"]}))
-        rows = words.stored(passages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "passages")
-        latent = spark.sparkContext.broadcast(latent_terms(rows, sent, idf, size))
-        found = words.stored(texts.mapInArrow(_search(sent, idf, latent), _MATCH), "matches")
+        # each task sends a table of all terms, so a task takes as many words as there may be terms
+        tasks = 1 + sum(map(len, block.items)) // TASK_WORDS
+        rows = words.stored(passages.repartition(tasks), "passages")
+        latent = spark.sparkContext.broadcast(latent_terms(rows, block, weight, size))
+        found = words.stored(texts.mapInArrow(_search(block, weight, latent), _MATCH), "matches")
         out = found if not number else out.unionByName(found)
     return out.withColumn("contaminated", (F.col("passage_share") >= PASSAGE_SHARE) | (F.col("item_share") >= ITEM_SHARE)
                           | (F.col("answer_found") & (F.col("item_share") >= ANSWERED_SHARE)))

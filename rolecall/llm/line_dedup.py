@@ -76,20 +76,19 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN
     nor a source.
     """
     docs = docs.drop("n_lines", "n_removed", "removed_lines")
-    found = repeated_lines(docs, min_lines, min_words).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "places")
-    joined = docs.join(found.withColumnRenamed("places", "_places"),
-                       (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    split = joined.withColumn("_lines", F.coalesce(F.split(F.col("text").cast("string"), "\n"), F.array().cast("array<string>")))
-    filled = split.withColumn("_filled", F.filter(
-        F.transform("_lines", lambda line, i: F.when(line.rlike("[^\\x20\\x09-\\x0D]"), i)), lambda i: i.isNotNull()))
-    removed = filled.withColumn("removed_lines", F.coalesce(
-        F.transform("_places", lambda p: F.get("_filled", p)), F.array().cast("array<int>")))
+    own_id, own_hash, places, lines, filled = words.fresh(docs, "_id", "_hash", "_places", "_lines", "_filled")
+    found = repeated_lines(docs, min_lines, min_words).toDF(own_id, own_hash, places)
+    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash)), "left")
+    split = joined.withColumn(lines, F.coalesce(F.split(F.col("text").cast("string"), "\n"), F.array().cast("array<string>")))
+    split = split.withColumn(filled, F.filter(
+        F.transform(lines, lambda line, i: F.when(line.rlike("[^\\x20\\x09-\\x0D]"), i)), lambda i: i.isNotNull()))
+    removed = split.withColumn("removed_lines", F.coalesce(
+        F.transform(places, lambda p: F.get(filled, p)), F.array().cast("array<int>")))
     kept = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed_lines"),
-        lambda i: F.get("_lines", i)), "\n"))
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed_lines"),
+        lambda i: F.get(lines, i)), "\n"))
     return (removed.withColumn("text", kept)
-            .withColumn("n_lines", F.size("_filled").cast("long"))
+            .withColumn("n_lines", F.size(filled).cast("long"))
             .withColumn("n_removed", F.size("removed_lines").cast("long"))
             .select(*docs.columns, "n_lines", "n_removed", "removed_lines"))
 

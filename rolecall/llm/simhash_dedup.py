@@ -83,7 +83,8 @@ def _node_pairs(prints: DataFrame, max_bits: int, node: int) -> DataFrame:
     masks = [m for m in range(1 << LEVELS) if m.bit_count() <= max_bits]
     done, pair = None, ["block", "low", "high"]
     while True:
-        sizes = members.groupBy(*pair).count()
+        # nodes less than eight levels above the keys are small as they are
+        sizes = members.where(F.col("depth") <= BITS - LEVELS).groupBy(*pair).count()
         large = words.stored(sizes.where(F.col("count") > node).select(*pair), "simhash-nodes")
         if large.isEmpty():
             return members if done is None else done.unionByName(members)
@@ -258,17 +259,21 @@ def fingerprint_pairs(prints: DataFrame, max_bits: int = MAX_BITS, node: int = N
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root: the least node of each connected component, for every node of a link (a, b).
+    """node, root: one node of each connected component, for every node of a link (a, b).
 
-    Each round sends every node to its least neighbour and keeps the links between their images, so
-    the graph shrinks until no link is left.
+    Each round sends every node to that of its neighbours and itself whose hash is least, and keeps the
+    links between their images. The order is as good as random, so each round takes away a share of the
+    nodes whatever the shape of the graph, until no link is left.
     """
+    def ranked(name):
+        return F.struct(F.xxhash64(name).alias("h"), F.col(name).alias("node"))
+
     rounds, links = [], words.stored(links, "links")
     while not links.isEmpty():
         both = links.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
             links.select(F.col("b").alias("node"), F.col("a").alias("next")))
-        step = words.stored(both.groupBy("node").agg(F.min("next").alias("next"))
-                            .select("node", F.least("node", "next").alias("next")), "steps")
+        step = words.stored(both.groupBy("node").agg(F.min(ranked("next")).alias("next"))
+                            .select("node", F.least("next", ranked("node"))["node"].alias("next")), "steps")
         rounds.append(step)
         links = words.stored(
             links.join(step.select(F.col("node").alias("a"), F.col("next").alias("x")), "a")

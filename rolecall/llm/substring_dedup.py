@@ -172,6 +172,8 @@ def _spans(window: int):
         stops = np.cumsum(table["windows"], dtype=np.int64)
         at = np.flatnonzero(later)
         place = at - (stops[row[at]] - table["windows"][row[at]])
+        if not len(at):
+            return pd.DataFrame({"doc_id": [], "text_hash": [], "starts": [], "lengths": []})
         # a factor goes on while windows overlap or touch
         new = np.ones(len(at), bool)
         new[1:] = (row[at][1:] != row[at][:-1]) | (place[1:] - place[:-1] > window)

@@ -47,9 +47,10 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
 
 def _host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """For each host the listed rules that fit it or a domain above it."""
-    parts = F.split("host", "\\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    # a rule of so many labels fits the end of a host that has as many
+    labels = rules.agg(F.max(F.size(F.split("host", "\\.")))).first()[0] or 1
+    above = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(labels)), lambda i: F.array_join(
+        F.slice(F.split("host", "\\."), -F.least(i, F.size(F.split("host", "\\."))), i), ".")))
     listed = rules.select(F.col("host").alias("_above"), F.struct(
         F.length(F.concat("host", "path")).alias("length"), F.concat("host", "path").alias("rule"),
         F.col("path").alias("start"), "verdict").alias("listed"))

@@ -37,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that a table does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text",
            limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches that hold ``limit`` bytes of text, or one longer row."""
