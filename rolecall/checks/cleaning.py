@@ -51,7 +51,7 @@ def _(m):
 WITH best AS (SELECT company_id, domain FROM (SELECT *, row_number() OVER (PARTITION BY company_id
     ORDER BY confidence DESC, CASE WHEN resolved_at IS NULL THEN 1 ELSE 0 END, resolved_at DESC, id DESC) AS rn
     FROM $company_domains) d WHERE rn = 1),
- listed AS (SELECT c.ticker, b.domain FROM $companies c JOIN best b ON b.company_id = c.id ORDER BY c.ticker LIMIT 500)
+ listed AS (SELECT c.ticker, b.domain FROM $companies c JOIN best b ON b.company_id = c.id)
 SELECT regexp_extract(lower(domain), '^([^/]+)', 1) AS host, min(ticker) AS pos FROM listed GROUP BY 1
 ORDER BY min(ticker), 1 LIMIT 100""")
 def _(m):
@@ -345,9 +345,11 @@ def _(m):
 
 @check("plain_page_text", """
 WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g') AS t FROM $pages),
- b AS (SELECT page_id, regexp_replace(t, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g') AS t FROM a),
+ i AS (SELECT page_id, regexp_replace(t, '(?s)<!--.*?-->|</?[ab](\\s[^>]*)?>', '', 'g') AS t FROM a),
+ b AS (SELECT page_id, regexp_replace(t, '<[^>]*>', ' ', 'g') AS t FROM i),
  c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-    '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM b)
+    '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t
+    FROM (SELECT page_id, regexp_replace(t, '&amp($|[^a-zA-Z0-9;])', '&amp;\\1', 'g') AS t FROM b) o)
 SELECT page_id AS id, trim(regexp_replace(replace(t, chr(160), ' '), '\\s+', ' ', 'g')) AS description_plain FROM c""")
 def _(m):
     rows = m.pages.select(F.col("page_id").alias("id"), F.col("html").alias("description_text"))
@@ -430,7 +432,7 @@ WITH w AS (SELECT id AS company_id, CASE WHEN name LIKE '%Acquisition-Corp' THEN
  r AS (SELECT company_id, unnest([0, 1, 2, 3, 4, 5]) AS rank, replace(words, ' ', '') AS compact, replace(words, ' ', '-') AS hyphened FROM w)
 SELECT company_id, CAST(rank AS INT) AS rank, concat(CASE rank % 2 WHEN 0 THEN compact ELSE hyphened END, CASE WHEN rank < 2 THEN '.com' WHEN rank < 4 THEN '.io' ELSE '.ai' END) AS candidate_domain FROM r""")
 def _(m):
-    return N.domain_candidates(m.sql(NAMED))
+    return N.domain_candidates(m.sql(NAMED), limit=6)
 
 
 @check("vendor_slug_candidates", """

@@ -89,7 +89,7 @@ WITH f AS (SELECT id, candidate_url, concat(lower(regexp_extract(candidate_url,
 SELECT url_pattern, status, count(*) AS total, min_by(candidate_url, id) AS sample_url FROM f GROUP BY 1, 2
 ORDER BY total DESC, url_pattern, coalesce(CAST(status AS VARCHAR), 'ERR') LIMIT 20""")
 def _(m):
-    return R.failing_url_patterns(m.careers_discovery_failures.withColumn("ord", F.col("id")))
+    return R.failing_url_patterns(m.careers_discovery_failures.withColumn("ord", F.col("id")), 20)
 
 
 STATUSES = """
@@ -176,7 +176,7 @@ def _(m):
 WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM $events), t AS (SELECT d, 0 AS pos, 'timeout' AS error FROM d UNION ALL SELECT d, 1, concat('e', CAST(day(d) % 7 AS VARCHAR)) FROM d)
 SELECT error FROM t GROUP BY 1 ORDER BY min((d, pos)) LIMIT 50""")
 def _(m):
-    return R.distinct_sample_errors(m.sql(RESOLVES))
+    return R.distinct_sample_errors(m.sql(RESOLVES), 50)
 
 
 CYCLES = """
@@ -230,7 +230,7 @@ UNION ALL SELECT * FROM (SELECT 'attempt_error_bucket_run_scope', coalesce(error
 UNION ALL SELECT 'ats_type_total', ats_type, '', count(*) FROM $ats_endpoints GROUP BY 2
 UNION ALL SELECT 'ats_type_created_run_scope', ats_type, '', count(*) FROM $ats_endpoints WHERE id > {NEW_ENDPOINTS} GROUP BY 2""")
 def _(m):
-    return R.metric_snapshot(m.crawl_hosts, m.crawl_urls, m.crawl_url_attempts, m.ats_endpoints, "2024-01-15 00:00:00", NEW_ATTEMPTS, NEW_ENDPOINTS)
+    return R.metric_snapshot(m.crawl_hosts, m.crawl_urls, m.crawl_url_attempts, m.ats_endpoints, "2024-01-15 00:00:00", NEW_ATTEMPTS, NEW_ENDPOINTS, top_errors=20)
 
 
 @check("scale_snapshot", """

@@ -220,7 +220,7 @@ def _(m):
 
 @check("recent_runs", "SELECT id, started_at, finished_at, status FROM $crawl_runs ORDER BY started_at DESC, id DESC LIMIT 10")
 def _(m):
-    return D.recent_runs(m.crawl_runs)
+    return D.recent_runs(m.crawl_runs, 10)
 
 
 @check("latest_run", "SELECT id, started_at, finished_at, status FROM $crawl_runs ORDER BY started_at DESC, id DESC LIMIT 1")
@@ -282,7 +282,7 @@ def _(m):
 @check("hosts_in_cooldown", """
 SELECT * FROM $host_crawl_state WHERE next_allowed_at > TIMESTAMP '2024-01-30 00:30:00' ORDER BY next_allowed_at, host LIMIT 100""")
 def _(m):
-    return D.hosts_in_cooldown(m.host_crawl_state, "2024-01-30 00:30:00")
+    return D.hosts_in_cooldown(m.host_crawl_state, "2024-01-30 00:30:00", 100)
 
 
 @check("host_state", "SELECT * FROM $host_crawl_state WHERE host = 'm.ththth.example.net'")

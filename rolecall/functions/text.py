@@ -1,6 +1,7 @@
 """Text helpers as column expressions."""
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,39 +72,54 @@ def case_first(rules, default=None) -> Column:
 
 def like_contains(c: Column, needle: str) -> Column:
     """Case-insensitive LIKE '%needle%'; % and _ in the needle stay wildcards."""
-    return F.lower(c).like("%" + needle.lower() + "%")
+    return F.lower(c).like("%" + like_text(needle.lower()) + "%")
+
+
+def like_text(text: str) -> str:
+    """A text as part of a LIKE pattern: its backslashes stand for themselves."""
+    return text.replace("\\", "\\\\")
 
 
 def unescape_html(c: Column) -> Column:
-    """Decode the entities a text names: numeric ones by number, listed names, ampersands last.
+    """Decode character references once, from left to right: what one gives never starts another.
 
-    A reference that is decoded to an ampersand never starts a new one.
+    Numbers and all names of HTML count; the old names also without a semicolon, where no letter or
+    digit follows. Anything else stays as it is.
     """
     def decoded(text):
-        refs = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)))
-        others = F.filter(refs, lambda r: ~r.isin(AMPERSANDS))
-        plain = F.aggregate(others, text, lambda acc, r: F.replace(acc, r, _entity(r)))
-        for ampersand in AMPERSANDS:
-            plain = F.replace(plain, F.lit(ampersand), F.lit("&"))
-        return plain
+        parts = F.split(text, "&")
+        return F.concat(F.get(parts, 0), F.array_join(
+            F.transform(F.slice(parts, F.lit(2), F.size(parts)), _after_ampersand), ""))
 
     return let(c, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
-def _entity(ref: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for n, char in NAMED_ENTITIES for x in (f"&{n};", char)])
-    return F.when(ref.startswith("&#"), _code_point(ref)).otherwise(
-        F.coalesce(F.try_element_at(names, ref), ref))
+def _after_ampersand(text: Column) -> Column:
+    """A piece of text that followed an ampersand, with its reference decoded."""
+    def with_reference(ref):
+        number = F.when(ref.startswith("#"), _code_point(ref))
+        char = F.coalesce(number, F.try_element_at(_named(COMMON_NAMES), ref), F.try_element_at(_named(ALL_NAMES), ref))
+        rest = F.substr(text, F.length(ref) + 2)
+        bare = F.regexp_extract(text, OLD_NAME, 1)
+        old = F.concat(F.try_element_at(_named(ALL_NAMES), bare), F.substr(text, F.length(bare) + 1))
+        return F.when(ref != "", F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), text))).when(
+            bare != "", old).otherwise(F.concat(F.lit("&"), text))
+
+    return let(F.regexp_extract(text, REFERENCE, 1), with_reference)
+
+
+def _named(names: dict[str, str]) -> Column:
+    """Names and characters as a constant map."""
+    return F.str_to_map(F.lit("\x02".join(f"{n}\x01{char}" for n, char in names.items())), F.lit("\x02"), F.lit("\x01"))
 
 
 def _code_point(ref: Column) -> Column:
-    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+    digits = F.regexp_extract(ref, r"^#[xX]?([0-9a-fA-F]+)$", 1)
     number = F.when(
-        F.lower(ref).startswith("&#x"), F.conv(digits, 16, 10)
+        F.lower(ref).startswith("#x"), F.conv(digits, 16, 10)
     ).otherwise(digits).cast("bigint")
     return let(number, lambda n: F.when(
-        (n > 0) & (n < 0x110000), F.decode(F.unhex(F.hex(_utf8(n))), "UTF-8")
-    ).otherwise(ref))
+        (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.hex(_utf8(n))), "UTF-8")))
 
 
 def _utf8(n: Column) -> Column:
@@ -119,32 +135,54 @@ def _utf8(n: Column) -> Column:
     )
 
 
-ENTITY = r"(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});)"
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+ALL_NAMES = {name.rstrip(";"): char for name, char in html5.items()}
+COMMON_NAMES = {n: ALL_NAMES[n] for n in ("amp", "lt", "gt", "quot", "apos", "nbsp")}
+OLD_NAME = "^(" + "|".join(sorted(n for n in html5 if not n.endswith(";"))) + ")(?![a-zA-Z0-9;])"
 
-# fixed values: named entities
-NAMED_ENTITIES = [
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"),
-    ("ndash", "\u2013"), ("mdash", "\u2014"), ("lsquo", "\u2018"), ("rsquo", "\u2019"),
-    ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("bull", "\u2022"), ("hellip", "\u2026"),
-    ("middot", "\u00b7"), ("copy", "\u00a9"), ("reg", "\u00ae"), ("trade", "\u2122"),
-    ("euro", "\u20ac"),
-]
-AMPERSANDS = ["&#38;", "&amp;"]
+# fixed values: elements that do not part words
+INLINE = ("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
+          "span strike strong sub sup time tt u var wbr").split()
+INLINE_TAG = rf"(?is)<!--.*?-->|</?(?:{'|'.join(INLINE)})(?:\s[^>]*|/)?>"
 
 
 def html_to_text(c: Column) -> Column:
-    """Tags to spaces, entities decoded, white space collapsed."""
+    """Text as a reader sees it: inline tags leave no trace, other tags part words; references are decoded
+    and white space is collapsed."""
     def no_tags(t):
         no_code = F.when(
             t.rlike(r"(?i)<(?:script|style)"),
             F.regexp_replace(t, r"(?is)<(script|style)\b.*?</\1\s*>", " "),
         ).otherwise(t)
-        return F.regexp_replace(no_code, r"(?s)<!--.*?-->|<[^>]*>", " ")
+        return F.regexp_replace(F.regexp_replace(no_code, INLINE_TAG, ""), "<[^>]*>", " ")
 
     bare = let(c, lambda t: F.when(t.contains("<"), no_tags(t)).otherwise(t))
     return F.trim(F.regexp_replace(F.translate(unescape_html(bare), "\u00a0", " "), r"\s+", " "))
 
 
+def html_tables(html: Column) -> Column:
+    """The tables of a page in the order in which they end, each without the tables inside it."""
+    pieces = F.split(html, r"(?i)(?=<table\b|</table\s*>)")
+    texts_ = "array<string>"
+    start = F.struct(F.array().cast(texts_).alias("open"), F.array().cast(texts_).alias("done"))
+
+    def step(state, piece):
+        stack, done = state["open"], state["done"]
+        depth, top = F.size(stack), F.get(stack, F.size(stack) - 1)
+        outer = F.slice(stack, F.lit(1), F.greatest(depth - 1, F.lit(0)))
+        rest = F.regexp_replace(piece, r"(?is)^</table\s*>", " ")
+        below = F.when(depth > 1, F.concat(
+            F.slice(outer, F.lit(1), F.greatest(depth - 2, F.lit(0))),
+            F.array(F.concat(F.get(stack, depth - 2), rest)))).otherwise(outer)
+        return (F.when(piece.rlike(r"(?i)^<table\b"), F.struct(F.concat(stack, F.array(piece)).alias("open"), done.alias("done")))
+                .when(piece.rlike(r"(?i)^</table") & (depth > 0), F.struct(
+                    below.alias("open"), F.concat(done, F.array(F.concat(top, F.lit("</table>")))).alias("done")))
+                .otherwise(state))
+
+    return F.when(html.rlike(r"(?i)<table\b"), F.aggregate(pieces, start, step, lambda s: s["done"])).otherwise(
+        F.array().cast(texts_))
+
+
 def iso_date(c: Column) -> Column:
     """Strict yyyy-MM-dd from the first ten characters, null when it is no date."""
     head = F.regexp_extract(F.substring(strip_controls(c), 1, 10), r"^(\d{4}-\d{2}-\d{2})$", 1)

@@ -265,9 +265,8 @@ def stale_runs(runs, counts, as_of, minutes=V.RUN_ACTIVE_MINUTES) -> DataFrame:
 RUN_META = ["id", "started_at", "finished_at", "status"]
 
 
-def recent_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
-    return take(runs.select(*RUN_META), [F.desc("started_at"), F.desc("id")],
-                limit if limit > 0 else 10)
+def recent_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    return take(runs.select(*RUN_META), [F.desc("started_at"), F.desc("id")], limit)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -317,11 +316,11 @@ def endpoints_of_company(endpoints: DataFrame, company_id: int) -> DataFrame:
     ).orderBy(F.desc("detected_at"), "ats_type", "ats_url")
 
 
-def hosts_in_cooldown(states: DataFrame, as_of, limit: int = 100) -> DataFrame:
+def hosts_in_cooldown(states: DataFrame, as_of, limit: int | None = None) -> DataFrame:
     rows = states.where(F.col("next_allowed_at") > F.lit(as_of).cast("timestamp")).select(
         "host", "consecutive_failures", "last_error_category", "last_attempt_at", "next_allowed_at"
     )
-    return take(rows, [F.asc("next_allowed_at"), F.asc("host")], max(1, min(limit, 500)))
+    return take(rows, [F.asc("next_allowed_at"), F.asc("host")], limit)
 
 
 def host_state(states: DataFrame, host: str) -> DataFrame:
@@ -345,13 +344,12 @@ def with_company(rows: DataFrame, companies: DataFrame) -> DataFrame:
 
 def company_results_view(results: DataFrame, companies: DataFrame, run_column: str,
                          newest: str, run_id=None, status=None, limit=None) -> DataFrame:
-    """Company results of a run, newest first; at most 500 when a limit is given."""
+    """Company results of a run, newest first; all of them without a limit."""
     rows = of_run(results, run_column, run_id)
     if status is not None:
         rows = rows.where(F.col("status") == status)
     out = with_company(rows, companies)
-    safe = None if limit is None else max(1, min(limit, 500))
-    return take(out, [F.desc_nulls_first(newest), F.desc("id")], safe)
+    return take(out, [F.desc_nulls_first(newest), F.desc("id")], limit)
 
 
 def overall_company_results(results, companies, run_id=None, status=None, limit=None) -> DataFrame:
@@ -378,13 +376,13 @@ def recent_discovery_failures(failures, companies, limit: int) -> DataFrame:
     )
 
 
-def recent_run_failures(results, companies, run_column, at, run_id, limit,
+def recent_run_failures(results, companies, run_column, at, run_id, limit=None,
                         nulls_last=False) -> DataFrame:
-    """Failed company results of a run, newest first, 200 at most."""
+    """Failed company results of a run, newest first; all of them without a limit."""
     failed = of_run(results, run_column, run_id).where(F.col("status") == "FAILED")
     newest = F.desc_nulls_last(at) if nulls_last else F.desc_nulls_first(at)
     rows = with_company(failed, companies)
-    return take(rows, [newest, F.desc("id")], max(1, min(limit, 200))).select(
+    return take(rows, [newest, F.desc("id")], limit).select(
         "ticker", "company_name", "stage", "reason_code", "http_status", "error_detail", at
     )
 

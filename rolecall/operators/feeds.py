@@ -20,16 +20,22 @@ def finish_postings(rows: DataFrame) -> DataFrame:
     return with_hash(out.withColumn("canonical_url", strip_controls(F.col("canonical_url"))))
 
 
-def cap_feed(postings: DataFrame, keys: list[str], limit: int = V.MAX_POSTINGS_PER_FEED) -> DataFrame:
-    """The first postings of each feed up to the stored maximum."""
+def cap_feed(postings: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """The first ``limit`` postings of each feed, all of them without a limit.
+
+    The stored maximum of Workday feeds is ``MAX_POSTINGS_PER_FEED``; other boards have none.
+    """
+    if limit is None:
+        return postings
     order = [F.asc(c) for c in ("page_no", "pos") if c in postings.columns]
     return top_per_group(postings, keys, order, limit)
 
 
-def feed_summary(postings: DataFrame, keys: list[str], limit: int = V.MAX_POSTINGS_PER_FEED) -> DataFrame:
-    """Per feed: postings kept and whether the maximum cut some off."""
+def feed_summary(postings: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Per feed: postings kept and whether the maximum, if there is one, cut some off."""
+    most = F.lit(limit).cast("bigint")
     return postings.groupBy(*keys).agg(F.count("*").alias("n")).select(
-        *keys, F.least("n", F.lit(limit)).alias("extracted"), (F.col("n") > limit).alias("truncated"))
+        *keys, F.least("n", most).alias("extracted"), F.coalesce(F.col("n") > most, F.lit(False)).alias("truncated"))
 
 
 # --- board payloads --------------------------------------------------------
@@ -263,9 +269,10 @@ def workday_totals(payloads: DataFrame) -> DataFrame:
     return rows.groupBy("company_id").agg(F.max(total).alias("total_jobs_available"))
 
 
-def workday_summary(payloads: DataFrame, limit: int = V.MAX_POSTINGS_PER_FEED) -> DataFrame:
+def workday_summary(payloads: DataFrame, limit: int | None = None) -> DataFrame:
     """Per company: postings kept, whether reading stopped at the maximum, and the stated total."""
+    most = F.lit(limit).cast("bigint")
     counts = workday_postings(payloads).groupBy("company_id").agg(F.count("*").alias("n"))
     return workday_totals(payloads).join(counts, "company_id", "left").select(
-        "company_id", F.least(F.coalesce("n", F.lit(0)), F.lit(limit)).alias("extracted"),
-        (F.coalesce("n", F.lit(0)) >= limit).alias("truncated"), "total_jobs_available")
+        "company_id", F.least(F.coalesce("n", F.lit(0)), most).alias("extracted"),
+        F.coalesce(F.coalesce("n", F.lit(0)) >= most, F.lit(False)).alias("truncated"), "total_jobs_available")

@@ -218,9 +218,9 @@ def posting_conflicts(postings: DataFrame, batch: DataFrame) -> DataFrame:
 def close_out_postings(postings: DataFrame, safe_crawls: DataFrame) -> DataFrame:
     """Postings not seen in the run turn inactive, for safely crawled companies only.
 
-    ``safe_crawls`` holds company_id and crawl_run_id, one row per company.
+    ``safe_crawls`` holds company_id and crawl_run_id; of several runs of a company the last counts.
     """
-    safe = safe_crawls.select("company_id", F.col("crawl_run_id").alias("_run"))
+    safe = safe_crawls.groupBy("company_id").agg(F.max("crawl_run_id").alias("_run"))
     unseen = F.col("_run").isNotNull() & ~F.col("crawl_run_id").eqNullSafe(F.col("_run"))
     out = postings.join(safe, "company_id", "left")
     return out.select(*[

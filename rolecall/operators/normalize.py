@@ -9,7 +9,7 @@ from rolecall.functions import urls as U
 from rolecall.functions import vendors as N
 from rolecall.functions.hashing import content_hash, string_hash_hex
 from rolecall.functions.text import (
-    blank_to_null, contains_any, host_under, html_to_text, is_blank, let, record, strip_controls,
+    blank_to_null, contains_any, host_under, html_tables, html_to_text, is_blank, let, record, strip_controls,
     texts,
 )
 from rolecall.operators.latest import dedupe_first, top_per_group
@@ -107,10 +107,10 @@ def url_class_counts(urls: DataFrame) -> DataFrame:
     return classify_discovered_urls(urls).groupBy("url_type").agg(F.count("*").alias("total"))
 
 
-def job_like_urls(urls: DataFrame, per_source_limit: int = V.SITEMAP_CANDIDATE_BUDGET) -> DataFrame:
-    """Job-like URLs of each source in order, up to the budget of a source."""
+def job_like_urls(urls: DataFrame, per_source_limit: int | None = None) -> DataFrame:
+    """Job-like URLs of each source in order, up to the budget of a source if there is one."""
     rows = urls.where(U.is_job_like(F.col("url")))
-    return top_per_group(rows, ["source"], [F.asc("pos")], per_source_limit)
+    return rows if per_source_limit is None else top_per_group(rows, ["source"], [F.asc("pos")], per_source_limit)
 
 
 def sanitize_posting_urls(postings: DataFrame) -> DataFrame:
@@ -408,7 +408,7 @@ def slugs(c: Column) -> Column:
 
 
 def domain_candidates(companies: DataFrame, tlds: list[str] = V.DOMAIN_TLDS,
-                      limit: int = V.MAX_DOMAIN_CANDIDATES) -> DataFrame:
+                      limit: int | None = None) -> DataFrame:
     """Ranked domain guesses per company name: two best slugs on .com, then on the
     other endings in order, then the remaining slugs on .com."""
     others = [t.lower() for t in tlds if t.lower() != "com"]
@@ -424,7 +424,8 @@ def domain_candidates(companies: DataFrame, tlds: list[str] = V.DOMAIN_TLDS,
     short = F.when(F.length(strip_controls(F.col("ticker"))) <= 4, F.col("ticker"))
     found = let(cleanup_title(F.translate("name", "&", " ")), lambda clean: F.array_distinct(F.concat(
         slugs(strip_corporate_suffixes(clean)), slugs(clean), slugs(F.coalesce(short, F.lit(""))))))
-    guesses = F.slice(F.array_distinct(let(found, ranked)), 1, limit)
+    guesses = F.array_distinct(let(found, ranked))
+    guesses = guesses if limit is None else F.slice(guesses, 1, limit)
     return companies.where(~is_blank(F.col("name"))).select(
         "company_id", F.posexplode(guesses).alias("rank", "candidate_domain")
     )
@@ -543,11 +544,8 @@ def infobox_websites(pages: DataFrame) -> DataFrame:
 
     ``pages`` has page_id, url and html.
     """
-    box = F.regexp_extract(
-        F.col("html"),
-        r"""(?is)<table\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?infobox(?:\s[^"']*)?["'][^>]*>(.*?)</table>""",
-        1,
-    )
+    opening = r"""(?is)^<table\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?infobox(?:\s[^"']*)?["'][^>]*>"""
+    box = F.get(F.filter(html_tables(F.col("html")), lambda t: t.rlike(opening)), 0)
     rows = F.regexp_extract_all(box, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
 
     def is_website(r):

@@ -12,7 +12,7 @@ from rolecall.functions import fixed_values as V
 from rolecall.functions import urls as U
 from rolecall.functions.hashing import content_hash
 from rolecall.functions.text import (
-    blank_to_null, contains_any, first_non_blank, html_to_text, is_blank, iso_date, let, record,
+    blank_to_null, contains_any, first_non_blank, html_tables, html_to_text, is_blank, iso_date, let, record,
     strip_controls, texts,
 )
 from rolecall.functions.vendors import clean_token, strip_punctuation
@@ -123,7 +123,7 @@ def endpoints_from_anchors(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return endpoints_from_urls(anchors(pages, key).select(key, "pos", F.col("href").alias("url")), key)
 
 
-def ranked_career_links(pages: DataFrame, n: int = 10, key: str = "page_id") -> DataFrame:
+def ranked_career_links(pages: DataFrame, n: int | None = None, key: str = "page_id") -> DataFrame:
     """Best career links of each page by the words in URL and text; URL order on equal scores."""
     def plain(u):
         tail = F.when(~is_blank(u["query"]), F.concat(F.lit("?"), u["query"])).otherwise("")
@@ -141,7 +141,7 @@ def ranked_career_links(pages: DataFrame, n: int = 10, key: str = "page_id") ->
     best = links.where(F.col("candidate_url").isNotNull()).select(
         key, "candidate_url", score.alias("score")
     ).where(F.col("score") > 0).groupBy(key, "candidate_url").agg(F.max("score").alias("score"))
-    return top_per_group(best, [key], [F.desc("score"), F.asc("candidate_url")], n)
+    return best if n is None else top_per_group(best, [key], [F.desc("score"), F.asc("candidate_url")], n)
 
 
 def endpoint_candidates(detections: DataFrame) -> DataFrame:
@@ -170,12 +170,24 @@ def endpoint_candidates(detections: DataFrame) -> DataFrame:
 SCRIPT = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
 
 
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _postings_in(text: str) -> list[dict]:
-    """JobPosting objects anywhere in a JSON text, with flattened places and employment text."""
+    """JobPosting objects anywhere in a JSON text, with flattened places and employment text.
+
+    A text that is no JSON, or is nested too deeply to be read, holds none.
+    """
     try:
-        root, _ = json.JSONDecoder().raw_decode(text.strip())
-    except ValueError:
+        root, _ = json.JSONDecoder(parse_constant=_refuse).raw_decode(text.strip())
+        return [{"node": _dump(n), "places": _leaves(n.get("jobLocation")),
+                 "employment": _employment(n.get("employmentType"))} for n in _posting_objects(root)]
+    except (ValueError, RecursionError):
         return []
+
+
+def _posting_objects(root) -> list[dict]:
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -187,8 +199,7 @@ def _postings_in(text: str) -> list[dict]:
             if any(isinstance(k, str) and k.lower() == "jobposting" for k in kinds):
                 out.append(node)
             stack.extend(v for v in reversed(list(node.values())) if isinstance(v, (list, dict)))
-    return [{"node": _dump(n), "places": _leaves(n.get("jobLocation")),
-             "employment": _employment(n.get("employmentType"))} for n in out]
+    return out
 
 
 def _dump(value) -> str:
@@ -196,11 +207,16 @@ def _dump(value) -> str:
 
 
 def _leaves(value) -> list[str]:
-    if isinstance(value, list):
-        return [leaf for v in value for leaf in _leaves(v)]
-    if isinstance(value, dict):
-        return [_dump(value)]
-    return [value] if isinstance(value, str) else []
+    out, stack = [], [value]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, list):
+            stack.extend(reversed(node))
+        elif isinstance(node, dict):
+            out.append(_dump(node))
+        elif isinstance(node, str):
+            out.append(node)
+    return out
 
 
 def _employment(value) -> str | None:
@@ -307,8 +323,7 @@ def constituents(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
         return F.coalesce(*[F.nullif(place(n), F.lit(0)) for n in names])
 
-    tables = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<table\b[^>]*>.*?</table>"), F.lit(0))
-    rows = pages.select(key, F.posexplode(tables).alias("table_no", "table")).withColumn(
+    rows = pages.select(key, F.posexplode(html_tables(F.col("html"))).alias("table_no", "table")).withColumn(
         "heads", header(F.col("table"))).select(
         key, "table_no", "table", index(F.col("heads"), "symbol", "ticker").alias("i_ticker"),
         index(F.col("heads"), "security", "name").alias("i_name"),

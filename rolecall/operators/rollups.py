@@ -128,7 +128,7 @@ def attempt_evidence(failures: DataFrame, results: DataFrame, n: int = 20) -> Da
         "_source", "_field")
 
 
-def failing_url_patterns(failures: DataFrame, n: int = 20) -> DataFrame:
+def failing_url_patterns(failures: DataFrame, n: int | None = None) -> DataFrame:
     """Host and first path segment by status, with the count and the first URL seen."""
     rows = failures.select(
         url_pattern(F.col("candidate_url")).alias("url_pattern"),
@@ -203,7 +203,7 @@ def resolve_rollup(batches: DataFrame, counters: list[str]) -> DataFrame:
     ])
 
 
-def distinct_sample_errors(batches: DataFrame, limit: int = 50) -> DataFrame:
+def distinct_sample_errors(batches: DataFrame, limit: int | None = None) -> DataFrame:
     """First distinct error texts over the batches, in order."""
     texts = batches.select("batch", F.posexplode("sample_errors").alias("pos", "error"))
     first = texts.where(F.col("error") != "").groupBy("error").agg(
@@ -271,8 +271,11 @@ def _grouped(df: DataFrame, metric: str, dim1: str, dim2: str | None = None) ->
 
 
 def metric_snapshot(hosts, urls, attempts, endpoints, as_of, before_attempt_id=0,
-                    before_endpoint_id=0) -> DataFrame:
-    """Table counts and distributions in long form; run scope is what is above the marks."""
+                    before_endpoint_id=0, top_errors: int | None = None) -> DataFrame:
+    """Table counts and distributions in long form; run scope is what is above the marks.
+
+    ``top_errors`` keeps only so many error buckets, the largest.
+    """
     now = F.lit(as_of).cast("timestamp")
     one = F.count("*")
     new_attempt = F.col("id") > before_attempt_id
@@ -292,7 +295,7 @@ def metric_snapshot(hosts, urls, attempts, endpoints, as_of, before_attempt_id=0
                  ats_companies_created_run_scope=F.countDistinct(
                      F.when(new_endpoint, F.col("company_id")))),
         _grouped(urls, "crawl_urls_status", "url_kind", "status"),
-        take(buckets, [F.desc("value"), F.asc("dim1")], 20),
+        take(buckets, [F.desc("value"), F.asc("dim1")], top_errors),
         _grouped(endpoints, "ats_type_total", "ats_type"),
         _grouped(endpoints.where(new_endpoint), "ats_type_created_run_scope", "ats_type"),
     ]).select(*METRIC)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.functions import fixed_values as V
+from rolecall.functions.text import like_text
 from rolecall.operators.latest import best_domain, dedupe_first, latest_domain
 
 IDENTITY = [
@@ -185,7 +186,7 @@ def merge_targets(recent: DataFrame, fallback: DataFrame, limit: int) -> DataFra
 def company_search(companies, domains, text: str, limit: int) -> DataFrame:
     """LIKE on ticker, name and lowest domain; exact ticker first, then exact name."""
     wanted = text.strip().lower()
-    like = f"%{wanted}%"
+    like = f"%{like_text(wanted)}%"
     lowest = domains.groupBy("company_id").agg(F.min("domain").alias("domain"))
     rows = companies.select("id", "ticker", "name").join(
         lowest.withColumnRenamed("company_id", "id"), "id", "left"
@@ -217,15 +218,12 @@ def cohort_domain_state(companies, domains, cohort: DataFrame) -> DataFrame:
     return rows.join(newest, "company_id", "left").orderBy("ticker")
 
 
-def seed_domains(companies, domains, limit: int) -> DataFrame:
+def seed_domains(companies, domains, limit: int | None = None) -> DataFrame:
     """Hosts of the best domains in ticker order, each host once, first place kept.
 
-    The oversample of the source (five times the limit, 10000 at most) bounds how
-    many domains are read before hosts are deduplicated.
+    All domains are deduplicated; ``limit`` cuts the hosts, not what is read for them.
     """
     from rolecall.operators.normalize import url_hosts
 
-    safe = max(1, limit)
-    oversample = min(10000, safe * 5)
-    rows = best_domain(companies, domains).orderBy("ticker").limit(oversample)
-    return url_hosts(rows.select("domain", F.col("ticker").alias("pos")), safe)
+    rows = best_domain(companies, domains)
+    return url_hosts(rows.select("domain", F.col("ticker").alias("pos")), limit)

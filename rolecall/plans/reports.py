@@ -78,7 +78,7 @@ def attempt_diagnostics(t: Tables, limit: int = 20) -> Report:
 
 def crawl_run_diagnostics(t: Tables, limit: int = 10) -> DataFrame:
     """The newest runs with their activity counts."""
-    runs = D.recent_runs(t["crawl_runs"], max(1, min(limit, 100)))
+    runs = D.recent_runs(t["crawl_runs"], limit)
     counts = D.run_activity_counts(runs, t["discovered_urls"], t["discovered_sitemaps"], t["job_postings"])
     return runs.withColumnRenamed("id", "crawl_run_id").join(counts, "crawl_run_id").orderBy(
         F.desc("started_at"), F.desc("crawl_run_id"))
@@ -185,7 +185,6 @@ def seed_run_report(t: Tables) -> Report:
 def company_postings_report(t: Tables, company_id: int, from_run: int, to_run: int, as_of,
                             limit: int = 50) -> Report:
     """What changed for a company between two runs: counts and lists."""
-    limit = max(1, min(limit, 200))
     return {
         "counts": P.run_delta_counts(t["job_postings"], t["crawl_runs"], from_run, to_run, company_id, as_of),
         "changes": P.run_delta_postings(t["job_postings"], t["crawl_runs"], t["ats_endpoints"], from_run,

@@ -98,7 +98,7 @@ def ticker_records(texts: DataFrame, limit: int | None = None) -> tuple[DataFram
         "pos", "key", F.coalesce(F.upper(clean_text(F.col("r.ticker"))), synthetic_ticker(name)).alias("ticker"),
         name.alias("name"), clean_cik(F.col("r.cik_str")).alias("cik"))
     ok = F.col("ticker").isNotNull() & F.col("name").isNotNull()
-    return take(rows.where(ok), [F.asc("pos")], limit), rows.where(~ok)
+    return take(rows.where(ok), [F.asc("pos"), F.asc("key"), F.asc("ticker"), F.asc("name")], limit), rows.where(~ok)
 
 
 def read_ticker_records(spark: SparkSession, path: str, limit: int | None = None):

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from rolecall.functions import reasons, urls, vendors
 from rolecall.functions.hashing import string_hash_hex
-from rolecall.functions.text import html_to_text, iso_date, strip_controls, unescape_html
-from rolecall.operators import feeds, normalize, pages, postings
+from rolecall.functions.text import html_to_text, iso_date, like_contains, strip_controls, unescape_html
+from rolecall.operators import feeds, normalize, pages, postings, targets
 
 
 def each(rows, expr, cases, kind="string"):
@@ -124,10 +124,25 @@ def test_reasons(rows):
     ])
 
 
+def test_backslash_in_search(rows):
+    companies = rows("id int, ticker string, name string", (1, "A", "back\\slash"), (2, "B", "plain"))
+    domains = rows("company_id int, domain string", (1, "a.example.com"))
+    assert [r.id for r in targets.company_search(companies, domains, "k\\s", 5).collect()] == [1]
+    assert targets.company_search(companies, domains, "plain\\", 5).collect() == []
+    each(rows, lambda c: like_contains(c, "\\"), [("a\\b", True), ("ab", False)])
+
+
 def test_text(rows):
     each(rows, strip_controls, [("\t a b \n", "a b"), (" x", " x")])
     each(rows, unescape_html, [("a &amp;lt; &lt;b&gt; &#39;&#x41;&#233; &bogus; &", "a &lt; <b> 'Aé &bogus; &"), (None, None)])
-    each(rows, html_to_text, [("<p>a&nbsp; b</p><script>x<y</script><!-- c -->d", "a b d"), ("plain  text", "plain text")])
+    each(rows, unescape_html, [
+        ("Caf&eacute; &uuml;ber &notin; &NotEqualTilde;", "Café über ∉ \u2242\u0338"), ("a &amp b &copy", "a & b ©"),
+        ("&#x26;lt; &lt;", "&lt; <"), ("&ampx; &unknown; &#0; &#xD800; &#1114112;", "&ampx; &unknown; &#0; &#xD800; &#1114112;"),
+        ("&&lt;&", "&<&"), ("no reference", "no reference"), ("", "")])
+    each(rows, html_to_text, [
+        ("<p>a&nbsp; b</p><script>x<y</script><!-- c -->d", "a b d"), ("plain  text", "plain text"),
+        ("Soft<b>ware</b> en<i class=x>gine</i>er<br>line<p>two</p>three<!-- c -->four", "Software engineer line two threefour"),
+        ("<ul><li>one<li>two</ul>3 &lt; 4", "one two 3 < 4")])
     df = rows("i int, x string", (0, "2024-02-29T10:00"), (1, "2024-02-30"), (2, "24-1-1"), (3, " 2024-01-05 "))
     got = [str(r[0]) for r in df.orderBy("i").select(iso_date(F.col("x"))).collect()]
     assert got == ["2024-02-29", "None", "None", "2024-01-05"]
@@ -150,7 +165,7 @@ def test_names(rows):
     ])
     df = rows("company_id int, name string, ticker string", (1, "The Acme Group (Delaware)", "ACM"), (2, "X & Y Corp", "LONGER"))
     got = {}
-    for r in normalize.domain_candidates(df).orderBy("company_id", "rank").collect():
+    for r in normalize.domain_candidates(df, limit=6).orderBy("company_id", "rank").collect():
         got.setdefault(r.company_id, []).append(r.candidate_domain)
     assert got[1] == ["theacme.com", "the-acme.com", "theacme.io", "the-acme.io", "theacme.ai", "the-acme.ai"]
     assert got[2][:2] == ["xy.com", "x-y.com"]
