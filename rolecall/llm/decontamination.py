@@ -333,7 +333,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         frequency[known["term"]] = known["n"]
         weight = _weights(frequency, total)
         passages = spark.createDataFrame(pd.DataFrame({"text": items["text"]}))
-        # each task sends a table of all terms, so a task takes as many words as there may be terms
+        # Each task sends a table of all terms, so a task takes many words. Small tables travel with the
+        # tasks: every broadcast costs space on the driver and on each executor.
         tasks = 1 + sum(map(len, block.items)) // TASK_WORDS
         rows = words.stored(passages.repartition(tasks), "passages")
         latent = spark.sparkContext.broadcast(latent_terms(rows, block, weight, size))
