@@ -173,7 +173,8 @@ def _spans(window: int):
         at = np.flatnonzero(later)
         place = at - (stops[row[at]] - table["windows"][row[at]])
         if not len(at):
-            return pd.DataFrame({"doc_id": [], "text_hash": [], "starts": [], "lengths": []})
+            return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "text_hash": np.zeros(0, np.int64),
+                                 "starts": np.zeros(0, object), "lengths": np.zeros(0, object)})
         # a factor goes on while windows overlap or touch
         new = np.ones(len(at), bool)
         new[1:] = (row[at][1:] != row[at][:-1]) | (place[1:] - place[:-1] > window)
