@@ -368,6 +368,7 @@ def _(m):
     return M.apply_fetch_outcomes(m.crawl_urls, m.crawl_hosts, m.sql(OUTCOMES), NOW)[2]
 
 
+# companies that ran less often are not in the queue yet
 PART_QUEUE = "SELECT * FROM $crawl_queue WHERE total_runs > 2"
 
 
@@ -380,6 +381,7 @@ def _(m):
     return M.bootstrap_queue(m.sql(PART_QUEUE), m.companies, NOW)
 
 
+# company 3 never succeeds, so that failures alone are counted for it
 QUEUE_OUTCOMES = """
 SELECT event_id AS ord, user_id AS company_id, CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'view' THEN 'RELEASE' WHEN 'click' THEN 'FAILURE' ELSE 'SUCCESS' END AS outcome,
   CASE WHEN event_type <> 'view' THEN CAST(ts AS TIMESTAMP) + INTERVAL '1' HOUR END AS next_run_at, CASE WHEN event_type = 'error' THEN concat('boom ', CAST(event_id AS STRING)) END AS error
@@ -414,8 +416,8 @@ def _(m):
 
 
 PROGRESS = """
-SELECT event_id AS ord, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS BIGINT) AS id, CAST(event_id AS INT) AS companies_attempted,
-  CAST(event_id % 7 - 2 AS INT) AS jobs_extracted_count, CASE WHEN event_type = 'view' THEN CAST(ts AS TIMESTAMP) END AS last_heartbeat_at FROM $events WHERE value < 60"""
+SELECT event_id AS ord, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS BIGINT) AS id, CAST(event_id % 1000000000 AS INT) AS companies_attempted,
+  CAST(event_id % 7 - 2 AS INT) AS jobs_extracted_count, CASE WHEN event_type = 'view' THEN CAST(ts AS TIMESTAMP) END AS last_heartbeat_at FROM $events"""
 
 
 @check("update_run_progress", merged("$crawl_runs", f"SELECT * EXCLUDE (jobs_extracted_count), greatest(jobs_extracted_count, 0) AS jobs_extracted_count FROM ({PROGRESS}) p",

@@ -76,7 +76,7 @@ SELECT o_orderkey AS id, o_custkey AS company_id,
             ELSE 'HEURISTIC_COM' END AS resolution_method,
        CASE WHEN o_orderpriority = '2-HIGH' THEN concat('Q', CAST(o_orderkey AS STRING)) END AS wikidata_qid
 FROM $orders
-WHERE o_totalprice >= 300000"""
+WHERE o_custkey IN (SELECT c_custkey FROM $customer WHERE c_mktsegment <> 'MACHINERY')"""
 
 VIEWS["ats_endpoints"] = """
 SELECT o_orderkey AS id, o_custkey AS company_id,
@@ -261,6 +261,7 @@ SELECT event_id AS id, user_id AS company_id,
 FROM $events
 WHERE event_type = 'error'"""
 
+# customers of a lower balance stand for companies that were never looked at
 VIEWS["careers_discovery_state"] = """
 SELECT c_custkey AS company_id,
        CASE WHEN c_custkey % 8 = 0 THEN NULL
