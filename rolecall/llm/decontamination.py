@@ -125,7 +125,7 @@ def _start(size: int, width: int) -> np.ndarray:
 def _products(own, weight, width, right):
     """A block of rows' share of A' A times ``right``, where A has the TF-IDF rows of windows."""
     def run(batches):
-        basis = right.value if right else _start(len(own.vocabulary), width)
+        basis = right.value.astype(np.float32) if right else _start(len(own.vocabulary), width)
         size = len(own.vocabulary)
         total = np.zeros((size + 1, basis.shape[1]))
         for batch in words.pieces(batches):
@@ -171,9 +171,9 @@ def latent_terms(rows: DataFrame, block, idf, size: int) -> np.ndarray:
             basis[part * TERMS:part * TERMS + len(found)] = found
         basis[size] = 0
         basis[:size] = np.linalg.qr(basis[:size])[0]
-        basis = basis.astype(np.float32)
+        basis = basis.astype(np.float16)  # what goes to the workers need not be more exact
         right = spark.sparkContext.broadcast(basis) if left else None
-    return basis[:, :RANK]
+    return np.ascontiguousarray(basis[:, :RANK])
 
 
 def _lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -259,7 +259,7 @@ class Passages:
 
 def _search(own, weight, latent):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(own, weight, latent.value)
+        passages = Passages(own, weight, latent.value.astype(np.float32))
         for batch in words.pieces(batches):
             hashes, before = _hashed(batch.column("text"))
             best: dict[tuple[int, int], tuple] = {}

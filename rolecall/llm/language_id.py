@@ -34,7 +34,7 @@ CONFIDENCE = 0.5
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "it": "it",
             "nl": "nl", "pl": "pl", "pt": "pt", "br": "pt", "ru": "ru", "jp": "ja", "cn": "zh"}
 
-_BITS = 18
+_BITS = 17
 #: Letters stay, all else counts as a blank.
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -79,11 +79,11 @@ def fit(docs: DataFrame, languages: Sequence[str], sample: int = SAMPLE) -> np.n
     # languages * sample ids at most
     parts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", F.lower("text").alias("text"))
     found = (parts.mapInArrow(count, "label long, at long, n long").groupBy("label", "at")
-             .agg(F.sum("n").alias("n")).toPandas())  # at most languages * 2^18 numbers
+             .agg(F.sum("n").alias("n")).toPandas())  # at most languages * 2^17 numbers
     table = np.zeros((len(languages), 1 << _BITS))
     table[found["label"], found["at"]] = found["n"]
     table += 0.05
-    return np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    return np.log(table / table.sum(1, keepdims=True)).astype(np.float16)
 
 
 def _text_scores(docs: DataFrame, table, classes: int) -> DataFrame:
