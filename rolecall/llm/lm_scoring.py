@@ -5,9 +5,10 @@ sends them, packed, to buckets by hash; a bucket sums them. A bucket then builds
 filter: a sequence seen ``c`` times is entered with the levels 1 .. 1 + floor(log2 c), so probing level
 after level until one is absent gives back the size class of its count.
 
-The filter goes to all workers. Its size is bounded by ``filter_bytes``; past that bound nothing is left
-out, entries share bits more often, and the two-word estimate is discounted by the measured rate of
-false hits, so the model turns smoothly into the one-word one.
+The filter has ``ENTRY_BITS`` bits for each entry, whatever the size of the input, so its rate of false
+hits does not grow; the two-word estimate is discounted by that rate. A filter of ``filter_bytes`` at
+most goes to all workers. A larger one stays in its buckets: each block of texts sends its distinct words
+and pairs there and gets back what the filter says of them. Both ways read the same filter.
 
 Exact one-word counts, which the base score needs, are never sent whole: the words that make up at
 least one in ``FREQUENT`` tokens (so ``FREQUENT`` words at most) go to the workers, all other tokens go
@@ -26,10 +27,11 @@ from rolecall.llm import words
 
 #: Words of which exact counts may be sent to all workers.
 FREQUENT = 1 << 18
+#: Largest filter that is sent to all workers; a larger one is read in its buckets.
 FILTER_BYTES = 64 << 20
-#: Tokens that a task folds at once.
+#: Tokens that a task folds at once, and entries that it places at once.
 BLOCK = 1 << 20
-#: Bits for each entry while the bound allows them, and probes of a level.
+#: Bits for each entry, and probes of a level.
 ENTRY_BITS = 10
 PROBES = 4
 #: Weight, in tokens, of the one-word model beside a two-word count.
@@ -40,6 +42,7 @@ END = np.uint64(0x5BD1E9955BD1E995)
 _MASK48 = np.uint64((1 << 48) - 1)
 _COUNTS = "bucket int, n int, grams binary"
 _TOKENS = "bucket int, block long, entries binary, docs binary"
+_ASKED = "bucket int, block long, words binary, pairs binary, bits long, docs binary"
 _DOC = np.dtype([("doc", "<i8"), ("no_id", "?"), ("held_out", "?"), ("tokens", "<i8"), ("known", "<i8"),
                  ("sum", "<f8"), ("score", "<f8")])
 
@@ -126,19 +129,20 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
-def _segment(largest: int):
+def _segment(piece: int = BLOCK):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Sum the counts of a bucket; its exact one-word counts and its segment of the filter."""
         n = int(group["n"].iloc[0])
         parts = [_unpack(x) for x in group["grams"]]
         grams, counts = _summed(*(np.concatenate(x) for x in zip(*parts)))
         levels = _levels(counts)
-        bits = int(min(largest * 8, max(64, ENTRY_BITS * int(levels.sum()))))
+        bits = max(64, ENTRY_BITS * int(levels.sum()))
         taken = np.zeros(bits, bool)
         for level in range(1, int(levels.max()) + 1):
             chosen = grams[levels >= level]
-            for probe in range(PROBES):
-                taken[_places(chosen, level, probe, np.uint64(bits)).astype(np.int64)] = True
+            for at in range(0, len(chosen), piece):
+                for probe in range(PROBES):
+                    taken[_places(chosen[at:at + piece], level, probe, np.uint64(bits)).astype(np.int64)] = True
         return pd.DataFrame({
             "n": [n], "bucket": [int(group["bucket"].iloc[0])], "distinct": [len(grams)],
             "total": [int(counts.sum())], "bits": [bits], "filled": [int(taken.sum())],
@@ -169,6 +173,10 @@ class Filter:
     def counts(self, grams: np.ndarray, n: int) -> np.ndarray:
         """The middle of the size class that probing level after level finds; 0 if absent."""
         grams, inverse = np.unique(grams, return_inverse=True)
+        return _middle(self.levels(grams, n))[inverse]
+
+    def levels(self, grams: np.ndarray, n: int) -> np.ndarray:
+        """The highest level up to which all are found; 0 if absent."""
         bucket = _bucket(grams, n, self.buckets)
         level, alive = np.zeros(len(grams), np.int64), np.flatnonzero(~self.empty[n][bucket])
         while len(alive) and level.max() < 48:
@@ -180,8 +188,30 @@ class Filter:
                 hit &= (self.data[self.start[n][at] + (place >> 3)] >> (place & 7) & 1).astype(bool)
             alive = alive[hit]
             level[alive] = step
-        # a class [2^(l-1), 2^l) is read as its middle
-        return np.where(level > 0, (1.5 * 2.0 ** (level - 1) - 0.5), 0.0)[inverse]
+        return level
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """A class [2^(l-1), 2^l) is read as its middle."""
+    return np.where(level > 0, 1.5 * 2.0 ** (level.astype(np.int64) - 1) - 0.5, 0.0)
+
+
+def _scores(one: np.ndarray, two: np.ndarray, begin: np.ndarray, lengths: np.ndarray, norm: float) -> np.ndarray:
+    """Log probability of each text from the filter's counts of its words and pairs."""
+    before = np.concatenate([[0.0], one[:-1]])
+    before[begin] = one[begin + lengths - 1]  # a text begins after an end
+    chance = (np.minimum(two, before) + PRIOR * (one + ADDED) / norm) / (before + PRIOR)
+    return np.add.reduceat(np.log10(chance), begin)
+
+
+def _table(batch: pa.RecordBatch, lengths: np.ndarray) -> np.ndarray:
+    table = np.zeros(len(lengths), _DOC)
+    ids = batch.column("doc_id")
+    table["doc"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    table["no_id"] = ids.is_null().to_numpy(zero_copy_only=False)
+    table["held_out"] = batch.column("held_out").to_numpy(zero_copy_only=False)
+    table["tokens"] = lengths
+    return table
 
 
 def _score(model, frequent, total: int, distinct: int, buckets: int):
@@ -214,22 +244,13 @@ def _score(model, frequent, total: int, distinct: int, buckets: int):
             begin = np.cumsum(lengths) - lengths
             at = np.minimum(np.searchsorted(often, tokens), max(len(often) - 1, 0))
             found = often[at] == tokens if len(often) else np.zeros(len(tokens), bool)
-            table = np.zeros(len(lengths), _DOC)
-            ids = batch.column("doc_id")
-            table["doc"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            table["no_id"] = ids.is_null().to_numpy(zero_copy_only=False)
-            table["held_out"] = batch.column("held_out").to_numpy(zero_copy_only=False)
-            table["tokens"] = lengths
+            table = _table(batch, lengths)
             table["known"] = np.add.reduceat(found.astype(np.int64), begin)
             exact = np.log10((often_counts[at] + ADDED) / norm) if len(often) else np.zeros(len(tokens))
             table["sum"] = np.add.reduceat(np.where(found, exact, 0.0), begin)
             one = filter_.counts(tokens, 1)
             two = filter_.counts(_pairs(tokens), 2) * (1 - filter_.false_rate)
-            before = np.concatenate([[0.0], one[:-1]])
-            before[begin] = one[begin + lengths - 1]  # a text begins after an end
-            two = np.minimum(two, before)
-            chance = (two + PRIOR * (one + ADDED) / norm) / (before + PRIOR)
-            table["score"] = np.add.reduceat(np.log10(chance), begin)
+            table["score"] = _scores(one, two, begin, lengths, norm)
             docs.append(table)
             rest.append((tokens[~found], row[~found] + rows_before))
             size, rows_before = size + len(tokens), rows_before + len(lengths)
@@ -260,6 +281,17 @@ def _lookup(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "found", "docs"])
 
 
+_RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+           "base_score double, score double")
+
+
+def _result(table: np.ndarray, total: int) -> pd.DataFrame:
+    return pd.DataFrame({
+        "doc_id": pd.array(table["doc"], "Int64"), "held_out": table["held_out"], "n_tokens": table["tokens"],
+        "n_known": table["known"], "train_tokens": np.int64(total), "base_score": table["sum"],
+        "score": table["score"]}).assign(doc_id=lambda d: d["doc_id"].mask(table["no_id"]))
+
+
 def _finish(total: int, distinct: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         (docs,) = (x for x in group["docs"] if x is not None)
@@ -270,10 +302,98 @@ def _finish(total: int, distinct: int):
             row, counts = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<u4", n, 4 * n)
             table["sum"] += np.bincount(row, np.log10((counts + ADDED) / norm), len(table))
             table["known"] += np.bincount(row, counts > 0, len(table)).astype(np.int64)
-        return pd.DataFrame({
-            "doc_id": pd.array(table["doc"], "Int64"), "held_out": table["held_out"], "n_tokens": table["tokens"],
-            "n_known": table["known"], "train_tokens": np.int64(total), "base_score": table["sum"],
-            "score": table["score"]}).assign(doc_id=lambda d: d["doc_id"].mask(table["no_id"]))
+        return _result(table, total)
+    return run
+
+
+def _ask(buckets: int):
+    """Distinct words and pairs of each block for the buckets; which word each token is, and the documents."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        docs: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def emit(block):
+            tokens, table = np.concatenate(held), np.concatenate(docs)
+            grams, place = np.unique(tokens, return_inverse=True)
+            pairs = np.unique(_pairs(tokens))
+            parts = [np.searchsorted(_bucket(x, n, buckets), np.arange(buckets + 1))  # grows with the hash
+                     for n, x in ((1, grams), (2, pairs))]
+            own = b"".join((np.array([len(grams), len(place)], "<u4").tobytes(), grams.tobytes(),
+                            place.astype("<u4").tobytes(), table.tobytes()))
+            rows = []
+            for b, (i, j, k, m) in enumerate(zip(parts[0], parts[0][1:], parts[1], parts[1][1:])):
+                if i < j or k < m or b == block % buckets:
+                    high = (pairs[k:m] >> np.uint64(32)).astype("<u2")
+                    rows.append((b, grams[i:j].tobytes(), pairs[k:m].astype("<u4").tobytes() + high.tobytes(),
+                                 own if b == block % buckets else None))
+            bucket, one, two, own = zip(*rows)
+            return pa.RecordBatch.from_arrays([
+                pa.array(bucket, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(one, pa.binary()),
+                pa.array(two, pa.binary()), pa.nulls(len(rows), pa.int64()), pa.array(own, pa.binary())],
+                ["bucket", "block", "words", "pairs", "bits", "docs"])
+
+        for batch in words.pieces(batches):
+            tokens, lengths = _tokens(batch)
+            held.append(tokens)
+            docs.append(_table(batch, lengths))
+            size += len(tokens)
+            if size >= BLOCK:
+                number += 1
+                yield emit(number)
+                docs, held, size = [], [], 0
+        if docs:
+            yield emit(number + 1)
+    return run
+
+
+def _answer(buckets: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """In a bucket, exact counts and levels of the words and levels of the pairs that each block has sent."""
+        own = int(group["bucket"].iloc[0])
+        model = group[group["block"] < 0]  # block -n has the segment of n words
+        filter_ = Filter([{"n": -int(k), "bucket": own, "segment": x, "bits": int(bits), "filled": 0}
+                          for k, x, bits in zip(model["block"], model["pairs"], model["bits"])], buckets)
+        exact = [x for x, k in zip(model["words"], model["block"]) if k == -1]
+        grams, counts = _unpack(exact[0]) if exact else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        rows = []
+        for block, one, two, docs in zip(group["block"], group["words"], group["pairs"], group["docs"]):
+            if block < 0:
+                continue
+            hashes, n = np.frombuffer(one, "<u8"), len(two) // 6
+            pairs = (np.frombuffer(two, "<u4", n).astype(np.uint64)
+                     | np.frombuffer(two, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
+            found = np.zeros(len(hashes), np.int64)
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+                found = np.where(grams[at] == hashes, counts[at], 0)
+            rows.append((own, block, found.astype("<u4").tobytes() + filter_.levels(hashes, 1).astype("u1").tobytes(),
+                         filter_.levels(pairs, 2).astype("u1").tobytes(), docs))
+        return pd.DataFrame(rows, columns=["bucket", "block", "words", "pairs", "docs"])
+    return run
+
+
+def _finish_asked(total: int, distinct: int, false_rate: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("bucket")  # so the answers are in the order of the hashes
+        (own,) = (x for x in group["docs"] if x is not None)
+        n, size = np.frombuffer(own, "<u4", 2).tolist()
+        grams, place = np.frombuffer(own, "<u8", n, 8), np.frombuffer(own, "<u4", size, 8 + 8 * n)
+        table = np.frombuffer(own, _DOC, -1, 8 + 8 * n + 4 * size).copy()
+        counts = np.concatenate([np.frombuffer(x, "<u4", len(x) // 5) for x in group["words"]])
+        level = np.concatenate([np.frombuffer(x, "u1", -1, len(x) // 5 * 4) for x in group["words"]])
+        levels = np.concatenate([np.frombuffer(x, "u1") for x in group["pairs"]])
+        _, pair = np.unique(_pairs(grams[place]), return_inverse=True)
+        norm, lengths = total + ADDED * (distinct + 1), table["tokens"]
+        begin = np.cumsum(lengths) - lengths
+        table["known"] = np.add.reduceat((counts > 0)[place].astype(np.int64), begin)
+        table["sum"] = np.add.reduceat(np.log10((counts + ADDED) / norm)[place], begin)
+        two = _middle(levels)[pair] * (1 - false_rate)
+        table["score"] = _scores(_middle(level)[place], two, begin, lengths, norm)
+        return _result(table, total)
     return run
 
 
@@ -299,10 +419,19 @@ def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int
     learned = words.stored(
         texts.where("NOT held_out").select("text").mapInArrow(_count(buckets), _COUNTS)
         .groupBy("n", "bucket").applyInPandas(
-            _segment(filter_bytes // (2 * buckets)),
+            _segment(),
             "n int, bucket int, distinct long, total long, bits long, filled long, segment binary, exact binary"), "lm")
     sums = learned.where("n = 1").agg(F.sum("total").alias("t"), F.sum("distinct").alias("d")).first()
     total, distinct = int(sums["t"] or 0), int(sums["d"] or 0)
+    built = learned.agg(F.sum(F.length("segment")).alias("size"), F.expr("sum(bits) FILTER (WHERE n = 2)").alias("bits"),
+                        F.expr("sum(filled) FILTER (WHERE n = 2)").alias("filled")).first()
+    if (built["size"] or 0) > filter_bytes:
+        false_rate = (built["filled"] / built["bits"]) ** PROBES
+        model = learned.select("bucket", (-F.col("n")).cast("long").alias("block"), F.col("exact").alias("words"),
+                               F.col("segment").alias("pairs"), "bits", F.lit(None).cast("binary").alias("docs"))
+        return (texts.mapInArrow(_ask(buckets), _ASKED).unionByName(model).groupBy("bucket")
+                .applyInPandas(_answer(buckets), "bucket int, block long, words binary, pairs binary, docs binary")
+                .groupBy("block").applyInPandas(_finish_asked(total, distinct, false_rate), _RESULT))
     segments = learned.select("n", "bucket", "bits", "filled", "segment").collect()  # filter_bytes at most
     model = spark.sparkContext.broadcast(Filter(segments, buckets))
 
@@ -322,10 +451,7 @@ def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int
         "bucket", F.lit(-1).cast("long").alias("block"), F.col("exact").alias("entries"),
         F.lit(None).cast("binary").alias("docs"))
     return (sent.unionByName(exact).groupBy("bucket").applyInPandas(_lookup, "block long, found binary, docs binary")
-            .groupBy("block").applyInPandas(
-                _finish(total, distinct),
-                "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                "base_score double, score double"))
+            .groupBy("block").applyInPandas(_finish(total, distinct), _RESULT))
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -228,6 +228,16 @@ def test_filter_gives_size_classes():
     assert np.mean(found == 1.5 * 2**level - 0.5) > 0.97
 
 
+def test_score_does_not_depend_on_the_largest_filter_sent(spark):
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    sent, asked = ({r.doc_id: r for r in lm_scoring.score_texts(frame, filter_bytes=n).collect()} for n in (1 << 26, 1 << 10))
+    assert sent.keys() == asked.keys()
+    for i, r in sent.items():
+        assert asked[i][:5] == r[:5]
+        assert asked[i].base_score == pytest.approx(r.base_score, rel=1e-9)
+        assert asked[i].score == pytest.approx(r.score, rel=1e-9)
+
+
 # ---- BPE
 
 @pytest.fixture(scope="module")
