@@ -35,7 +35,10 @@ def _blocks(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[tuple[np
 
     def block():
         table, parts = np.concatenate(docs), [x for group in hashes for x in group]
-        order = np.argsort(table["doc"], kind="stable")
+        order = np.lexsort((table["text"], table["doc"]))
+        ordered = table[order]
+        same = (ordered["doc"][1:] == ordered["doc"][:-1]) & (ordered["text"][1:] == ordered["text"][:-1])
+        order = order[np.append(True, ~same)]  # rows equal in id and text are one place
         return table[order], np.concatenate([parts[i] for i in order])
 
     for batch in words.pieces(batches):
@@ -56,6 +59,21 @@ def _blocks(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[tuple[np
         yield block()
 
 
+def _repeats(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the window also starts at an earlier place of the block: document and word, whatever the row."""
+    begins = np.cumsum(docs["windows"], dtype=np.int64) - docs["windows"]
+    place = np.arange(len(hashes)) - np.repeat(begins, docs["windows"])
+    doc = np.repeat(docs["doc"], docs["windows"])
+    order = np.lexsort((place, doc, hashes))
+    h, d, p = hashes[order], doc[order], place[order]
+    head = np.ones(len(h), bool)
+    head[1:] = h[1:] != h[:-1]
+    begin = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+    out = np.zeros(len(h), bool)
+    out[order] = (d != d[begin]) | (p != p[begin])
+    return out
+
+
 def _index(window: int, buckets: int):
     def run(batches):
         from pyspark import TaskContext
@@ -63,10 +81,8 @@ def _index(window: int, buckets: int):
         number = TaskContext.get().partitionId() << 32
         for docs, hashes in _blocks(batches, window):
             number += 1
-            _, first = np.unique(hashes, return_index=True)
-            repeats = np.ones(len(hashes), bool)
-            repeats[first] = False
-            first.sort()
+            repeats = _repeats(docs, hashes)
+            first = np.flatnonzero(~repeats)
             entries = np.zeros(len(first), _ENTRY)
             entries["hash"], entries["window"] = hashes[first], first
             bucket = ((entries["hash"] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)

@@ -137,6 +137,19 @@ def test_substrings(docs, none):
     assert substring_dedup.substring_dedup(none).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_substrings_of_repeated_rows(spark, parts):
+    text, other = (" ".join(f"{c}{i}" for i in range(25)) for c in "ab")
+    first, second = [(1, text), (2, other), (2, other + " end")], [(1, text), (3, text)]
+    frame = spark.createDataFrame(first + second, "doc_id long, text string").coalesce(1)
+    if parts == 2:
+        frame = spark.createDataFrame(first, frame.schema).coalesce(1).union(
+            spark.createDataFrame(second, frame.schema).coalesce(1))
+    out = substring_dedup.substring_dedup(frame).collect()
+    assert sorted((r.doc_id, r.kept_text) for r in out) == [
+        (1, text), (1, text), (2, other), (2, other + " end"), (3, "")]
+
+
 def test_languages(spark, docs, none):
     out = by_id(language_id.document_languages(docs))
     assert all(out[i][0].language == "und" and not out[i][0].kept for i in (3, 4, 5))
