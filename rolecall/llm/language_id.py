@@ -18,9 +18,9 @@ from rolecall.llm import words
 
 #: Texts of each language that the trigram tables are fitted on at most.
 SAMPLE = 1000
-#: Share of all texts that must declare a language before it is one of the classes, and classes at most.
+#: Texts that must declare a language before it is one of the classes; fewer do where they are this share of all.
+LEAST_TEXTS = 50
 LEAST_SHARE = 0.005
-CLASSES = 100
 #: Trigrams that a long text counts for: neighbouring trigrams are not independent.
 WEIGHT = 40
 #: How often markup and address are right.
@@ -62,14 +62,12 @@ def fit(docs: DataFrame, languages: Sequence[str], sample: int = SAMPLE) -> np.n
     The sample is taken in the order of a hash of the id, so it does not depend on how rows are stored.
     """
     def count(batches):
-        table = np.zeros((len(languages), 1 << _BITS), np.int64)
         for batch in words.pieces(batches):
-            labels = batch.column("label").to_pylist()
+            labels = batch.column("label").to_numpy()
             number, before = _trigrams(*words.flat(batch.column("text")))
-            for label, a, b in zip(labels, before, before[1:]):
-                table[label] += np.bincount(number[a:b], minlength=1 << _BITS)
-        label, at = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (label, at, table[label, at])], ["label", "at", "n"])
+            both, n = np.unique((np.repeat(labels, np.diff(before)) << _BITS) + number, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (both >> _BITS, both & (1 << _BITS) - 1, n)], ["label", "at", "n"])
 
     order = Window.partitionBy("declared").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (docs.where(F.col("declared").isin(*languages)).select("declared", "doc_id")
@@ -80,10 +78,14 @@ def fit(docs: DataFrame, languages: Sequence[str], sample: int = SAMPLE) -> np.n
     parts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", F.lower("text").alias("text"))
     found = (parts.mapInArrow(count, "label long, at long, n long").groupBy("label", "at")
              .agg(F.sum("n").alias("n")).toPandas())  # at most languages * 2^17 numbers
-    table = np.zeros((len(languages), 1 << _BITS))
-    table[found["label"], found["at"]] = found["n"]
-    table += 0.05
-    return np.log(table / table.sum(1, keepdims=True)).astype(np.float16)
+    table = np.empty((len(languages), 1 << _BITS), np.float16)
+    found = found.sort_values("label")
+    cuts = np.searchsorted(found["label"], np.arange(len(languages) + 1))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):  # one language at a time: there may be many
+        row = np.full(1 << _BITS, 0.05)
+        row[found["at"].to_numpy()[a:b]] += found["n"].to_numpy()[a:b]
+        table[k] = np.log(row / row.sum())
+    return table
 
 
 def _text_scores(docs: DataFrame, table, classes: int) -> DataFrame:
@@ -130,7 +132,7 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, languages: Sequ
     row per input row: doc_id, declared, language, confidence (posterior probability), text_language (of
     the text alone) and kept (a language was found with ``confidence`` or more). Any value may be null,
     which is no evidence; a text without a letter is ``und`` and not kept. Without ``languages`` the
-    classes are those declared by ``LEAST_SHARE`` of all texts, ``CLASSES`` at most. Without any class
+    classes are those declared by ``LEAST_TEXTS`` texts, or by ``LEAST_SHARE`` of all. Without any class
     every text is ``und``. Repeated rows stay; other columns are left out.
     """
     spark = docs.sparkSession
@@ -139,7 +141,7 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, languages: Sequ
     if languages is None:
         counts = words.stored(docs.where("declared IS NOT NULL").groupBy("declared").count(), "declared")
         total = counts.agg(F.sum("count")).first()[0] or 0
-        chosen = counts.where(F.col("count") >= LEAST_SHARE * total).orderBy(F.desc("count"), "declared").limit(CLASSES)
+        chosen = counts.where(F.col("count") >= min(LEAST_TEXTS, LEAST_SHARE * total))
         languages = sorted(r["declared"] for r in chosen.collect())
     classes = len(languages) + 1
     table = spark.sparkContext.broadcast(fit(docs, languages, sample) if languages else np.zeros((0, 1 << _BITS)))

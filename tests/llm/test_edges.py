@@ -150,6 +150,19 @@ def test_substrings_of_repeated_rows(spark, parts):
         (1, text), (1, text), (2, other), (2, other + " end"), (3, "")]
 
 
+def test_a_rare_language_is_a_class(spark):
+    rare = ["o gato dorme sobre a mesa da cozinha enquanto chove muito la fora", "nao ha nada melhor do que o cheiro do pao",
+            "as criancas brincam no jardim com a bola vermelha da escola"]
+    common = ["the cat sleeps on the kitchen table while it rains outside", "nothing is better than the smell of bread",
+              "children play in the garden with the red ball of the school"]
+    rows = [(i, rare[i % 3] if i < 60 else common[i % 3], "xx" if i < 60 else "en") for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string").selectExpr(
+        "*", "string(null) url", "string(null) host")
+    out = {r.doc_id: r for r in language_id.identify(frame, sample=50).collect()}
+    assert {(out[i].language, out[i].kept) for i in range(60)} == {("xx", True)}
+    assert {(out[i].language, out[i].kept) for i in range(60, 20_000)} == {("en", True)}
+
+
 def test_languages(spark, docs, none):
     out = by_id(language_id.document_languages(docs))
     assert all(out[i][0].language == "und" and not out[i][0].kept for i in (3, 4, 5))
