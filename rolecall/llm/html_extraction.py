@@ -40,13 +40,15 @@ GOOD_WORDS = frozenset("article post entry story content main body text page".sp
 #: A new element of the first kind ends an open one of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr")}
+ATTRIBUTES = frozenset("class id role hidden aria-hidden style".split())
 SCOPES = frozenset("table ul ol dl body html select button".split())
 
+# a quote opens a value only after "=", and one that is never closed does not; so each kind is sought in vain once
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]{0,20000}\"|'[^']{0,20000}'|[\"'])*+)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -175,6 +177,8 @@ class Page:
         if rest.strip():
             for found in _ATTRIBUTE.finditer(rest):
                 key = found[1].lower()
+                if key not in ATTRIBUTES:
+                    continue
                 value = (found[2] or found[3] or found[4] or "")
                 if key == "style":
                     hidden |= bool(_HIDDEN.search(value))

@@ -127,6 +127,22 @@ def test_html(spark):
     assert html_extraction.extract_texts(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("quote", "\"'")
+def test_html_of_a_long_attribute(quote):
+    value = ("<div class=nav><p>markup of the value</p></div>" * 3000)[:100_000]
+    for name in ("article", "div"):
+        page = html_extraction.Page(f"<body><{name} data-page={quote}{value}{quote} class=post><p>some text</p></{name}></body>")
+        page.settle()
+        assert page.text(None)[0] == "some text"
+
+
+def test_html_of_stray_quotes():
+    for tag in ("<p it's>", "<p title=don't>", '<p title="never closed>'):
+        page = html_extraction.Page(f"<body><article>{tag}some text</p><p>more of it's text</p></article></body>")
+        page.settle()
+        assert page.text(None)[0] == "some text more of it's text"
+
+
 def test_substrings(docs, none):
     out = by_id(substring_dedup.substring_dedup(docs))
     assert (out[1][0].n_words, out[1][0].n_removed) == (63, 42)  # its own second and third line
