@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their oracle SQL."""
 
 import corpus_pipeline
-from rolecall.llm import bpe_codec, decontamination, html_extraction, language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup, url_filters
+from rolecall.llm import bpe_codec, decontamination, html_extraction, language_id, line_dedup, lm_scoring, quality_rules, simhash_dedup, substring_dedup, url_filters, vector_codes
 
 QUERIES = {
     "op1_simhash_dedup": simhash_dedup.op1_simhash_dedup,
@@ -14,10 +14,12 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
