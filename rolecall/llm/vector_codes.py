@@ -20,11 +20,10 @@ of another length.
 """
 
 import hashlib
-import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecall.llm import vectors, words
@@ -33,7 +32,8 @@ DIM, PARTS, ENTRIES, ROUNDS, SCALE = 64, 4, 256, 4, 1024
 #: Fixed entries of each part position that distances are measured to.
 PIVOTS = 12
 #: Vectors compared at once, and entries evaluated in the first step.
-ROWS, STEP = 2048, 4
+ROWS, STEP = 2048, 16
+HALF = 1 << 31
 
 
 def _matrix(batch: pa.RecordBatch, dim: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,15 +42,18 @@ def _matrix(batch: pa.RecordBatch, dim: int, scale: int) -> tuple[np.ndarray, np
     return rows, vectors.integers(values, starts[rows], dim, scale)
 
 
-def integer_vectors(table: DataFrame, dim: int, scale: int, id_column: str = "vec_id",
-                    vector: str = "embedding") -> DataFrame:
-    """vec_id and v, the integer components as 32-bit numbers, of the vectors that take part."""
+def first_vectors(table: DataFrame, dim: int, scale: int, order: Column, count: int, id_column: str,
+                  vector: str) -> np.ndarray:
+    """The integer vectors of the first ``count`` rows by ``order``, then by components."""
     def run(batches):
         for batch in batches:
             rows, found = _matrix(batch, dim, scale)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(rows)), vectors.blobs(found.astype("<i4"))], ["vec_id", "v"])
-    return table.select(*vectors.columns(id_column, vector)).mapInArrow(run, "vec_id long, v binary")
+                [batch.column("vec_id").take(pa.array(rows)), vectors.blobs((found + HALF).astype(">u4"))],
+                ["vec_id", "v"])  # in this form, bytes have the order of the numbers
+    rows = table.select(*vectors.columns(id_column, vector)).mapInArrow(run, "vec_id long, v binary")
+    first = rows.orderBy(order, "v").limit(count).collect()
+    return np.array([np.frombuffer(r.v, ">u4") for r in first], np.int64).reshape(-1, dim) - HALF
 
 
 def choose_pivots(book: np.ndarray, count: int) -> np.ndarray:
@@ -169,9 +172,7 @@ def vector_codes(table: DataFrame, dim: int = DIM, parts: int = PARTS, entries:
     """vec_id, label, code (an array of entries) and error of every vector, and the final codebooks."""
     if dim % parts:
         raise ValueError("dim must be a multiple of parts")
-    first = integer_vectors(table, dim, scale, id_column, vector).orderBy(
-        F.asc_nulls_last("vec_id"), "v").limit(entries).collect()
-    seeds = np.array([struct.unpack(f"<{dim}i", r.v) for r in first], np.int64).reshape(-1, dim)
+    seeds = first_vectors(table, dim, scale, F.asc_nulls_last("vec_id"), entries, id_column, vector)
     start = [seeds[:, i:i + dim // parts] for i in range(0, dim, dim // parts)]
     books = Books(start, [choose_pivots(b, pivots) for b in start])
     near = sum(len(p) for p in books.pivots)

@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rolecall.session import new_folder
 
@@ -32,11 +33,28 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: it cuts lineage, survives lost
     executors, and tells the planner its true size."""
+    return stored_in(df, new_folder(df.sparkSession, name))
+
+
+def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``stored``, with a folder for each value of a column, so that a value is read alone."""
     folder = new_folder(df.sparkSession, name)
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != column]), F.lit(8))  # a value is not one task's
+    df.repartition(column, salt).write.partitionBy(column).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def stored_in(df: DataFrame, folder: str) -> DataFrame:
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a stored table that no plan reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that a table does not have."""
     taken, out = {c.lower() for c in df.columns}, []
