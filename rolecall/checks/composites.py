@@ -3,14 +3,17 @@
 from pyspark.sql import functions as F
 
 from rolecall.checks.lookups import AS_OF, BEST, ELIGIBLE
-from rolecall.checks.merging import POSTING_BATCH
+from rolecall.checks.merging import COMPANY_BATCH, POSTING_BATCH
 from rolecall.checks.registry import ORACLES, BUILDERS, check
 from rolecall.checks.model import VIEWS
-from rolecall.checks.state_folds import backoff_sql
+from rolecall.checks.state_folds import OUTCOMES, backoff_sql
+from rolecall.operators.merges import merge_companies, merge_postings
 from rolecall.plans import reports as C
 from rolecall.session import new_folder
 from rolecall.sources import files as S
-from rolecall.streaming.tables import Versions, backoff_stream, posting_stream
+from rolecall.sources.keyed import KeyedTable
+from rolecall.streaming.processors import backoff_states, cooldown_states, discovery_states, keep_states
+from rolecall.streaming.tables import backoff_stream, posting_stream
 
 END = "2024-01-31 00:00:00"
 
@@ -257,17 +260,65 @@ def stream_of(m, view, sql):
     return m.spark.sql(compose(sql, lambda t: name if t == view else m._given(t)))
 
 
+def kept(m, name, keys, rows):
+    """The rows as a new keyed table in the shared folder."""
+    return KeyedTable(new_folder(m.spark, name), tuple(keys), rows.schema, 16).create(rows)
+
+
 @check("posting_stream", ORACLES["merge_postings"])
 def _(m):
-    start = m.job_postings
-    versions = Versions(new_folder(m.spark, "postings"), start)
-    posting_stream(stream_of(m, "lineitem", POSTING_BATCH), versions, new_folder(m.spark, "offsets")).awaitTermination()
-    return versions.after(m.spark, 0).select(*start.columns)
+    table = kept(m, "postings", ["company_id"], m.job_postings)
+    posting_stream(stream_of(m, "lineitem", POSTING_BATCH), table, new_folder(m.spark, "offsets")).awaitTermination()
+    return table.read(m.spark)
+
+
+NO_HOSTS = "SELECT host, 0 AS backoff_state, CAST(NULL AS STRING) AS last_status_bucket, CAST(NULL AS TIMESTAMP) AS next_allowed_at FROM $crawl_hosts WHERE host = ''"
 
 
 @check("backoff_stream", backoff_sql("0"))
 def _(m):
-    hosts = m.sql("SELECT host, 0 AS backoff_state, CAST(NULL AS STRING) AS last_status_bucket, CAST(NULL AS TIMESTAMP) AS next_allowed_at FROM $crawl_hosts WHERE host = ''")
-    versions = Versions(new_folder(m.spark, "hosts"), hosts)
-    backoff_stream(stream_of(m, "events", VIEWS["crawl_url_attempts"]), versions, new_folder(m.spark, "offsets")).awaitTermination()
-    return versions.after(m.spark, 0)
+    table = kept(m, "hosts", ["host"], m.sql(NO_HOSTS))
+    backoff_stream(stream_of(m, "events", VIEWS["crawl_url_attempts"]), table, new_folder(m.spark, "offsets")).awaitTermination()
+    return table.read(m.spark)
+
+
+def kept_states(m, name, key, states, like):
+    """States of a stream, kept in a table that starts empty."""
+    table = kept(m, name, [key], like.limit(0))
+    keep_states(states, table, new_folder(m.spark, "offsets")).awaitTermination()
+    return table.read(m.spark)
+
+
+@check("backoff_processor", ORACLES["frontier_backoff"])
+def _(m):
+    attempts = stream_of(m, "events", VIEWS["crawl_url_attempts"])
+    return kept_states(m, "hosts", "host", backoff_states(attempts), BUILDERS["frontier_backoff"](m))
+
+
+@check("cooldown_processor", ORACLES["host_cooldown"])
+def _(m):
+    attempts = stream_of(m, "events", VIEWS["crawl_url_attempts"])
+    return kept_states(m, "hosts", "host", cooldown_states(attempts), BUILDERS["host_cooldown"](m))
+
+
+@check("discovery_processor", ORACLES["discovery_cooldown"])
+def _(m):
+    outcomes = stream_of(m, "events", OUTCOMES)
+    return kept_states(m, "companies", "company_id", discovery_states(outcomes), BUILDERS["discovery_cooldown"](m))
+
+
+# --- merges that rewrite the touched parts of a stored table ---------------
+
+
+@check("keyed_merge_companies", ORACLES["merge_companies"])
+def _(m):
+    table = kept(m, "companies", ["ticker"], m.companies)
+    table.merge(m.sql(COMPANY_BATCH), merge_companies)
+    return table.read(m.spark)
+
+
+@check("keyed_merge_postings", ORACLES["merge_postings"])
+def _(m):
+    table = kept(m, "postings", ["company_id"], m.job_postings)
+    table.merge(m.sql(POSTING_BATCH), merge_postings)
+    return table.read(m.spark)

@@ -5,6 +5,8 @@ the log. State is folded block by block (see ``ordered``), so a host or company
 may hold any share of the log.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,54 @@ RATE_LIMITED = ["HTTP_429", "HTTP_403"]
 TRANSIENT = ["HTTP_5XX", "ERROR_TIMEOUT"]
 STATES = range(V.RATE_LIMIT_MAX_STATE + 1)
 
+# what a stretch of the log does to the state: the states after each state before, three bits for each, in a bigint
+STATE_BITS = 3
+#: Bits of an id that its place in a block takes, then those of blocks in larger ones; 63 in all.
+BLOCK_BITS = [20, 22, 21]
+TABLE_BITS = STATE_BITS * len(STATES)
 
-def next_state(bucket: Column, state: Column) -> Column:
-    """Back-off state after one answer."""
-    up = state + 1
-    return (
-        F.when(bucket.isin(RATE_LIMITED), F.least(up, F.lit(V.RATE_LIMIT_MAX_STATE)))
-        .when(bucket == "HTTP_2XX", F.lit(0))
-        .when(bucket == "HTTP_4XX", F.greatest(state - 1, F.lit(0)))
-        .otherwise(F.least(up, F.lit(V.TRANSIENT_MAX_STATE)))
-    )
+
+def _packed(after) -> int:
+    return sum(after(s) << STATE_BITS * s for s in STATES)
+
+
+SAME = _packed(lambda s: s)
+#: Tables of single answers, by the code an answer goes by in a block.
+STEPS = [
+    _packed(lambda s: 0),
+    _packed(lambda s: min(s + 1, V.RATE_LIMIT_MAX_STATE)),
+    _packed(lambda s: max(s - 1, 0)),
+    _packed(lambda s: min(s + 1, V.TRANSIENT_MAX_STATE)),
+]
+CODE_BITS = 2
+
+
+def step_code(bucket: Column) -> Column:
+    """Which of ``STEPS`` an answer is; 0 is success."""
+    return (F.when(bucket == "HTTP_2XX", 0).when(bucket.isin(RATE_LIMITED), 1)
+            .when(bucket == "HTTP_4XX", 2).otherwise(3))
+
+
+def packed_step(bucket: Column) -> Column:
+    """Table of one answer."""
+    return F.get(F.array(*[F.lit(t).cast("bigint") for t in STEPS]), step_code(bucket))
+
+
+def state_after(table: Column, state: Column) -> Column:
+    """State that a table leads to from ``state``."""
+    return F.call_function("shiftright", table, (state * STATE_BITS).cast("int")).bitwiseAND((1 << STATE_BITS) - 1)
+
+
+def joined(left: Column, right: Column) -> Column:
+    """Table of two stretches, one after the other."""
+    low = (1 << STATE_BITS) - 1
+    parts = [F.shiftleft(state_after(right, F.shiftright(left, STATE_BITS * s).bitwiseAND(low)), STATE_BITS * s)
+             for s in STATES]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
+def attempt_bucket() -> Column:
+    return R.status_bucket(F.col("http_status"), F.col("error_bucket"))
 
 
 def delay_ms(bucket: Column, state: Column, per_host_ms: int = V.PER_HOST_DELAY_MS) -> Column:
@@ -58,25 +98,56 @@ def frontier_backoff(attempts: DataFrame, hosts: DataFrame | None = None,
     What a stretch of the log does to a host is a table from the state before to
     the state after; such tables join associatively. ``hosts`` may give the state
     to start from, else it is 0. ``attempts`` has host, id, fetched_at,
-    http_status and error_bucket.
+    http_status and error_bucket; those without a host are left out.
     """
-    rows = attempts.withColumn("bucket", R.status_bucket(F.col("http_status"), F.col("error_bucket")))
-    table = F.array(*[next_state(F.col("bucket"), F.lit(s)) for s in STATES])
-    maps = ordered_fold(rows, ["host"], "id", table,
-                        lambda left, right: F.transform(left, lambda s: F.get(right, s)))
-    last = rows.groupBy("host").agg(
-        F.max_by("bucket", "id").alias("last_status_bucket"),
-        F.max_by("fetched_at", "id").alias("last_fetched_at"),
-    )
-    out = maps.join(last, "host")
+    rows = attempts.where("host IS NOT NULL").select("host", "id", "fetched_at", attempt_bucket().alias("bucket"))
+    out = backoff_tables(rows)
     start = F.lit(0)
     if hosts is not None:
         out = out.join(hosts.select("host", F.col("backoff_state").alias("_start")), "host", "left")
         start = F.least(F.greatest(F.coalesce("_start", F.lit(0)), F.lit(0)), F.lit(max(STATES)))
-    out = out.withColumn("backoff_state", F.get("folded", start))
+    return backoff_answer(out.select(
+        "host", state_after(F.col("table"), start).cast("int").alias("backoff_state"),
+        F.col("last.bucket").alias("last_status_bucket"), F.col("last.fetched_at").alias("last_fetched_at")),
+        per_host_ms=per_host_ms)
+
+
+def backoff_tables(rows: DataFrame) -> DataFrame:
+    """Packed table and last row of every host.
+
+    Rows are folded in blocks of ids. A success makes all before it void, so it
+    goes into its block as a place alone, and only the failures are listed, as
+    whole numbers of place and code. Blocks are then joined, as whole numbers of
+    place and table, in two more levels for all 63 bits of an id.
+    """
+    place = F.col("id").bitwiseAND((1 << BLOCK_BITS[0]) - 1)
+    code = step_code(F.col("bucket"))
+    listed = F.shiftleft(place, CODE_BITS).bitwiseOR(code.cast("bigint"))
+    blocks = rows.groupBy("host", F.shiftright("id", BLOCK_BITS[0]).alias("block")).agg(
+        F.collect_list(F.when(code != 0, listed)).alias("failures"),
+        F.max(F.when(code == 0, F.shiftleft(place + 1, CODE_BITS))).alias("void"),
+        F.max(F.struct("id", "bucket", "fetched_at")).alias("last"))
+    steps = F.array(*[F.lit(t).cast("bigint") for t in STEPS])
+    left = F.sort_array(F.filter("failures", lambda x: F.col("void").isNull() | (x >= F.col("void"))))
+    start = F.when(F.col("void").isNull(), SAME).otherwise(STEPS[0]).cast("bigint")
+    table = F.aggregate(left, start, lambda t, x: joined(t, F.get(steps, x.bitwiseAND((1 << CODE_BITS) - 1).cast("int"))))
+    tables = blocks.select("host", "block", table.alias("table"), "last")
+    for bits in BLOCK_BITS[1:]:
+        place = F.col("block").bitwiseAND((1 << bits) - 1)
+        uppers = tables.groupBy("host", F.shiftright("block", bits).alias("block")).agg(
+            F.collect_list(F.shiftleft(place, TABLE_BITS).bitwiseOR(F.col("table"))).alias("tables"),
+            F.max("last").alias("last"))
+        table = F.aggregate(F.sort_array("tables"), F.lit(SAME).cast("bigint"),
+                            lambda t, x: joined(t, x.bitwiseAND((1 << TABLE_BITS) - 1)))
+        tables = uppers.select("host", "block", table.alias("table"), "last")
+    return tables
+
+
+def backoff_answer(states: DataFrame, *more: str, per_host_ms: int = V.PER_HOST_DELAY_MS) -> DataFrame:
+    """When hosts may be asked again, from their state and last answer."""
     wait = delay_ms(F.col("last_status_bucket"), F.col("backoff_state"), per_host_ms)
-    return out.select("host", "backoff_state", "last_status_bucket",
-                      plus_ms(F.col("last_fetched_at"), wait).alias("next_allowed_at"))
+    return states.select("host", "backoff_state", "last_status_bucket",
+                         plus_ms(F.col("last_fetched_at"), wait).alias("next_allowed_at"), *more)
 
 
 def trailing_failures(log: DataFrame, keys: list[str], seq: str, good: Column, bad: Column) -> DataFrame:
@@ -106,27 +177,36 @@ def cooldown_category(status: Column, error: Column) -> Column:
     return F.when(error.isNotNull(), F.when(timeout, F.lit("TIMEOUT"))).otherwise(by_status)
 
 
+def cooldown_log(attempts: DataFrame) -> DataFrame:
+    """Attempts that count for a cool-down: successes (``good``) and failures with their ``category``."""
+    good = F.coalesce(F.col("error_bucket").isNull() & F.col("http_status").between(200, 299), F.lit(False))
+    return attempts.withColumns({
+        "host": F.lower(F.trim("host")), "good": good,
+        "category": F.when(~good, cooldown_category(F.col("http_status"), F.col("error_bucket"))),
+    }).where(~is_blank(F.col("host")) & (F.col("good") | F.col("category").isNotNull()))
+
+
 def host_cooldown(attempts: DataFrame, steps: list[int] = V.BACKOFF_MINUTES) -> DataFrame:
     """Cool-down state of every host that has failed; a success clears the count.
 
     Only timeouts, 408 and 429 count as failures; other errors change nothing.
     """
-    good = F.col("error_bucket").isNull() & F.col("http_status").between(200, 299)
-    rows = attempts.withColumns({
-        "host": F.lower(F.trim("host")), "good": good,
-        "category": F.when(~good, cooldown_category(F.col("http_status"), F.col("error_bucket"))),
-    }).where(~is_blank(F.col("host")) & (F.col("good") | F.col("category").isNotNull()))
+    rows = cooldown_log(attempts)
     bad = F.col("category").isNotNull()
     counts = trailing_failures(rows, ["host"], "id", F.col("good"), bad)
     last = rows.groupBy("host").agg(
         F.max_by("category", F.when(bad, F.col("id"))).alias("last_error_category"),
         F.max_by("fetched_at", "id").alias("last_attempt_at"),
     ).where(F.col("last_error_category").isNotNull())
-    out = last.join(counts, "host")
+    return cooldown_answer(last.join(counts, "host"), steps=steps)
+
+
+def cooldown_answer(states: DataFrame, *more: str, steps: list[int] = V.BACKOFF_MINUTES) -> DataFrame:
+    """When hosts may be asked again, from their failures in a row."""
     wait = F.when(F.col("failures") > 0, backoff_minutes(F.col("failures"), steps))
-    return out.select(
+    return states.select(
         "host", F.col("failures").cast("int").alias("consecutive_failures"), "last_error_category",
-        "last_attempt_at", plus_minutes(F.col("last_attempt_at"), wait).alias("next_allowed_at"))
+        "last_attempt_at", plus_minutes(F.col("last_attempt_at"), wait).alias("next_allowed_at"), *more)
 
 
 def is_transient(reason: Column, detail: Column) -> Column:
@@ -134,33 +214,43 @@ def is_transient(reason: Column, detail: Column) -> Column:
     return (reason == "discovery_host_cooldown") | ((reason == "discovery_fetch_failed") & found)
 
 
+def discovery_log(outcomes: DataFrame) -> DataFrame:
+    """Outcomes that count; company cool-down and missing domain leave the state as it is."""
+    ignored = F.col("reason_code").isin("discovery_company_cooldown", "discovery_no_domain")
+    return outcomes.where(~F.coalesce(ignored, F.lit(False)))
+
+
 def discovery_cooldown(outcomes: DataFrame, steps: list[int] = V.BACKOFF_MINUTES,
                        robots_days: int = V.ROBOTS_COOLDOWN_DAYS) -> DataFrame:
     """State of every company after its discovery outcomes; a null reason is a success.
 
     ``outcomes`` has company_id, id, observed_at, reason_code, candidate_url and
-    detail. Company cool-down and missing domain leave the state as it is.
+    detail.
     """
-    ignored = F.coalesce(
-        F.col("reason_code").isin("discovery_company_cooldown", "discovery_no_domain"), F.lit(False))
-    rows = outcomes.where(~ignored)
+    rows = discovery_log(outcomes)
     good = F.col("reason_code").isNull()
     counts = trailing_failures(rows, ["company_id"], "id", good, ~good)
     last = rows.groupBy("company_id").agg(F.max_by(
         F.struct("observed_at", "reason_code", "candidate_url", "detail"), "id").alias("x"))
-    out = last.join(counts, "company_id").select("company_id", "failures", "x.*")
+    return discovery_answer(last.join(counts, "company_id").select("company_id", "failures", "x.*"),
+                            steps=steps, robots_days=robots_days)
+
+
+def discovery_answer(states: DataFrame, *more: str, steps: list[int] = V.BACKOFF_MINUTES,
+                     robots_days: int = V.ROBOTS_COOLDOWN_DAYS) -> DataFrame:
+    """When companies may be tried again, from their last outcome and failures in a row."""
     minutes = F.when(
         F.col("reason_code").isin(V.ROBOTS_DISCOVERY_REASONS), max(1, robots_days) * 1440
     ).when(
         is_transient(F.col("reason_code"), F.col("detail")),
         F.greatest(backoff_minutes(F.col("failures"), steps), F.lit(1)),
     )
-    return out.select(
+    return states.select(
         "company_id", F.col("observed_at").alias("last_attempt_at"),
         F.col("reason_code").alias("last_reason_code"),
         F.col("candidate_url").alias("last_candidate_url"),
         F.col("failures").cast("int").alias("consecutive_failures"),
-        plus_minutes(F.col("observed_at"), minutes).alias("next_attempt_at"))
+        plus_minutes(F.col("observed_at"), minutes).alias("next_attempt_at"), *more)
 
 
 def queue_schedule(outcomes: DataFrame, success_minutes: int = V.SUCCESS_INTERVAL_MINUTES,

@@ -1,67 +1,54 @@
-"""Tables kept current by a stream: each micro-batch is folded into the next version.
+"""Tables kept current by a stream: each micro-batch rewrites the parts its keys fall in.
 
-The version before an epoch is what the epoch starts from, so running an epoch
-again, as after the loss of an executor or a restart, gives the same version.
+The epoch of a micro-batch goes with its merge, so running an epoch again, as after
+a restart, leaves the table as it is.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from rolecall.operators.merges import NEW, close_out_postings, merge_postings, merge_table
 from rolecall.operators.state import frontier_backoff
+from rolecall.sources.keyed import KeyedTable
 
 
-class Versions:
-    """Versions of one table in a shared folder, one sub-folder per epoch."""
-
-    def __init__(self, folder: str, start: DataFrame):
-        self.folder, self.start = folder.rstrip("/"), start
-
-    def before(self, spark: SparkSession, epoch: int) -> DataFrame:
-        return self.start if epoch == 0 else self.after(spark, epoch - 1)
-
-    def after(self, spark: SparkSession, epoch: int) -> DataFrame:
-        return spark.read.schema(self.start.schema).parquet(f"{self.folder}/v{epoch}")
-
-    def store(self, df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{epoch}")
-
-
-def keep_current(stream: DataFrame, versions: Versions, fold, checkpoint: str,
+def keep_current(stream: DataFrame, table: KeyedTable, fold, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
-    """Start a query that stores ``fold(table, batch)`` for every micro-batch."""
+    """Start a query that merges every micro-batch by ``fold(rows, batch)``."""
     def step(batch, epoch):
-        versions.store(fold(versions.before(batch.sparkSession, epoch), batch), epoch)
+        table.merge(batch, fold, epoch)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def posting_stream(stream: DataFrame, versions: Versions, checkpoint: str, safe_crawls_of=None,
+def posting_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, safe_crawls_of=None,
                    trigger: dict | None = None) -> StreamingQuery:
     """Merge batches of postings, then close out what their safe crawls did not see.
 
-    ``safe_crawls_of(batch)`` gives company_id and crawl_run_id of the crawls of a
-    batch that went through; without it nothing is closed out.
+    The table is cut by company_id. ``safe_crawls_of(batch)`` gives company_id and
+    crawl_run_id of the crawls of a batch that went through; without it nothing is
+    closed out.
     """
     def fold(postings, batch):
         merged = merge_postings(postings, batch)
         return merged if safe_crawls_of is None else close_out_postings(merged, safe_crawls_of(batch))
 
-    return keep_current(stream, versions, fold, checkpoint, trigger)
+    return keep_current(stream, table, fold, checkpoint, trigger)
 
 
-def backoff_stream(stream: DataFrame, versions: Versions, checkpoint: str,
+def backoff_stream(stream: DataFrame, table: KeyedTable, checkpoint: str,
                    trigger: dict | None = None) -> StreamingQuery:
     """Keep the back-off state of hosts; attempts arrive in the order of their id over batches.
 
-    The state of a host is a column of the versioned host table, and each batch
-    is folded in blocks, so a host that fills a batch is not gathered.
+    The state of a host is a column of the host table, and each batch is folded in
+    blocks, so a host that fills a batch is not gathered. ``processors`` has the
+    form for attempts that arrive in any order.
     """
     def fold(hosts, batch):
         new = frontier_backoff(batch, hosts).withColumn("ord", F.lit(0))
         return merge_table(hosts, new, ["host"], {
             "backoff_state": NEW, "last_status_bucket": NEW, "next_allowed_at": NEW})
 
-    return keep_current(stream, versions, fold, checkpoint, trigger)
+    return keep_current(stream, table, fold, checkpoint, trigger)

@@ -1,51 +1,261 @@
-"""Streams over several micro-batches end where one batch over everything ends."""
+"""Streams over several micro-batches end where one batch over everything ends; merges touch their parts only."""
 
 import datetime
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolecall.operators import latest, merges, state
-from rolecall.streaming.tables import Versions, backoff_stream, posting_stream
+from rolecall.sources.keyed import KeyedTable
+from rolecall.streaming import processors
+from rolecall.streaming.tables import backoff_stream, posting_stream
 from test_tables import BATCH, POSTING, fresh, stored, ts
 
 
+def put(batches, folder, start=0):
+    """Each batch as a file of its own, in order of time."""
+    for i, batch in enumerate(batches, start):
+        batch.coalesce(1).write.parquet(f"{folder}/b{i}")
+        for path, _, names in os.walk(f"{folder}/b{i}"):
+            for name in names:
+                os.utime(f"{path}/{name}", (1e9 + i, 1e9 + i))
+
+
+def stream(spark, schema, folder):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def files(folder):
+    """Every data file with its time of change."""
+    return {os.path.join(d, n): os.stat(os.path.join(d, n)).st_mtime_ns
+            for d, _, names in os.walk(folder) for n in names if n.endswith(".parquet")}
+
+
+def part_of(name):
+    return int(name.split("_part=")[1].split("/")[0])
+
+
+# ---- keyed tables
+
+def keyed(rows, tmp_path, n=400, parts=16):
+    start = rows("id bigint, k string, v int", *[(i, f"k{i}", i) for i in range(n)])
+    return start, KeyedTable(f"{tmp_path}/table", ("k",), start.schema, parts).create(start)
+
+
+def upsert(rows, batch):
+    return merges.merge_table(rows, batch, ["k"], {"v": merges.NEW, "id": merges.KEEP})
+
+
+def test_a_merge_rewrites_the_touched_parts_only(rows, spark, tmp_path):
+    start, table = keyed(rows, tmp_path)
+    batch = rows("ord int, id bigint, k string, v int", (1, 900, "k5", -1), (2, 901, "new", -2), (3, 902, "k5", -3))
+    before = files(table.folder)
+    parts = table.merge(batch, upsert)
+    after = files(table.folder)
+    assert 1 <= len(parts) <= 2
+    assert {f for f in before if part_of(f) not in parts} == {f for f in after if part_of(f) not in parts}
+    assert all(after[f] == before[f] for f in after if part_of(f) not in parts)
+    assert not {f for f in before if part_of(f) in parts} & set(after)
+    assert sorted(table.read(spark).collect()) == sorted(upsert(start, batch).collect())
+    assert not os.path.exists(f"{table.folder}-pending/batch")
+
+
+def test_a_merge_reads_the_touched_parts_only(rows, spark, tmp_path):
+    _, table = keyed(rows, tmp_path)
+    plan = table.read(spark, [3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_part" in plan and "(3,5)" in plan.replace(" ", "")
+    read = table.read(spark, [3, 5]).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {part_of(r.f) for r in read} == {3, 5}
+
+
+def test_a_part_left_empty_goes(rows, spark, tmp_path):
+    _, table = keyed(rows, tmp_path, n=3)
+    (part,) = table.merge(rows("k string", ("k1",)), lambda old, batch: old.join(batch, "k", "left_anti"))
+    assert part not in {part_of(f) for f in files(table.folder)}
+    assert sorted(r.k for r in table.read(spark).collect()) == ["k0", "k2"]
+
+
+def test_empty_table_empty_batch_and_null_keys(rows, spark, tmp_path):
+    empty = rows("id bigint, k string, v int", (1, "a", 1)).limit(0)
+    table = KeyedTable(f"{tmp_path}/table", ("k",), empty.schema, 4).create(empty)
+    batch = rows("ord int, id bigint, k string, v int", (1, 1, "a", 5), (2, 2, None, 6))
+    assert table.merge(batch.limit(0), upsert) == [] and table.read(spark).count() == 0
+    table.merge(batch, upsert)
+    assert sorted(table.read(spark).collect(), key=str) == [(1, "a", 5), (2, None, 6)]
+    with pytest.raises(FileExistsError):
+        table.create(empty)
+
+
+def test_an_epoch_counts_once_and_is_taken_up_again(rows, spark, tmp_path, monkeypatch):
+    start, table = keyed(rows, tmp_path, n=40)
+    add = lambda old, batch: old.join(batch.groupBy("k").count(), "k", "left").select(
+        "id", "k", (F.col("v") + F.coalesce("count", F.lit(0)).cast("int")).alias("v"))
+    batch = rows("k string", *[(f"k{i}",) for i in range(20)])
+    publish = KeyedTable._publish
+
+    def cut_off(self, spark, pending, parts):  # half of the parts get there before the run ends
+        publish(self, spark, pending, parts)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(KeyedTable, "_publish", cut_off)
+    with pytest.raises(RuntimeError):
+        table.merge(batch, add, epoch=0)
+    monkeypatch.setattr(KeyedTable, "_publish", publish)
+    for _ in range(3):
+        table.merge(batch, add, epoch=0)
+    assert sorted(r.v - r.id for r in table.read(spark).collect()) == [0] * 20 + [1] * 20
+    table.merge(batch, add, epoch=1)
+    assert sorted(r.v - r.id for r in table.read(spark).collect()) == [0] * 20 + [2] * 20
+    assert sorted(os.listdir(f"{table.folder}-done")) == ["1"]
+
+
+def test_a_hot_key_is_written_by_several_tasks(rows, spark, tmp_path):
+    start = spark.range(60000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(
+        F.col("id").cast("string")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        table = KeyedTable(f"{tmp_path}/table", ("k",), start.schema, 8).create(start)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    (hot,) = table.touched(rows("k string", ("hot",)))
+    assert len([f for f in files(table.folder) if part_of(f) == hot]) > 1
+
+
+# ---- tables kept current by a stream
+
 def test_posting_stream_equals_merges_in_order(rows, spark, tmp_path):
-    start = rows(POSTING, stored(1, "A", "h1"), stored(2, None, "h2"), stored(3, "C", "h3"))
+    start = rows(POSTING, stored(1, "A", "h1"), stored(2, None, "h2"), stored(3, "C", "h3"), stored(4, "Z", "h1", company=9))
     first = rows(BATCH, fresh(1, "A", "h7"), fresh(2, "D", "h4"))
     second = rows(BATCH, fresh(3, "A", "h8"), fresh(4, None, "h4", run=3))
-    for i, batch in enumerate([first, second]):
-        batch.coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
-        time = datetime.datetime(2024, 1, 1 + i).timestamp()
-        for folder, _, names in os.walk(f"{tmp_path}/in/b{i}"):
-            for name in names:
-                os.utime(f"{folder}/{name}", (time, time))
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    put([first, second], f"{tmp_path}/in")
     safe = lambda batch: batch.groupBy("company_id").agg(F.max("crawl_run_id").alias("crawl_run_id"))
-    versions = Versions(f"{tmp_path}/out", start)
-    posting_stream(stream, versions, f"{tmp_path}/offsets", safe).awaitTermination()
+    table = KeyedTable(f"{tmp_path}/out", ("company_id",), start.schema, 4).create(start)
+    posting_stream(stream(spark, first.schema, f"{tmp_path}/in"), table, f"{tmp_path}/offsets", safe).awaitTermination()
     one = merges.close_out_postings(merges.merge_postings(start, first), safe(first))
     want = merges.close_out_postings(merges.merge_postings(one, second), safe(second))
-    got = versions.after(spark, 1)
+    got = table.read(spark)
     assert sorted(map(str, got.select(*start.columns).collect())) == sorted(map(str, want.collect()))
-    assert {r.content_hash: r.is_active for r in got.collect()} == {"h8": False, "h2": False, "h3": False, "h4": True}
+    assert {(r.company_id, r.content_hash): r.is_active for r in got.collect()} == {
+        (1, "h8"): False, (1, "h2"): False, (1, "h3"): False, (1, "h4"): True, (9, "h1"): True}
+
+
+ATTEMPT = "host string, id bigint, fetched_at timestamp, http_status int, error_bucket string"
+ANSWERS = [429, 503, 404, 403, 429, 200, 503, 0, 429, 429, 404, 500]
 
 
 def test_backoff_stream_equals_the_whole_fold(rows, spark, tmp_path):
-    schema = "host string, id bigint, fetched_at timestamp, http_status int, error_bucket string"
-    answers = [429, 503, 404, 403, 429, 200, 503, 0, 429, 429, 404, 500]
-    log = [("a" if i % 3 else "b", i, ts(i), s, None) for i, s in enumerate(answers * 2)]
-    for i, part in enumerate([log[:9], log[9:15], log[15:]]):
-        rows(schema, *part).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
-        for folder, _, names in os.walk(f"{tmp_path}/in/b{i}"):
-            for name in names:
-                os.utime(f"{folder}/{name}", (1e9 + i, 1e9 + i))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    log = [("a" if i % 3 else "b", i, ts(i), s, None) for i, s in enumerate(ANSWERS * 2)]
+    put([rows(ATTEMPT, *part) for part in (log[:9], log[9:15], log[15:])], f"{tmp_path}/in")
     hosts = rows("host string, backoff_state int, last_status_bucket string, next_allowed_at timestamp").limit(0)
-    versions = Versions(f"{tmp_path}/out", hosts)
-    backoff_stream(stream, versions, f"{tmp_path}/offsets").awaitTermination()
-    want = state.frontier_backoff(rows(schema, *log)).select(*hosts.columns)
-    assert sorted(versions.after(spark, 2).collect()) == sorted(want.collect())
+    table = KeyedTable(f"{tmp_path}/out", ("host",), hosts.schema, 4).create(hosts)
+    backoff_stream(stream(spark, ATTEMPT, f"{tmp_path}/in"), table, f"{tmp_path}/offsets").awaitTermination()
+    want = state.frontier_backoff(rows(ATTEMPT, *log)).select(*hosts.columns)
+    assert sorted(table.read(spark).collect()) == sorted(want.collect())
+
+
+# ---- stateful processors
+
+def shuffled(log, sizes, seed=1):
+    """The log in batches, with rows up to 15 places early or late and some rows twice."""
+    chance = random.Random(seed)
+    order = sorted(log, key=lambda r: r[1] + chance.uniform(0, 15))
+    out, at = [], 0
+    for n in sizes:
+        part = order[at:at + n]
+        out.append(part + chance.sample(order[max(at - 12, 0):at + n], 4))
+        at += n
+    assert at >= len(log)
+    return out
+
+
+OUTCOME = "company_id bigint, id bigint, observed_at timestamp, reason_code string, candidate_url string, detail string"
+REASONS = [None, "discovery_fetch_failed", "discovery_host_cooldown", "discovery_homepage_blocked_by_robots",
+           "discovery_company_cooldown", "discovery_fetch_failed"]
+
+
+def attempts_log(n=90):
+    chance = random.Random(4)
+    return [(chance.choice(["a", "a", "a", "b", None, " "]), i, ts(i), chance.choice(ANSWERS + [200, 429, 408]),
+             chance.choice([None, None, "read_timeout", "io_error"])) for i in range(n)]
+
+
+def outcomes_log(n=90):
+    chance = random.Random(5)
+    return [(chance.choice([1, 1, 2, 3]), i, ts(i), chance.choice(REASONS), f"u{i}", chance.choice(["http_503", None]))
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("log, schema, key, states, whole", [
+    (attempts_log, ATTEMPT, "host", processors.backoff_states, state.frontier_backoff),
+    (attempts_log, ATTEMPT, "host", processors.cooldown_states, state.host_cooldown),
+    (outcomes_log, OUTCOME, "company_id", processors.discovery_states, state.discovery_cooldown),
+], ids=["backoff", "cooldown", "discovery"])
+def test_processors_cope_with_disorder_repeats_and_restarts(rows, spark, tmp_path, log, schema, key, states, whole):
+    log = log()
+    batches = [rows(schema, *part) for part in shuffled(log, [30, 25, 35])]
+    want = whole(rows(schema, *log))
+    table = KeyedTable(f"{tmp_path}/out", (key,), want.schema, 4).create(want.limit(0))
+    at = 0
+    for some in (batches[:2], batches[2:]):  # the second run goes on from the checkpoint of the first
+        put(some, f"{tmp_path}/in", at)
+        at += len(some)
+        answers = states(stream(spark, schema, f"{tmp_path}/in"), "20 minutes")
+        processors.keep_states(answers, table, f"{tmp_path}/offsets").awaitTermination()
+    assert sorted(map(str, table.read(spark).collect())) == sorted(map(str, want.collect()))
+
+
+class Kept:
+    """A value or map state in memory."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def iterator(self):
+        return iter(self.map.items())
+
+
+def test_rows_are_settled_once_the_watermark_has_passed_them(rows):
+    class Handle:
+        timers = []
+        getValueState = getMapState = staticmethod(lambda *_: Kept())
+        registerTimer = timers.append
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    from pyspark.sql import Row
+    one = processors.OrderedLog(processors.count_step)
+    one.init(Handle)
+    row = lambda i, op: Row(id=i, at=ts(i), op=op, note=f"n{i}")
+    ms = lambda i: int(ts(i).timestamp() * 1000)
+    (got,) = one.handleInputRows(("k",), iter([row(5, 1), row(2, 1), row(3, -1), row(2, 1)]), None)
+    assert (got.value, got.last_id, got.note) == (1, 5, "n5") and Handle.timers == [ms(5) + 1]
+    list(one.handleExpiredTimer(("k",), Times(ms(4)), None))
+    assert one.settled.value[:2] == (0, 3) and list(one.waiting.map) == [(5,)]
+    (got,) = one.handleInputRows(("k",), iter([row(4, 1), row(3, -1)]), None)  # a late row, and a settled one again
+    assert (got.value, got.last_id) == (2, 5)
 
 
 def test_large_cut_of_a_hot_key(rows):
@@ -53,3 +263,39 @@ def test_large_cut_of_a_hot_key(rows):
     got = latest.top_per_group(df, ["k"], [F.desc("v")], 1500).collect()
     assert sorted(r.v for r in got if r.k == "hot") == list(range(2500, 4000))
     assert sorted(r.v for r in got if r.k == "cold") == list(range(10))
+
+
+# ---- packed tables of the back-off
+
+def after(answer, s):
+    if answer in (429, 403):
+        return min(s + 1, 6)
+    if answer == 200:
+        return 0
+    return max(s - 1, 0) if 400 <= answer < 500 else min(s + 1, 4)
+
+
+def test_packed_tables_equal_single_steps_over_many_blocks(rows, spark, monkeypatch):
+    monkeypatch.setattr(state, "BLOCK_BITS", [3, 2, 58])
+    chance = random.Random(8)
+    log, want = [], {}
+    for start in range(7):
+        for host in ("busy", "rare", "fine"):
+            want[f"{host}{start}"] = start
+    for i in range(1500):
+        host = chance.choice(["busy"] * 8 + ["rare", "fine"]) + str(chance.randrange(7))
+        answer = 200 if host.startswith("fine") else chance.choice(ANSWERS + [403, 503])
+        answer = chance.choice([429, 503, 404, 500]) if answer == 200 and host.startswith("rare") else answer
+        log.append((host, i * 3, ts(i), answer, None))
+        want[host] = after(answer, want[host])
+    hosts = rows("host string, backoff_state int", *[(h, int(h[-1])) for h in want])
+    got = {r.host: r.backoff_state for r in state.frontier_backoff(
+        rows(ATTEMPT, *chance.sample(log, len(log))), hosts).collect()}
+    assert got == {h: want[h] for h in {r[0] for r in log}}
+
+
+def test_the_back_off_shuffles_whole_numbers(rows):
+    plan = state.frontier_backoff(rows(ATTEMPT, ("a", 1, ts(1), 200, None)))._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 3 and "Join" not in plan
+    assert plan.count("collect_list") and "array<struct" not in plan
