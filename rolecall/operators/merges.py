@@ -175,41 +175,65 @@ def prepare_postings(batch: DataFrame) -> DataFrame:
     })
 
 
-def _by_identifier(postings: DataFrame, rows: DataFrame) -> DataFrame:
-    """Postings with every row that shares an identifier with the batch brought up to date."""
-    keys = ["company_id", "external_identifier"]
-    fields = {n: NEW for n in POSTING_NEW if n not in keys} | {n: FILL for n in POSTING_FILL}
-    fields |= POSTING_SEEN | {"content_hash": NEW}
-    known = fold_batch(rows.where(~is_blank(F.col("external_identifier"))), keys, fields)
-    new = known.select(*keys, *[F.col(n).alias(f"_new_{n}") for n in fields], F.lit(True).alias("_hit"))
-    joined = postings.join(new, keys, "left")
-    hit = F.col("_hit").isNotNull()
-    return joined.select(*[
-        (F.when(hit, combined(F.col(n), F.col(f"_new_{n}"), fields[n])).otherwise(F.col(n))
-         if n in fields else F.col(n)).alias(n)
-        for n in postings.columns
-    ])
+def affected_postings(postings: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored postings that prepared batch rows bear on, by their company and stored hash.
+
+    A posting that shares an identifier with the batch moves to the hash of the last
+    such row (``moved_to``) and is seen when that row was fetched; one that only
+    shares a hash stays where it is. Nothing but keys and times is read.
+    """
+    named = rows.where(~is_blank(F.col("external_identifier")))
+    latest = named.groupBy("company_id", "external_identifier").agg(
+        F.max(F.struct(ORD, "content_hash", "fetched_at")).alias("_last"),
+        F.max_by("crawl_run_id", F.when(F.col("crawl_run_id").isNotNull(), F.col(ORD))).alias("_run"))
+    stored = postings.select("company_id", "content_hash", "external_identifier", "id", "first_seen_at",
+                             "last_seen_at", "crawl_run_id")
+    # postings without an identifier are nowhere near this join
+    moved = stored.where(~is_blank(F.col("external_identifier"))).join(
+        latest, ["company_id", "external_identifier"]).select(
+        "company_id", "content_hash", F.lit(True).alias("moves"), F.col("_last.content_hash").alias("moved_to"),
+        F.col("_last.fetched_at").alias("last_seen_at"), "id", "first_seen_at",
+        F.coalesce("_run", "crawl_run_id").alias("crawl_run_id"))
+    same = stored.join(rows.select("company_id", "content_hash").distinct(), ["company_id", "content_hash"],
+                       "left_semi").select(
+        "company_id", "content_hash", F.lit(False).alias("moves"), F.col("content_hash").alias("moved_to"),
+        "last_seen_at", "id", "first_seen_at", "crawl_run_id")
+    found = moved.unionByName(same)
+    fields = [c for c in found.columns if c not in ("company_id", "content_hash")]
+    return found.groupBy("company_id", "content_hash").agg(F.max(F.struct(*fields)).alias("x")).select(
+        "company_id", "content_hash", "x.*")
 
 
 def merge_postings(postings: DataFrame, batch: DataFrame) -> DataFrame:
-    """Two passes: by identifier, which may change the hash, then by company and hash.
+    """By identifier, which may change the hash, then by company and hash.
 
-    When the first pass gives two postings of a company the same hash, the newest
-    stays (see ``posting_conflicts``). First seen is never changed.
+    When identifiers give two postings of a company the same hash, the newest
+    stays (see ``posting_conflicts``). First seen is never changed. The target is
+    unique in company and hash.
+
+    Every posting the batch bears on takes the content of a batch row, so of the
+    stored ones only keys and times are joined. All others pass through one join
+    that leaves out the ones borne on.
     """
-    rows = prepare_postings(batch)
-    keys = ["company_id", "content_hash"]
-    unique = dedupe_first(
-        _by_identifier(postings, rows), keys, [F.desc("last_seen_at"), F.desc("id")]
-    )
+    rows, keys = prepare_postings(batch), ["company_id", "content_hash"]
     fields = {n: NEW for n in POSTING_NEW} | {n: FILL for n in POSTING_FILL} | POSTING_SEEN
-    return merge_table(unique, rows, keys, {"id": KEEP, "first_seen_at": KEEP} | fields)
+    new = fold_batch(rows, keys, {"id": KEEP, "first_seen_at": KEEP} | fields)
+    old = affected_postings(postings, rows)
+    newest = old.groupBy("company_id", F.col("moved_to").alias("content_hash")).agg(
+        F.max(F.struct("last_seen_at", "id", "first_seen_at", "crawl_run_id")).alias("_old"))
+    new = new.join(newest, keys, "left").withColumns({
+        "id": F.coalesce("_old.id", "id"), "first_seen_at": F.coalesce("_old.first_seen_at", "first_seen_at"),
+        "crawl_run_id": F.coalesce("crawl_run_id", "_old.crawl_run_id")})
+    gone = old.select(*[F.col(k).alias(f"_gone_{k}") for k in keys])
+    rest = postings.join(gone, [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys], "left_anti")
+    return rest.unionByName(new.select(*[
+        F.col(n).cast(postings.schema[n].dataType).alias(n) for n in postings.columns]))
 
 
 def posting_conflicts(postings: DataFrame, batch: DataFrame) -> DataFrame:
     """Per company, postings that the identifier pass leaves with a hash already taken."""
-    moved = _by_identifier(postings, prepare_postings(batch))
-    shared = moved.groupBy("company_id", "content_hash").agg(F.count("*").alias("n"))
+    moved = affected_postings(postings, prepare_postings(batch))
+    shared = moved.groupBy("company_id", "moved_to").agg(F.count("*").alias("n"))
     return shared.where(F.col("n") > 1).groupBy("company_id").agg(
         F.sum(F.col("n") - 1).alias("conflicts")
     )

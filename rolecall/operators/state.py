@@ -7,12 +7,14 @@ may hold any share of the log.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolecall.functions import fixed_values as V
 from rolecall.functions import reasons as R
 from rolecall.functions.text import is_blank, record
+from rolecall.operators.latest import top_per_group
+from rolecall.operators.ordered import BLOCK_BITS as BLOCK
 from rolecall.operators.ordered import ordered_fold, running
 
 RATE_LIMITED = ["HTTP_429", "HTTP_403"]
@@ -283,6 +285,10 @@ def primary_failure(failures: DataFrame, keys: list[str] = ("company_id",)) -> D
     return picked.select(*keys, "x.*")
 
 
+BREACHES = ["total_request_budget_exceeded", "per_host_request_budget_exceeded",
+            "consecutive_error_threshold_exceeded", "rate_limit_threshold_exceeded"]
+
+
 def budget_breach(attempts: DataFrame, keys: list[str], max_total: int = V.BUDGET_MAX_TOTAL,
                   max_per_host: int = V.BUDGET_MAX_PER_HOST,
                   max_429_rate: float = V.BUDGET_MAX_429_RATE,
@@ -294,29 +300,72 @@ def budget_breach(attempts: DataFrame, keys: list[str], max_total: int = V.BUDGE
     per-host limits stop a request before it is made; the others look at its answer.
     """
     error = ~is_blank(F.col("error_bucket")) | (F.col("http_status") == 429) | (F.col("http_status") >= 500)
-    rows = attempts.select(*keys, "id", "host", F.coalesce(error, F.lit(False)).alias("error"),
-                           F.coalesce(F.col("http_status") == 429, F.lit(False)).alias("limited"))
-    one = F.lit(1)
-    rows = running(rows, keys, "id", {"made": one, "made_429": F.col("limited").cast("int")})
-    named = F.when(F.col("host").isNotNull(), 1).otherwise(0)
-    rows = running(rows, [*keys, "host"], "id", {"made_to_host": named})
-    rows = running(rows, keys, "id", {}, {"last_good": F.when(~F.col("error"), F.col("made"))})
-    streak = F.col("made") - F.coalesce("last_good", F.lit(0))
-    share = F.col("made_429") / F.greatest(F.col("made"), F.lit(1))
-    none = F.lit(False)
-    trips = [
-        (F.col("made") > max_total if max_total > 0 else none, "total_request_budget_exceeded"),
-        (F.col("made_to_host") > max_per_host if max_per_host > 0 else none,
-         "per_host_request_budget_exceeded"),
-        (streak >= max_errors if max_errors > 0 else none, "consecutive_error_threshold_exceeded"),
-        ((F.col("made") >= min_requests) & (share >= max_429_rate) if max_429_rate > 0 else none,
-         "rate_limit_threshold_exceeded"),
-    ]
-    reason = F
-    for test, name in trips:
-        reason = reason.when(test, name)
-    hit = rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
-    return hit.groupBy(*keys).agg(F.min("id").alias("attempt_id"), F.min_by("reason", "id").alias("reason"))
+    # runs go by one column, which is never null, so that joins keep the partitioning of windows
+    rows = attempts.select(F.struct(*keys).alias("run"), "id", "host", F.coalesce(error, F.lit(False)).alias("error"),
+                           F.coalesce(F.col("http_status") == 429, F.lit(False)).cast("bigint").alias("limited"))
+    made, streak = F.col("made"), F.col("made") - F.coalesce("good_at", F.lit(0))
+    share = F.col("made_429") / F.greatest(made, F.lit(1))
+    trips = {}
+    if max_total > 0:
+        trips[0] = made > max_total
+    if max_errors > 0:
+        trips[2] = streak >= max_errors
+    if max_429_rate > 0:
+        trips[3] = (made >= min_requests) & (share >= max_429_rate)
+    hits = []
+    if trips:
+        kind = F.coalesce(*[F.when(test, place) for place, test in trips.items()])
+        counted = running_requests(rows).select("run", "id", kind.alias("kind"))
+        hits.append(counted.where("kind IS NOT NULL"))
+    if max_per_host > 0:
+        named = top_per_group(rows.where("host IS NOT NULL").select("run", "host", "id"), ["run", "host"],
+                              [F.asc("id")], max_per_host + 1)
+        hits.append(named.groupBy("run", "host").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+                    .where(F.col("n") > max_per_host).select("run", "id", F.lit(1).alias("kind")))
+    hits = reduce(DataFrame.unionByName, hits) if hits else rows.where("false").select("run", "id", F.lit(0).alias("kind"))
+    first = hits.groupBy("run").agg(F.min(F.struct("id", "kind")).alias("first"))
+    names = F.array(*[F.lit(n) for n in BREACHES])
+    return first.select("run.*", F.col("first.id").alias("attempt_id"), F.get(names, "first.kind").alias("reason"))
+
+
+def running_requests(rows: DataFrame) -> DataFrame:
+    """Rows with ``made`` and ``made_429``, the requests of their run so far, and ``good_at``, the number
+    of requests at its last good answer.
+
+    All three go through one scan of blocks: what a block amounts to is its counts and the number at its
+    last good answer, counted from its own start; two such values in a row make one of the same kind.
+    """
+    def window(part, order, end):
+        return Window.partitionBy("run", part).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+
+    def before(table, part, order):
+        w = window(part, order, -1) if part else Window.partitionBy("run").orderBy(order).rowsBetween(
+            Window.unboundedPreceding, -1)
+        zero = F.lit(0).cast("bigint")
+        table = table.withColumns({"made_before": F.coalesce(F.sum("made").over(w), zero),
+                                   "limited_before": F.coalesce(F.sum("made_429").over(w), zero)})
+        return table.withColumn("good_before", F.max(F.col("made_before") + F.col("good_at")).over(w))
+
+    inside = window("block", "id", 0)
+    rows = rows.withColumn("block", F.shiftright("id", BLOCK)).withColumns({
+        "made": F.count("*").over(inside), "made_429": F.sum("limited").over(inside)})
+    rows = rows.withColumn("good_at", F.max(F.when(~F.col("error"), F.col("made"))).over(inside))
+    blocks = rows.groupBy("run", "block").agg(*[F.max(c).alias(c) for c in ("made", "made_429", "good_at")])
+    blocks = before(blocks.withColumn("upper", F.shiftright("block", BLOCK)), "upper", "block")
+    uppers = blocks.groupBy("run", "upper").agg(
+        F.sum("made").alias("made"), F.sum("made_429").alias("made_429"),
+        F.max(F.col("made_before") + F.col("good_at")).alias("good_at"))
+    uppers = before(uppers, None, "upper").select(
+        "run", "upper", F.col("made_before").alias("made_up"), F.col("limited_before").alias("limited_up"),
+        F.col("good_before").alias("good_up"))
+    offsets = blocks.join(uppers, ["run", "upper"]).select(
+        "run", "block", (F.col("made_before") + F.col("made_up")).alias("made_before"),
+        (F.col("limited_before") + F.col("limited_up")).alias("limited_before"),
+        F.coalesce(F.col("good_before") + F.col("made_up"), "good_up").alias("good_before"))
+    return rows.join(offsets, ["run", "block"]).select(
+        "run", "id", (F.col("made") + F.col("made_before")).alias("made"),
+        (F.col("made_429") + F.col("limited_before")).alias("made_429"),
+        F.coalesce(F.col("good_at") + F.col("made_before"), "good_before").alias("good_at"))
 
 
 def request_budget_cut(results: DataFrame, keys: list[str], seq: str, budget: int) -> DataFrame:

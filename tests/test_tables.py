@@ -317,3 +317,73 @@ def test_plans_have_no_product_and_read_few_columns(spark, name):
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastExchange", "SinglePartition, REPARTITION"):
         assert word not in plan
 
+
+
+# ---- one scan of a run's requests
+
+def breach_by_rows(log, max_total, max_per_host, rate, least, errors):
+    runs, out = {}, {}
+    for run, i, host, status, bucket in sorted(log, key=lambda r: r[1]):
+        s = runs.setdefault(run, {"made": 0, "limited": 0, "streak": 0, "hosts": {}})
+        if run in out:
+            continue
+        bad = bool(bucket) or status == 429 or (status or 0) >= 500
+        s["made"] += 1
+        s["limited"] += status == 429
+        s["streak"] = s["streak"] + 1 if bad else 0
+        s["hosts"][host] = s["hosts"].get(host, 0) + 1
+        for hit, name in (
+                (s["made"] > max_total > 0, "total_request_budget_exceeded"),
+                (host is not None and s["hosts"][host] > max_per_host > 0, "per_host_request_budget_exceeded"),
+                (s["streak"] >= errors > 0, "consecutive_error_threshold_exceeded"),
+                (rate > 0 and s["made"] >= least and s["limited"] / s["made"] >= rate, "rate_limit_threshold_exceeded")):
+            if hit:
+                out[run] = (i, name)
+                break
+    return out
+
+
+@pytest.mark.parametrize("limits", [(60, 0, 0, 1, 0), (0, 9, 0, 1, 0), (0, 0, 0, 1, 3), (0, 0, 0.3, 8, 0),
+                                    (70, 14, 0.34, 9, 5), (0, 0, 0, 1, 0)])
+def test_budget_breach_over_many_blocks(rows, monkeypatch, limits):
+    monkeypatch.setattr(state, "BLOCK", 3)
+    chance = random.Random(sum(limits))
+    log = [(chance.choice([1, 1, 1, 2, None]), i * 2, chance.choice(["a", "b", "c", None]),
+            chance.choice([200, 200, 200, 429, 500, None]), chance.choice([None] * 5 + ["timeout"])) for i in range(400)]
+    df = rows("run int, id bigint, host string, http_status int, error_bucket string", *log)
+    got = state.budget_breach(df, ["run"], *limits)
+    assert {r.run: (r.attempt_id, r.reason) for r in got.collect()} == breach_by_rows(log, *limits)
+
+
+def test_budget_breach_in_ten_exchanges(rows):
+    df = rows("run int, id bigint, host string, http_status int, error_bucket string", (1, 1, "a", 200, None))
+    plan = state.budget_breach(df, ["run"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") <= 10
+
+
+# ---- postings: narrow keys first
+
+def test_identifiers_move_postings_and_the_newest_of_a_hash_stays(rows):
+    target = rows(POSTING, stored(1, "A", "h1"), stored(2, "B", "h2"), stored(3, "C", "h3"), stored(4, " ", "h4"),
+                  stored(5, None, "h5"), stored(6, "A", "h6", company=2), stored(7, "E", "h7"))
+    batch = rows(BATCH, fresh(1, "A", "hx"), fresh(2, "B", "hx"), fresh(3, "C", "h7"), fresh(4, " ", "h4"),
+                 fresh(5, None, "new"))
+    got = {(r.company_id, r.content_hash): r for r in merges.merge_postings(target, batch).collect()}
+    assert set(got) == {(1, "hx"), (1, "h7"), (1, "h4"), (1, "h5"), (1, "new"), (2, "h6")}
+    # both A and B move to hx and are seen at the same time: the higher id stays
+    assert got[1, "hx"].id == 2 and got[1, "hx"].first_seen_at == ts(2) and got[1, "hx"].title == "new2"
+    # C moves onto the stored h7, which the batch saw no later
+    assert got[1, "h7"].id == 3 and got[1, "h7"].external_identifier == "C"
+    assert got[1, "h4"].id == 4 and got[1, "h4"].title == "new4" and got[1, "new"].id is None
+    assert got[1, "h5"].title == "t5" and got[2, "h6"].title == "t6"
+    conflicts = merges.posting_conflicts(target, batch).collect()
+    assert [(r.company_id, r.conflicts) for r in conflicts] == [(1, 2)]
+
+
+def test_only_keys_and_times_of_stored_postings_are_joined(rows):
+    target = rows(POSTING, stored(1, "A", "h1"))
+    found = merges.affected_postings(target, merges.prepare_postings(rows(BATCH, fresh(1, "A", "h9"))))
+    wide = {"title", "description_text", "description_plain", "org_name"}
+    assert not wide & set(found.columns)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "html" not in plan
