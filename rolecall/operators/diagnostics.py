@@ -121,14 +121,45 @@ def jobs_for_run(postings: DataFrame, runs: DataFrame, as_of, run_id=None) -> Da
     )
 
 
+#: Microseconds of the smallest cell of the time grid, as a power of two: about a second.
+CELL_BITS = 20
+LEVELS = 64 - CELL_BITS
+
+
 def by_window(points: DataFrame, windows: DataFrame, at: str, start: str, end: str) -> DataFrame:
-    """Points inside inclusive windows, joined through the calendar days a window touches."""
-    days = windows.where(F.col(start) <= F.col(end)).withColumn(
-        "_day", F.explode(F.sequence(F.to_date(start), F.to_date(end)))
-    )
-    keyed = points.withColumn("_day", F.to_date(at))
+    """Points inside inclusive windows.
+
+    A window is cut into the largest cells of a binary time grid that fit, two at
+    most on each level. A point meets the windows that hold one of its cells, so
+    it is compared with no window that it is not in, but for the cells at the two
+    ends of a window. Points are looked up on the levels that some window uses.
+    """
+    low, high = F.col("_low"), F.col("_high") + 1
+
+    def cells(k):
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        first = F.call_function("shiftright", low + size - 1, k)
+        stop = F.call_function("shiftright", high, k)
+        odd = lambda x: x.bitwiseAND(1) == 1
+        return F.array_compact(F.array(
+            F.when((first < stop) & odd(first), F.struct(k.alias("level"), first.alias("cell"))),
+            F.when((first < stop) & odd(stop), F.struct(k.alias("level"), (stop - 1).alias("cell")))))
+
+    cut = windows.where(F.col(start) <= F.col(end)).withColumns(
+        {"_low": cell_of(start), "_high": cell_of(end)})
+    pieces = cut.withColumn("_piece", F.explode(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.lit(LEVELS - 1)), cells)))).drop("_low", "_high")
+    used = pieces.agg(F.array_sort(F.collect_set("_piece.level"))).scalar()
+    own = F.transform("_levels", lambda k: F.struct(
+        k.alias("level"), F.call_function("shiftright", F.col("_cell"), k).alias("cell")))
+    keyed = points.withColumns({"_cell": cell_of(at), "_levels": used}).withColumn(
+        "_piece", F.explode(own)).drop("_cell", "_levels")
     inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    return keyed.join(days, "_day").where(inside).drop("_day")
+    return keyed.join(pieces, "_piece").where(inside).drop("_piece")
+
+
+def cell_of(time: str):
+    return F.shiftright(F.unix_micros(time), CELL_BITS)
 
 
 def top_errors(urls: DataFrame, run_id: int, limit: int) -> DataFrame:

@@ -60,18 +60,32 @@ def _endpoint(match: Column, pattern: str, template: str) -> Column:
     return F.concat(*pieces)
 
 
-def link_array(text: Column) -> Column:
-    """Vendor endpoints a text names, in pattern order: array of (vendor, ats_url)."""
-    def found(vendor, pattern, template):
-        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+#: Whatever one of the vendor patterns may match, up to a mark that none of them crosses.
+LINK_TOKEN = (r"(?i)(?:https?:)?//[A-Za-z0-9.-]*(?:" + V.VENDOR_LINK_HINT.removeprefix("(?i)")
+              + r")[^\"'\s>]*")
+
+
+def link_array(*texts_: Column) -> Column:
+    """Vendor endpoints that texts name, text by text in pattern order: array of (vendor, ats_url).
+
+    A text is read once, for all vendors together; the patterns of single vendors
+    then go over the tokens found, which hold every match that the text holds.
+    """
+    def found(tokens, vendor, pattern, template):
+        matches = F.regexp_extract_all(tokens, F.lit(pattern), F.lit(0))
         return F.transform(matches, lambda m: record(vendor=F.lit(vendor), raw=_endpoint(m, pattern, template)))
 
-    every = F.concat(*[found(*link) for link in V.VENDOR_LINKS])
-    good = F.filter(every, lambda x: x["raw"].isNotNull()
-                    & (F.lower(x["raw"]) != "https://boards.greenhouse.io/embed"))
-    stored = F.transform(good, lambda x: record(vendor=x["vendor"], ats_url=_stored(x["raw"])))
-    return F.coalesce(F.filter(stored, lambda x: x["ats_url"].isNotNull()),
-                      F.array().cast("array<struct<vendor:string,ats_url:string>>"))
+    def links(tokens):
+        every = F.concat(*[found(tokens, *link) for link in V.VENDOR_LINKS])
+        good = F.filter(every, lambda x: x["raw"].isNotNull()
+                        & (F.lower(x["raw"]) != "https://boards.greenhouse.io/embed"))
+        stored = F.transform(good, lambda x: record(vendor=x["vendor"], ats_url=_stored(x["raw"])))
+        return F.filter(stored, lambda x: x["ats_url"].isNotNull())
+
+    tokens = F.filter(F.array(*[
+        F.array_join(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(LINK_TOKEN), F.lit(0)), "\n")
+        for t in texts_]), lambda t: t != "")
+    return F.flatten(F.transform(tokens, links))
 
 
 def _stored(url: Column) -> Column:
@@ -81,9 +95,8 @@ def _stored(url: Column) -> Column:
 
 def vendor_endpoints(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Distinct vendor endpoints of each page: from its URL first, then from its HTML."""
-    hinted = F.col("url").rlike(V.VENDOR_LINK_HINT) | F.col("html").rlike(V.VENDOR_LINK_HINT)
-    both = F.concat(link_array(F.coalesce("url", F.lit(""))), link_array(F.coalesce("html", F.lit(""))))
-    rows = pages.where(hinted).select(key, F.posexplode(both).alias("pos", "x")).select(
+    both = link_array(F.col("url"), F.col("html"))
+    rows = pages.select(key, F.posexplode(both).alias("pos", "x")).select(
         key, "pos", "x.vendor", "x.ats_url", F.lower("x.ats_url").alias("_low"))
     return dedupe_first(rows, [key, "vendor", "_low"], [F.asc("pos")]).drop("_low")
 

@@ -159,38 +159,47 @@ def robots_sitemaps(docs: DataFrame, key: str = "host") -> DataFrame:
         key, "no", F.col("value").alias("sitemap_url"))
 
 
-PREFIX_CHARS = 8
+#: Literal starts shorter than this are shared by many URLs of a host; their rules are dealt to so many salts.
+SHORT, SALTS = 12, 16
 
 
 def robots_decisions(urls: DataFrame, rules: DataFrame, key: str = "url_id") -> DataFrame:
     """Is each URL allowed? The longest matching rule of its host decides, allow on a tie.
 
-    Before matching, a URL meets only the rules whose literal start (up to a
-    wildcard, at most eight characters) its path begins with, so a host with very
-    many rules or URLs is spread by path. ``urls`` has the key and url; ``rules``
-    has host, path and allow.
+    A rule is filed under its literal start, up to a wildcard. Each host has the
+    set of lengths of these starts, and a URL looks up its beginnings of these
+    lengths only. URLs of a host are spread by a salt, and the rules with a short
+    start, wildcards above all, stand at every salt; a longer start spreads URLs
+    by itself. ``urls`` has the key, unique, and url; ``rules`` has host, path and
+    allow.
     """
     raw = F.regexp_replace(F.col("path"), "^(?!/)", "/")
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(
         F.regexp_replace(raw, r"([\\.\[\]{}()+?^|])", r"\\$1"), r"\*", ".*"), r"\$", r"\$"))
     literal = F.regexp_extract(raw, r"^([^*$]*)", 1)
-    parsed_rules = rules.select(
-        F.lower("host").alias("host"), F.length("path").alias("rule_length"), "allow", raw.alias("raw"),
-        F.when(raw.rlike(r"[*$]"), pattern).alias("pattern"), literal.alias("literal"),
-        F.substring(literal, 1, PREFIX_CHARS).alias("start"))
+    parsed = rules.where("host IS NOT NULL AND path IS NOT NULL").select(
+        F.lower("host").alias("host"), F.length("path").alias("rule_length"), "allow",
+        F.when(raw.rlike(r"[*$]"), pattern).alias("pattern"), literal.alias("start"))
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    lengths = parsed.groupBy("host").agg(F.collect_set(F.length("start")).alias("lengths")).withColumn(
+        "salt", F.explode(salts))
+    dealt = parsed.withColumn("salt", F.explode(
+        F.when(F.length("start") < SHORT, salts).otherwise(F.array(F.lit(0)))))
+
     query = U.part(F.col("url"), "QUERY")
     path = F.coalesce(blank_to_null(U.part(F.col("url"), "PATH")), F.lit("/"))
     tail = F.when(~is_blank(query), F.concat(F.lit("?"), query)).otherwise("")
-    subjects = urls.select(key, U.host_of(F.col("url")).alias("host"), F.concat(path, tail).alias("subject"))
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("subject"), F.lit(PREFIX_CHARS))),
-                         lambda n: F.substring(F.col("subject"), F.lit(1), n))
-    keyed = subjects.where(F.col("host").isNotNull()).withColumn("start", F.explode(starts))
-    matches = F.when(F.col("pattern").isNull(), F.col("subject").startswith(F.col("raw"))).otherwise(
-        F.regexp_like("subject", F.col("pattern")))
-    met = keyed.join(parsed_rules, ["host", "start"]).where(matches)
-    verdict = met.groupBy(key).agg(F.max(F.struct("rule_length", "allow")).alias("best"))
-    return subjects.select(key).join(verdict, key, "left").select(
-        key, F.coalesce("best.allow", F.lit(True)).alias("allowed"))
+    subjects = urls.select(key, U.host_of(F.col("url")).alias("host"), F.concat(path, tail).alias("subject"),
+                           F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("subject"))
+    keyed = subjects.join(lengths, ["host", "salt"], "left").select(
+        key, "host", "subject", "salt", F.explode_outer(fitting).alias("n"))
+    keyed = keyed.withColumns({"start": F.expr("substring(subject, 1, n)"),
+                               "salt": F.when(F.col("n") < SHORT, F.col("salt")).otherwise(0)})
+    matches = F.col("rule_length").isNotNull() & F.coalesce(F.regexp_like("subject", F.col("pattern")), F.lit(True))
+    met = keyed.join(dealt, ["host", "start", "salt"], "left")
+    verdict = met.groupBy(key).agg(F.max(F.when(matches, F.struct("rule_length", "allow"))).alias("best"))
+    return verdict.select(key, F.coalesce("best.allow", F.lit(True)).alias("allowed"))
 
 
 def seed_sitemaps(domains: DataFrame, robots: DataFrame, with_www: bool = False) -> DataFrame:
