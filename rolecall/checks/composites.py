@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from rolecall.checks.listings import WORDS
 from rolecall.checks.lookups import AS_OF, BEST, ELIGIBLE
 from rolecall.checks.merging import COMPANY_BATCH, POSTING_BATCH
 from rolecall.checks.registry import ORACLES, BUILDERS, check
 from rolecall.checks.model import VIEWS
 from rolecall.checks.state_folds import OUTCOMES, backoff_sql
 from rolecall.operators.merges import merge_companies, merge_postings
+from rolecall.operators.search import store_tokens, token_search
 from rolecall.plans import reports as C
 from rolecall.session import new_folder
 from rolecall.sources import files as S
@@ -322,3 +324,17 @@ def _(m):
     table = kept(m, "postings", ["company_id"], m.job_postings)
     table.merge(m.sql(POSTING_BATCH), merge_postings)
     return table.read(m.spark)
+
+
+# --- word search through a stored table of tokens --------------------------
+
+STEM_SEARCH = 'engineering "building the red" -austin OR "shipped it" blue -"new york"'
+
+
+@check("text_match_stems", f"""
+SELECT id FROM (SELECT id, {WORDS} AS words FROM $job_postings) x
+WHERE (words LIKE '% engineer %' AND words LIKE '% build the red %' AND words NOT LIKE '% austin %')
+   OR (words LIKE '% ship it %' AND words LIKE '% blue %' AND words NOT LIKE '% new york %')""")
+def _(m):
+    tokens = store_tokens(m.job_postings, new_folder(m.spark, "tokens"), 64)
+    return token_search(m.job_postings, tokens, STEM_SEARCH).select("id")

@@ -231,3 +231,34 @@ WORKDAY_TOTAL_FIELDS = [
     "total", "totalResults", "totalCount", "resultsCount", "totalRecords", "jobCount",
 ]
 WORKDAY_PAGING_TOTAL_FIELDS = ["total", "totalCount", "resultsCount"]
+
+# --- fixed values: English words as the Snowball project publishes them ----
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers "
+    "herself it its itself they them their theirs themselves what which who whom this that these those am is are "
+    "was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out "
+    "on off over under again further then once here there when where why how all any both each few more most "
+    "other some such no nor not only own same so than too very s t can will just don should now").split()
+STEM_EXCEPTIONS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl",
+    "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias",
+    "andes": "andes",
+}
+STEM_LEFT_AFTER_PLURAL = ["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"]
+STEM_PREFIXES = ["gener", "commun", "arsen"]
+# endings by step: what an ending in the first region becomes
+STEM_STEP_2 = {
+    "ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion",
+    "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al",
+    "ousli": "ous", "iviti": "ive", "fulli": "ful", "enci": "ence", "anci": "ance", "abli": "able",
+    "izer": "ize", "ator": "ate", "alli": "al", "bli": "ble", "ogi": "og", "li": "",
+}
+STEM_STEP_3 = {
+    "ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ative": "", "ical": "ic",
+    "ness": "", "ful": "",
+}
+# endings that go from the second region
+STEM_STEP_4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive",
+               "ize", "ion", "al", "er", "ic"]
