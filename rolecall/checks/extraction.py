@@ -272,8 +272,9 @@ SEEDS = """
 SELECT c_custkey AS company_id, 0 AS pos, concat('https://s', CAST(c_custkey AS STRING), '.example.com/sitemap.xml') AS url FROM $customer
 UNION ALL SELECT c_custkey, 1, concat('s', CAST(c_custkey + 4 AS STRING), '.example.com/sitemap.xml') FROM $customer WHERE c_acctbal > 5000"""
 
-CLOSURE = f"""
-WITH RECURSIVE links AS ({CHILDREN}),
+def closure_sql(children):
+    return f"""
+WITH RECURSIVE links AS ({children}),
  seeds AS (SELECT company_id, CAST(pos AS INT) AS pos, CASE WHEN url LIKE 'https://%' THEN url ELSE concat('https://', url) END AS url FROM ({SEEDS}) s),
  l0 AS (SELECT company_id, url, 0 AS depth, row_number() OVER (PARTITION BY company_id ORDER BY pos) AS rank FROM seeds),
  n1 AS (SELECT l.company_id, k.child_url AS url, min((l.rank, k.pos)) AS place FROM l0 l JOIN links k ON k.url = l.url GROUP BY 1, 2),
@@ -288,6 +289,9 @@ WITH RECURSIVE links AS ({CHILDREN}),
  closed AS (SELECT company_id, url, depth, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY depth, rank) AS rn FROM every) x WHERE rn <= 7)"""
 
 
+CLOSURE = closure_sql(CHILDREN)
+
+
 @check("sitemap_closure", f"{CLOSURE} SELECT * FROM closed")
 def _(m):
     return S.sitemap_closure(documents(m), m.sql(SEEDS), max_documents=7)
@@ -378,6 +382,57 @@ def _(m):
     return S.probe_plan(m.sql(PROBE_COMPANIES), m.sql(PROBE_LANDING), m.sql(PROBE_CANDIDATES), 8).select("company_id", "url", "kind")
 
 
+# every eleventh sitemap is broken in one of four ways, every thirteenth blocked
+FETCHED = f"""
+SELECT d.url, final_url, CASE WHEN k % 11 = 3 THEN 'gzip' WHEN k % 11 <> 5 THEN content_encoding END AS content_encoding, CASE WHEN k % 11 = 5 THEN ' ' ELSE xml END AS xml,
+  CASE WHEN k % 11 = 6 THEN 503 WHEN k % 11 = 7 THEN 0 ELSE 200 END AS http_status, CASE WHEN k % 22 = 7 THEN 'timeout' END AS error_code, k
+FROM ({SITEMAP_DOCS}) d JOIN (SELECT concat('https://s', CAST(p_partkey AS STRING), '.example.com/sitemap.xml') AS url, p_partkey AS k FROM $part) p ON p.url = d.url"""
+OUTCOMES = f"""
+SELECT url, k, CASE WHEN k % 13 = 6 THEN 'blocked_by_robots' WHEN k % 22 = 7 THEN 'timeout' WHEN k % 11 = 6 THEN 'http_503' WHEN k % 11 = 7 THEN 'unknown_error'
+  WHEN k % 11 = 3 THEN 'gzip_decode_error' WHEN k % 11 = 5 THEN 'empty_sitemap_payload' END AS error FROM ({FETCHED}) f"""
+
+
+def outcomes(m):
+    docs = m.sql(FETCHED)
+    # those of k % 11 = 3 say gzip and are not
+    good = F.expr("content_encoding = 'GZIP' AND k % 11 <> 3")
+    zipped = docs.where(good).withColumn("body", packed("xml"))
+    plain = docs.where(~F.coalesce(good, F.lit(False))).withColumn("body", F.encode("xml", "UTF-8"))
+    return S.sitemap_outcomes(zipped.unionByName(plain), docs.where("k % 13 = 6"))
+
+
+@check("sitemap_outcomes", f"SELECT url, error, error IS NULL AS has_text FROM ({OUTCOMES}) o")
+def _(m):
+    return outcomes(m).select("url", "error", F.col("text").isNotNull().alias("has_text"))
+
+
+GOOD = f"(SELECT url AS good FROM ({OUTCOMES}) o WHERE error IS NULL)"
+FETCHES = closure_sql(f"SELECT c.* FROM ({CHILDREN}) c JOIN {GOOD} g ON g.good = c.url") + f""",
+ pu AS (SELECT p.* FROM ({PAGE_URLS}) p JOIN {GOOD} g ON g.good = p.url),
+ f AS (SELECT DISTINCT ON (c.company_id, p.loc) c.company_id, p.loc, c.url FROM closed c JOIN pu p ON p.url = c.url ORDER BY c.company_id, p.loc, c.depth, c.rank, p.pos),
+ n AS (SELECT company_id, url, count(*) AS new FROM f GROUP BY 1, 2),
+ v AS (SELECT c.company_id, c.url, c.depth, c.rank, CASE WHEN o.url IS NULL THEN 'unknown_error' ELSE o.error END AS error, coalesce(n.new, 0) AS new FROM closed c
+   LEFT JOIN ({OUTCOMES}) o ON o.url = c.url LEFT JOIN n ON n.company_id = c.company_id AND n.url = c.url),
+ t AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY company_id ORDER BY depth, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM v),
+ fetches AS (SELECT company_id, url, depth, rank, error, CAST(CASE WHEN error IS NULL THEN least(new, 4 - had) END AS BIGINT) AS new_urls FROM t WHERE had < 4)"""
+
+
+def fetches(m):
+    known = outcomes(m)
+    closure = S.sitemap_closure(known.where("error IS NULL"), m.sql(SEEDS), max_documents=7)
+    return S.sitemap_fetches(known, closure, 4)
+
+
+@check("sitemap_fetches", f"{FETCHES} SELECT * FROM fetches")
+def _(m):
+    return fetches(m)
+
+
+@check("sitemap_errors", f"{FETCHES} SELECT company_id, error, count(*) AS total FROM fetches WHERE error IS NOT NULL GROUP BY 1, 2")
+def _(m):
+    return S.sitemap_errors(fetches(m))
+
+
 # --- company tables and domain resolution ----------------------------------
 
 TABLE_PAGES = """

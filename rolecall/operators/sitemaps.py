@@ -36,13 +36,63 @@ def is_gzip(url: Column, final_url: Column, encoding: Column, body: Column) -> C
 def document_texts(docs: DataFrame) -> DataFrame:
     """Documents with ``text`` from their bytes; gzip ones go through Arrow, others do not.
 
-    ``docs`` has url, final_url, content_encoding and body (binary).
+    ``docs`` has url, final_url, content_encoding and body (binary). ``packed``
+    tells gzip; the text of a broken one is null.
     """
     packed = is_gzip(F.col("url"), F.col("final_url"), F.col("content_encoding"), F.col("body"))
-    rows = docs.withColumn("_gzip", F.coalesce(packed, F.lit(False)))
-    plain = rows.where(~F.col("_gzip")).withColumn("text", F.decode("body", "UTF-8"))
-    zipped = rows.where(F.col("_gzip")).withColumn("text", gunzip("body"))
-    return plain.unionByName(zipped).drop("_gzip", "body")
+    rows = docs.withColumn("packed", F.coalesce(packed, F.lit(False)))
+    plain = rows.where(~F.col("packed")).withColumn("text", F.decode("body", "UTF-8"))
+    zipped = rows.where(F.col("packed")).withColumn("text", gunzip("body"))
+    return plain.unionByName(zipped).drop("body")
+
+
+def sitemap_outcomes(docs: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """What came of fetching each sitemap: ``error`` and ``text``, one of them null.
+
+    ``docs`` has url, final_url, content_encoding, body, http_status and
+    error_code; ``blocked`` the urls that robots rules forbid. The first that
+    applies counts: blocked, fetch error, broken gzip, empty payload.
+    """
+    texts = document_texts(docs).withColumn("_spoilt", F.col("text").isNull())
+    if blocked is None:
+        texts = texts.withColumn("_blocked", F.lit(None).cast("boolean"))
+    else:
+        texts = texts.join(blocked.select("url", F.lit(True).alias("_blocked")).distinct(), "url", "left")
+    status = F.col("http_status")
+    error = (
+        F.when(F.col("_blocked"), F.lit("blocked_by_robots"))
+        .when(F.col("error_code").isNotNull(), F.col("error_code"))
+        .when(~status.between(200, 299), F.when(status > 0, F.concat(F.lit("http_"), status.cast("string")))
+              .otherwise(F.lit("unknown_error")))
+        .when(F.col("_spoilt") & F.col("packed"), F.lit("gzip_decode_error"))
+        .when(is_blank(F.col("text")), F.lit("empty_sitemap_payload"))
+    )
+    return texts.select("url", error.alias("error"), F.when(error.isNull(), F.col("text")).alias("text"))
+
+
+def sitemap_fetches(outcomes: DataFrame, closure: DataFrame, max_urls: int = V.SITEMAP_MAX_URLS) -> DataFrame:
+    """A record of every sitemap a company's closure visits: its error, or how many new URLs it gave.
+
+    The visit ends once a company has ``max_urls`` of them; a sitemap with no
+    outcome counts as ``unknown_error``.
+    """
+    visits = closure.join(outcomes.select("url", "error", F.lit(True).alias("_known")), "url", "left").withColumn(
+        "error", F.when(F.col("_known").isNull(), F.lit("unknown_error")).otherwise(F.col("error"))).drop("_known")
+    urls = page_urls(outcomes.where("error IS NULL"), max_urls).select("url", "pos", "loc")
+    order = [F.asc("depth"), F.asc("rank"), F.asc("pos")]
+    first = dedupe_first(closure.join(urls, "url"), ["company_id", "loc"], order)
+    new = first.groupBy("company_id", "url").agg(F.count("*").alias("_new"))
+    rows = visits.join(new, ["company_id", "url"], "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
+    before = Window.partitionBy("company_id").orderBy("depth", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_had", F.coalesce(F.sum("_new").over(before), F.lit(0))).where(F.col("_had") < max_urls)
+    given = F.least(F.col("_new"), F.lit(max_urls) - F.col("_had"))
+    return rows.select("company_id", "url", "depth", "rank", "error",
+                       F.when(F.col("error").isNull(), given).alias("new_urls"))
+
+
+def sitemap_errors(fetches: DataFrame) -> DataFrame:
+    """How often each error met a company's sitemaps."""
+    return fetches.where("error IS NOT NULL").groupBy("company_id", "error").agg(F.count("*").alias("total"))
 
 
 def sitemap_location(c: Column) -> Column:
