@@ -72,23 +72,44 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
         tagged("word", F.split(host, "[.-]")), tagged("path", F.split(blotted, "/")), tagged("key", keys))))
 
 
+def token_items(labelled: DataFrame) -> DataFrame:
+    """token, item of the tokens that enough labelled addresses have.
+
+    Tokens that stand in the same addresses are one item, named by the least of them. All combinations of
+    them have one support and confidence, so mining items finds what mining tokens does, without a rule
+    for each choice among tokens that an address form always has together. Sets of addresses are told
+    apart by their size and two 64-bit hashes.
+    """
+    found = labelled.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")).where(F.col("n") >= MIN_COUNT)
+    sets = ["n", "a", "b"]
+    return found.join(found.groupBy(*sets).agg(F.min("token").alias("item")), sets).select("token", "item")
+
+
+def with_items(table: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    """The key and the distinct items of each row's tokens, sorted; a row without any has an empty array."""
+    return (table.select(key, F.explode_outer("tokens").alias("token")).join(items, "token", "left")
+            .groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("items")))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
                min_lift: float = MIN_LIFT) -> DataFrame:
-    """tokens, confidence, lift, support of the combinations that go with bad addresses.
+    """items, confidence, lift, support of the combinations that go with bad addresses.
 
-    ``labelled`` has tokens and bad. A combination needs ``MIN_COUNT`` bad addresses, however small the
+    ``labelled`` has items and bad. A combination needs ``MIN_COUNT`` bad addresses, however small the
     table, so that chance makes no rule.
     """
     counts = labelled.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
     if counts["bad"] < MIN_COUNT:
         return labelled.sparkSession.range(0).select(
-            F.array(F.lit("")).alias("tokens"), *[F.lit(0.0).alias(c) for c in ("confidence", "lift", "support")])
+            F.array(F.lit("")).alias("items"), *[F.lit(0.0).alias(c) for c in ("confidence", "lift", "support")])
     min_support = max(min_support, MIN_COUNT / counts["n"])
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(
-        F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    baskets = labelled.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(
+        F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     return (model.associationRules.where((F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
-            .select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"))
+            .select(F.array_sort("antecedent").alias("items"), "confidence", "lift", "support"))
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
@@ -99,7 +120,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     ``labels`` has doc_id, quality and toxic; an address whose last path segment is a document's number
     takes that document's label, and is bad if quality is 0 or toxic is 1 (null: neither). Returns one
     row per input row: page_id, host, path, rule (the longest listed rule that fits, else null), mined_rule
-    (tokens of the matching mined rule of highest confidence, else null) and verdict: the listed rule's,
+    (items of the matching mined rule of highest confidence, else null; an item is the least of some tokens
+    that labelled addresses have together) and verdict: the listed rule's,
     else block if a mined rule matches, else allow. A null address or one without ``://`` has empty host
     and path and is matched by no listed rule. Other columns are left out.
     """
@@ -112,20 +134,25 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
         url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
     judged = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("number")).agg(
         F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad"))
-    labelled = words.stored(tokened.where("number IS NOT NULL").join(judged, "number").select("tokens", "bad"), "labelled")
-    mined = words.stored(mine_rules(labelled, min_support, min_confidence, min_lift)
+    labelled = words.stored(tokened.where("number IS NOT NULL").join(judged, "number").select(
+        F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled")
+    items = words.stored(token_items(labelled), "items")
+    baskets = with_items(labelled, "row", items).join(labelled.select("row", "bad"), "row").select("items", "bad")
+    mined = words.stored(mine_rules(words.stored(baskets, "baskets"), min_support, min_confidence, min_lift)
                          .withColumn("rule_id", F.monotonically_increasing_id()), "mined")
-    # the inverted index files each rule under its rarest token
-    sets = words.stored(tokened.groupBy("tokens").agg(F.count("*").alias("pages")), "sets")
-    token_pages = sets.select(F.explode("tokens").alias("token"), "pages").groupBy("token").agg(F.sum("pages").alias("n"))
-    index = (mined.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token"))
-             .join(token_pages, "token").groupBy("rule_id")
-             .agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("rule_tokens"),
+    # the inverted index files each rule under its rarest item
+    sets = words.stored(tokened.groupBy("tokens").agg(F.count("*").alias("pages")).withColumn(
+        "set", F.monotonically_increasing_id()), "sets")
+    held = words.stored(with_items(sets, "set", items).join(sets.select("set", "pages"), "set"), "set-items")
+    item_pages = held.select(F.explode("items").alias("item"), "pages").groupBy("item").agg(F.sum("pages").alias("n"))
+    index = (mined.select("rule_id", "items", "confidence", F.explode("items").alias("item"))
+             .join(item_pages, "item").groupBy("rule_id")
+             .agg(F.min_by("item", F.struct("n", "item")).alias("item"), F.first("items").alias("rule_items"),
                   F.first("confidence").alias("confidence")))
-    hits = (sets.select("tokens", F.explode("tokens").alias("token")).join(index.drop("rule_id"), "token")
-            .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-            .groupBy("tokens").agg(F.max_by("rule_tokens", F.struct("confidence", "rule_tokens")).alias("mined_rule"))
-            .withColumnRenamed("tokens", "_tokens"))
+    hits = (held.select("set", "items", F.explode("items").alias("item")).join(index.drop("rule_id"), "item")
+            .where(F.size(F.array_except("rule_items", "items")) == 0)
+            .groupBy("set").agg(F.max_by("rule_items", F.struct("confidence", "rule_items")).alias("mined_rule"))
+            .join(sets.select("set", F.col("tokens").alias("_tokens")), "set").drop("set"))
     listed = _host_rules(tokened.select("host").distinct(), rule_table(spark, rules))
     joined = (tokened.join(listed, F.col("host") == F.col("_host"), "left")
               .join(hits, F.col("tokens") == F.col("_tokens"), "left"))
