@@ -69,18 +69,36 @@ def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
+def _count_bytes(counts: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers; the few beyond that are listed behind them, place and high half."""
+    counts = counts.astype(np.uint64)
+    large = np.flatnonzero(counts >> np.uint64(32))
+    return b"".join((np.array([len(counts), len(large)], "<u4").tobytes(), counts.astype("<u4").tobytes(),
+                     large.astype("<u4").tobytes(), (counts[large] >> np.uint64(32)).astype("<u4").tobytes()))
+
+
+def _counts(blob: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """Counts that begin at a byte, and where they end."""
+    n, m = np.frombuffer(blob, "<u4", 2, at).tolist()
+    low = np.frombuffer(blob, "<u4", n + 2 * m, at + 8)
+    counts = low[:n].astype(np.int64)
+    counts[low[n:n + m]] += low[n + m:].astype(np.int64) << 32
+    return counts, at + 8 + 4 * n + 8 * m
+
+
 def _pack(grams: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted hashes with counts; the high halves as steps, so that they compress well."""
     high = (grams >> np.uint64(32)).astype("<u4")
     steps = np.diff(high, prepend=np.uint32(0))
     return b"".join((np.array([len(grams)], "<u4").tobytes(), steps.astype("<u4").tobytes(),
-                     grams.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
+                     grams.astype("<u4").tobytes(), _count_bytes(counts)))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, "<u4", 1)[0])
-    steps, low, counts = np.frombuffer(blob, "<u4", 3 * n, 4).reshape(3, n)
-    return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | low.astype(np.uint64), counts.astype(np.int64)
+    steps, low = np.frombuffer(blob, "<u4", 2 * n, 4).reshape(2, n)
+    counts, _ = _counts(blob, 4 + 8 * n)
+    return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | low.astype(np.uint64), counts
 
 
 def _bucket(grams: np.ndarray, n: int, buckets: int) -> np.ndarray:
@@ -277,7 +295,7 @@ def _lookup(group: pd.DataFrame) -> pd.DataFrame:
         if n and len(grams):
             at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
             found = np.where(grams[at] == hashes, counts[at], 0)
-        rows.append((block, row.tobytes() + found.astype("<u4").tobytes(), docs))
+        rows.append((block, _count_bytes(found) + row.tobytes(), docs))
     return pd.DataFrame(rows, columns=["block", "found", "docs"])
 
 
@@ -298,8 +316,8 @@ def _finish(total: int, distinct: int):
         table = np.frombuffer(docs, _DOC).copy()
         norm = total + ADDED * (distinct + 1)
         for blob in group["found"]:
-            n = len(blob) // 8
-            row, counts = np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<u4", n, 4 * n)
+            counts, end = _counts(blob)
+            row = np.frombuffer(blob, "<u4", len(counts), end)
             table["sum"] += np.bincount(row, np.log10((counts + ADDED) / norm), len(table))
             table["known"] += np.bincount(row, counts > 0, len(table)).astype(np.int64)
         return _result(table, total)
@@ -370,7 +388,7 @@ def _answer(buckets: int):
             if len(grams):
                 at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
                 found = np.where(grams[at] == hashes, counts[at], 0)
-            rows.append((own, block, found.astype("<u4").tobytes() + filter_.levels(hashes, 1).astype("u1").tobytes(),
+            rows.append((own, block, _count_bytes(found) + filter_.levels(hashes, 1).astype("u1").tobytes(),
                          filter_.levels(pairs, 2).astype("u1").tobytes(), docs))
         return pd.DataFrame(rows, columns=["bucket", "block", "words", "pairs", "docs"])
     return run
@@ -383,8 +401,9 @@ def _finish_asked(total: int, distinct: int, false_rate: float):
         n, size = np.frombuffer(own, "<u4", 2).tolist()
         grams, place = np.frombuffer(own, "<u8", n, 8), np.frombuffer(own, "<u4", size, 8 + 8 * n)
         table = np.frombuffer(own, _DOC, -1, 8 + 8 * n + 4 * size).copy()
-        counts = np.concatenate([np.frombuffer(x, "<u4", len(x) // 5) for x in group["words"]])
-        level = np.concatenate([np.frombuffer(x, "u1", -1, len(x) // 5 * 4) for x in group["words"]])
+        exact = [(x, *_counts(x)) for x in group["words"]]
+        counts = np.concatenate([counts for _, counts, _ in exact])
+        level = np.concatenate([np.frombuffer(x, "u1", -1, end) for x, _, end in exact])
         levels = np.concatenate([np.frombuffer(x, "u1") for x in group["pairs"]])
         _, pair = np.unique(_pairs(grams[place]), return_inverse=True)
         norm, lengths = total + ADDED * (distinct + 1), table["tokens"]
