@@ -52,7 +52,7 @@ def test_rules_of_an_address_form_do_not_multiply(spark):
     got = run(spark, rows)
     assert {i for i, v in got.items() if v == "block"} == set(range(60))
     # one token of the form is enough for an address without a label, as it is with a rule for each token
-    more = rows + [(900, "https://new.example.org/parta/900", None), (901, "https://new.example.org/none/901", None)]
+    more = rows + [(900, "https://new.elsewhere.org/parta/900", None), (901, "https://new.elsewhere.org/none/901", None)]
     found = run(spark, more)
     assert (found[900], found[901]) == ("block", "allow")
 
