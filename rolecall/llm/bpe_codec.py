@@ -26,7 +26,7 @@ from rolecall.llm import words
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that one half of a worker's cache holds.
-CACHE = 200_000
+CACHE = 50_000
 #: Characters up to which a text's pre-tokens are listed at once; a longer text is cut as it is read.
 LISTED = 1 << 20
 GROUP = 1 << 16
@@ -128,20 +128,29 @@ class Codec:
         self.whole = PerfectHash(ranks)
         self.longest = max(map(len, ranks), default=0)
 
-    def start(self) -> "Codec":
-        """What a worker needs besides: the pattern, the tokens by id, an empty cache."""
-        self.cut = regex.compile(self.pattern)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+    def tokens(self) -> list[bytes]:
+        """The tokens by id."""
+        out = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            out[rank] = token
+        return out
+
+
+class Task:
+    """A codec at work in one task. The caches end with the task: the codec itself, a broadcast value,
+    outlives it in its worker and so holds nothing that grows."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.cut, self.by_id = codec, regex.compile(codec.pattern), codec.tokens()
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        return self
 
     def _packed(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            key = piece.encode()
-            rank = self.whole.get(key)
-            ids = [rank] if rank is not None else merge_bytes(key, self.ranks, self.longest)
+            key, codec = piece.encode(), self.codec
+            rank = codec.whole.get(key)
+            ids = [rank] if rank is not None else merge_bytes(key, codec.ranks, codec.longest)
             found = np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
             if len(self.recent) >= CACHE:
@@ -175,7 +184,7 @@ class Codec:
             yield group
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -193,12 +202,14 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
     codec = docs.sparkSession.sparkContext.broadcast(Codec(read_ranks(path), pattern))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec.value.start()
+        own = Task(codec.value)
         for batch in words.pieces(batches):
             ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                 pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        own = ids = batch = None
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids binary, decoded binary")

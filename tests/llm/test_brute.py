@@ -243,14 +243,15 @@ def test_score_does_not_depend_on_the_largest_filter_sent(spark):
 @pytest.fixture(scope="module")
 def codec():
     import public_tokenizers
-    return bpe_codec.Codec(bpe_codec.read_ranks(public_tokenizers.path(bpe_codec.VOCABULARY)), public_tokenizers.PATTERN).start()
+    return bpe_codec.Task(bpe_codec.Codec(
+        bpe_codec.read_ranks(public_tokenizers.path(bpe_codec.VOCABULARY)), public_tokenizers.PATTERN))
 
 
 def test_bpe_agrees_with_the_library(spark, docs, codec):
     import public_tokenizers
     import tiktoken
-    library = tiktoken.Encoding("own", pat_str=codec.pattern, mergeable_ranks=codec.ranks, special_tokens={})
-    assert public_tokenizers.PATTERN == codec.pattern
+    library = tiktoken.Encoding("own", pat_str=codec.codec.pattern, mergeable_ranks=codec.codec.ranks, special_tokens={})
+    assert public_tokenizers.PATTERN == codec.codec.pattern
     for r in bpe_codec.op6_bpe_codec(spark, FOLDER).collect():
         ids = library.encode_ordinary(docs[r.doc_id].text)
         assert r.n_tokens == len(ids)
@@ -277,9 +278,9 @@ def test_bpe_of_a_long_text_and_a_full_cache(codec, monkeypatch):
 
 
 def test_perfect_hash(codec):
-    table = codec.whole
-    assert sorted(k for k in table.keys) == sorted(codec.ranks)  # one slot a key, none left over
-    assert all(table.get(k) == rank for k, rank in codec.ranks.items())
+    table = codec.codec.whole
+    assert sorted(k for k in table.keys) == sorted(codec.codec.ranks)  # one slot a key, none left over
+    assert all(table.get(k) == rank for k, rank in codec.codec.ranks.items())
     assert table.get(b"no token of any vocabulary") is None
     assert bpe_codec.PerfectHash({}).get(b"a") is None
 
