@@ -189,19 +189,16 @@ def affected_postings(postings: DataFrame, rows: DataFrame) -> DataFrame:
     stored = postings.select("company_id", "content_hash", "external_identifier", "id", "first_seen_at",
                              "last_seen_at", "crawl_run_id")
     # postings without an identifier are nowhere near this join
-    moved = stored.where(~is_blank(F.col("external_identifier"))).join(
-        latest, ["company_id", "external_identifier"]).select(
-        "company_id", "content_hash", F.lit(True).alias("moves"), F.col("_last.content_hash").alias("moved_to"),
+    named_keys = ["company_id", "external_identifier"]
+    moved = stored.where(~is_blank(F.col("external_identifier"))).join(latest, named_keys).select(
+        "company_id", "content_hash", F.col("_last.content_hash").alias("moved_to"),
         F.col("_last.fetched_at").alias("last_seen_at"), "id", "first_seen_at",
         F.coalesce("_run", "crawl_run_id").alias("crawl_run_id"))
     same = stored.join(rows.select("company_id", "content_hash").distinct(), ["company_id", "content_hash"],
-                       "left_semi").select(
-        "company_id", "content_hash", F.lit(False).alias("moves"), F.col("content_hash").alias("moved_to"),
+                       "left_semi").join(latest.select(*named_keys), named_keys, "left_anti").select(
+        "company_id", "content_hash", F.col("content_hash").alias("moved_to"),
         "last_seen_at", "id", "first_seen_at", "crawl_run_id")
-    found = moved.unionByName(same)
-    fields = [c for c in found.columns if c not in ("company_id", "content_hash")]
-    return found.groupBy("company_id", "content_hash").agg(F.max(F.struct(*fields)).alias("x")).select(
-        "company_id", "content_hash", "x.*")
+    return moved.unionByName(same)
 
 
 def merge_postings(postings: DataFrame, batch: DataFrame) -> DataFrame:
