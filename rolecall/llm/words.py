@@ -111,7 +111,15 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)[:n]
 
 
-_kept: dict[str, np.ndarray] = {}
+class _Kept(dict):
+    """Tables of one process. Tasks are sent this module by value, so what it holds would go with each of
+    them, as a broadcast of 33 MB; a copy starts empty and is filled where it is used."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_kept: dict[str, np.ndarray] = _Kept()
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -208,3 +208,18 @@ def test_pipeline(spark, docs, none, tmp_path):
     assert kept == {1, 3, 6, 8, 10, None} or kept == {1, 3, 6, 7, 8, 10, None}
     ids = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.bpe_codec(spark, own, folder).collect()}
     assert hashlib.sha256(ids[3]).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_code_of_tasks_is_small():
+    """Tables that the driver has made for itself do not travel with the tasks."""
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    from rolecall.llm import words
+
+    data, ends = words.flat(pa.array([PROSE]))
+    starts, stops, _ = words.spans(data, ends)
+    own = words.word_hashes(data, starts, stops)
+    code = cloudpickle.dumps(lambda batches: words.word_hashes(*batches))
+    assert len(code) < 1 << 20
+    assert (cloudpickle.loads(code)((data, starts, stops)) == own).all()
