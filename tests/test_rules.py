@@ -186,3 +186,15 @@ def test_web_search(rows):
     assert found("things acme") == [1, 2]
     assert found("soft%eng", "like") == [1]
     assert found("  ") == [1, 2, 3]
+
+
+def test_careers_urls_of_plain_domains_are_those_that_parsing_gives(rows, monkeypatch):
+    names = ["acme.com", "WWW.Acme.com", "www.acme.com", "acme.com/x", "Acme.com/X/", "acme.com/", "acme.com//", "acme.com/a/../b", "1.2.3.4", "a.b1",
+             "a.1b", "a-.com", "-a.com", "a_b.com", "a.com.", "a..com", ".com", "a.com:80", "a.com/a%20b", "a.com?q=1", "a.com/x?q=1#f", "a.com#f", " a.com ",
+             "a.com\n", "a b.com", "//a.com", "https://a.com/y/", "u@a.com", "café.fr", "a.com/café", "a", "a/~b", "", " ", None]
+    companies = rows("company_id int, domain string, careers_hint_url string",
+                     *[(i, n, h) for i, n in enumerate(names) for h in (None, "https://acme.com/careers/", " ")])
+    got = sorted(map(tuple, normalize.careers_candidates(companies).collect()))
+    assert got and len(normalize.PLAIN_DOMAIN) > 9
+    monkeypatch.setattr(normalize, "PLAIN_DOMAIN", "^(?!)")
+    assert got == sorted(map(tuple, normalize.careers_candidates(companies).collect()))
