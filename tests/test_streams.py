@@ -299,3 +299,36 @@ def test_the_back_off_shuffles_whole_numbers(rows):
     plan = plan.split("== Initial Plan ==")[-1]
     assert plan.count("Exchange") == 3 and "Join" not in plan
     assert plan.count("collect_list") and "array<struct" not in plan
+
+
+def test_rows_of_a_key_are_filed_in_few_calls(rows):
+    calls = []
+
+    class Counted(Kept):
+        def updateValue(self, key, value):
+            calls.append(key)
+            super().updateValue(key, value)
+
+        def containsKey(self, key):
+            calls.append(key)
+            return super().containsKey(key)
+
+    class Handle:
+        getValueState = staticmethod(lambda *_: Kept())
+        getMapState = staticmethod(lambda *_: Counted())
+        registerTimer = staticmethod(lambda _: None)
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: int(ts(4000).timestamp() * 1000))
+
+    from pyspark.sql import Row
+    one = processors.OrderedLog(processors.count_step)
+    one.init(Handle)
+    log = [Row(id=i, at=ts(i), op=1, note=None) for i in range(5000)]
+    random.Random(3).shuffle(log)
+    (got,) = one.handleInputRows(("k",), iter(log + log[:50]), None)
+    assert got.value == 5000 and len(calls) < 20
+    list(one.handleExpiredTimer(("k",), Times, None))
+    assert one.settled.value[:2] == (4000, 3999)
+    (got,) = one.handleInputRows(("k",), iter(log), None)
+    assert (got.value, got.last_id) == (5000, 4999) and len(calls) < 30
