@@ -38,6 +38,11 @@ def feed_summary(postings: DataFrame, keys: list[str], limit: int | None = None)
         *keys, F.least("n", most).alias("extracted"), F.coalesce(F.col("n") > most, F.lit(False)).alias("truncated"))
 
 
+def spread(payloads: DataFrame) -> DataFrame:
+    """Payloads dealt to all cores: a small file of them, read by one task, takes long to parse."""
+    return payloads.repartition("payload_id")
+
+
 # --- board payloads --------------------------------------------------------
 
 GREENHOUSE_JOB = (
@@ -83,8 +88,8 @@ def _employment(metadata: Column) -> Column:
 def greenhouse_postings(payloads: DataFrame) -> DataFrame:
     """Postings of board payloads (payload_id, company_id, company_name, source_url, body)."""
     parsed = F.from_json("body", f"jobs array<struct<{_ddl(GREENHOUSE_JOB)}>>")
-    rows = payloads.select("payload_id", "company_id", "company_name", "source_url",
-                           F.posexplode(parsed["jobs"]).alias("pos", "job"))
+    rows = spread(payloads).select("payload_id", "company_id", "company_name", "source_url",
+                                   F.posexplode(parsed["jobs"]).alias("pos", "job"))
     derived = F.concat(F.lit("https://boards.greenhouse.io/"), greenhouse_token(F.col("source_url")),
                        F.lit("/jobs/"), blank_to_null(F.col("job.id")))
     return finish_postings(rows.select(
@@ -124,8 +129,8 @@ LEVER_JOB = (
 def lever_postings(payloads: DataFrame) -> DataFrame:
     """Postings of array payloads (payload_id, company_id, company_name, source_url, body)."""
     parsed = F.from_json("body", f"array<struct<{_ddl(LEVER_JOB)}>>")
-    rows = payloads.select("payload_id", "company_id", "company_name", "source_url",
-                           F.posexplode(parsed).alias("pos", "job"))
+    rows = spread(payloads).select("payload_id", "company_id", "company_name", "source_url",
+                                   F.posexplode(parsed).alias("pos", "job"))
     made = F.col("job.createdAt").try_cast("bigint")
     place = F.from_json("job.categories", "location string, commitment string")
     return finish_postings(rows.select(
@@ -228,9 +233,9 @@ def _location(job: Column) -> Column:
 def workday_postings(payloads: DataFrame) -> DataFrame:
     """Postings of result pages (payload_id, company_id, page_no, endpoint_url, source_url, body)."""
     parsed = F.from_json("body", f"jobPostings array<struct<{_ddl(WORKDAY_JOB)}>>")
-    rows = payloads.select("payload_id", "company_id", "page_no", "source_url",
-                           workday_endpoint(F.col("endpoint_url")).alias("site"),
-                           F.posexplode(parsed["jobPostings"]).alias("pos", "job"))
+    rows = spread(payloads).select("payload_id", "company_id", "page_no", "source_url",
+                                   workday_endpoint(F.col("endpoint_url")).alias("site"),
+                                   F.posexplode(parsed["jobPostings"]).alias("pos", "job"))
     raw = texts(*[F.col(f"job.{n}") for n in V.WORKDAY_URL_FIELDS])
     rows = rows.where(F.col("site").isNotNull()).withColumn("raw", raw)
     urls = F.flatten(F.transform("raw", lambda r: workday_url_candidates(

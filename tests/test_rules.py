@@ -198,3 +198,11 @@ def test_careers_urls_of_plain_domains_are_those_that_parsing_gives(rows, monkey
     assert got and len(normalize.PLAIN_DOMAIN) > 9
     monkeypatch.setattr(normalize, "PLAIN_DOMAIN", "^(?!)")
     assert got == sorted(map(tuple, normalize.careers_candidates(companies).collect()))
+
+
+def test_feeds_are_dealt_to_all_cores_before_they_are_parsed(rows):
+    payloads = rows("payload_id bigint, company_id bigint, company_name string, source_url string, body string, page_no int, endpoint_url string",
+                    (1, 1, "a", "b", "c", 0, "d")).coalesce(1)
+    for parse in (feeds.greenhouse_postings, feeds.workday_postings):
+        plan = parse(payloads)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [payload_id" in plan.split("Generate")[-1]
