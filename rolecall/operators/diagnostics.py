@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rolecall.functions import fixed_values as V
 from rolecall.operators.latest import latest_domain, top_per_group
 from rolecall.operators.targets import take
+from rolecall.session import sized
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -133,6 +134,8 @@ def by_window(points: DataFrame, windows: DataFrame, at: str, start: str, end: s
     most on each level. A point meets the windows that hold one of its cells, so
     it is compared with no window that it is not in, but for the cells at the two
     ends of a window. Points are looked up on the levels that some window uses.
+    On the coarse levels many points share a cell, so windows are stored first: as
+    long as they are few, Spark broadcasts them and no point is shuffled.
     """
     low, high = F.col("_low"), F.col("_high") + 1
 
@@ -145,7 +148,7 @@ def by_window(points: DataFrame, windows: DataFrame, at: str, start: str, end: s
             F.when((first < stop) & odd(first), F.struct(k.alias("level"), first.alias("cell"))),
             F.when((first < stop) & odd(stop), F.struct(k.alias("level"), (stop - 1).alias("cell")))))
 
-    cut = windows.where(F.col(start) <= F.col(end)).withColumns(
+    cut = sized(windows).where(F.col(start) <= F.col(end)).withColumns(
         {"_low": cell_of(start), "_high": cell_of(end)})
     pieces = cut.withColumn("_piece", F.explode(F.flatten(F.transform(
         F.sequence(F.lit(0), F.lit(LEVELS - 1)), cells)))).drop("_low", "_high")

@@ -387,3 +387,29 @@ def test_only_keys_and_times_of_stored_postings_are_joined(rows):
     assert not wide & set(found.columns)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and "html" not in plan
+
+
+# ---- few rows, however they came about, meet a large table without shuffling it
+
+def seems_large(spark, expr):
+    return spark.range(3_000_000).where("id < 3").groupBy("id").count().selectExpr(*expr)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_close_out_shuffles_no_postings(spark):
+    postings = spark.range(3_000_000).selectExpr("id", "id % 5 AS company_id", "id % 2 AS crawl_run_id", "id % 3 > 0 AS is_active")
+    got = merges.close_out_postings(postings, seems_large(spark, ["id AS company_id", "1L AS crawl_run_id"]))
+    assert "BroadcastHashJoin" in planned(got) and "SortMergeJoin" not in planned(got)
+    want = postings.where("id % 3 > 0 AND (id % 5 > 2 OR id % 2 = 1)").count()
+    assert got.where("is_active").count() == want
+
+
+def test_windows_shuffle_no_points(spark):
+    points = spark.range(3_000_000).selectExpr("id", "timestamp_millis(id * 1000) AS at")
+    windows = seems_large(spark, ["id AS w", "timestamp_millis(id * 1000000) AS a", "timestamp_millis(id * 1000000 + 9000) AS b"])
+    got = diagnostics.by_window(points, windows, "at", "a", "b")
+    assert "BroadcastHashJoin" in planned(got) and "SortMergeJoin" not in planned(got)
+    assert got.count() == 30
