@@ -389,6 +389,36 @@ def test_only_keys_and_times_of_stored_postings_are_joined(rows):
     assert "LogicalRDD" in plan and "html" not in plan
 
 
+def shuffles_of(spark, build):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # what large inputs meet
+    try:
+        plan = build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_a_posting_merge_shuffles_each_side_once_at_full_width(rows, spark):
+    target, batch = rows(POSTING, stored(1, "A", "h1")), rows(BATCH, fresh(1, "A", "h9"))
+    assert len(shuffles_of(spark, lambda: merges.merge_postings(target, batch))) <= 6
+
+
+def test_hashes_of_any_form_survive_packing(rows):
+    hashes = ["ab" * 32, "AB" * 32, "abc", "", " ", "00", "h1", "ab\n", "\u00e9", None]
+    df = rows("content_hash string", *[(h,) for h in hashes])
+    key = merges.packed_hash(F.col("content_hash"))
+    got = df.select("content_hash", key.alias("k"), merges.unpacked_hash(key).alias("back")).collect()
+    assert [r.back for r in got] == hashes and len({bytes(r.k) for r in got}) == len(hashes)
+    assert len(got[0].k) == 33
+
+
+def test_a_posting_without_hash_moves_and_one_without_identifier_stays(rows):
+    target = rows(POSTING, stored(1, "A", None), stored(2, None, None, company=2))
+    batch = rows(BATCH, fresh(1, "A", "ab" * 32))
+    got = {(r.company_id, r.id): r.content_hash for r in merges.merge_postings(target, batch).collect()}
+    assert got == {(1, 1): "ab" * 32, (2, 2): None}
+
+
 # ---- few rows, however they came about, meet a large table without shuffling it
 
 def seems_large(spark, expr):
