@@ -78,3 +78,21 @@ def test_stop_words_hold_their_places(found):
     rows = {(r.stem, r.id): r.places for r in search.posting_tokens(postings).collect()}
     assert rows["red", 1] == [3] and rows["build", 1] == [1] and ("the", 1) not in rows
     assert rows["drive", 4] == [3] and rows["driver", 4] == [0, 2] and len(V.STOP_WORDS) == 127
+
+
+def test_tokens_are_filed_by_block_without_a_shuffle_of_them(spark):
+    postings = spark.createDataFrame([
+        (i, f"w{i % 7} engineers", None, None, None, f"the w{i % 5} engineer w{i % 7} " * (i % 4)) for i in range(300)
+    ], POSTING).repartition(6)
+    blocks = search.token_blocks(postings)
+    plan = blocks._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1  # the test's own repartition
+    rows = blocks.collect()
+    assert sorted(i for r in rows if r.stem is None for i in r.ids) == list(range(300))
+    assert len({r.block for r in rows}) == 6 and len(rows) < 150  # rows of words, not of tokens
+    want = {}
+    for i in range(300):
+        for place, word in enumerate(f"w{i % 7} engineers {f'the w{i % 5} engineer w{i % 7} ' * (i % 4)}".split()):
+            if word != "the":
+                want.setdefault((word.replace("engineers", "engineer").replace("engineer", "engin"), i), []).append(place)
+    assert {(r.stem, r.id): r.places for r in search.posting_tokens(postings).collect()} == want
