@@ -443,3 +443,13 @@ def test_windows_shuffle_no_points(spark):
     got = diagnostics.by_window(points, windows, "at", "a", "b")
     assert "BroadcastHashJoin" in planned(got) and "SortMergeJoin" not in planned(got)
     assert got.count() == 30
+
+
+def test_postings_that_move_are_worked_out_once(rows, spark):
+    target, batch = rows(POSTING, stored(1, "A", "h1")), rows(BATCH, fresh(1, "A", "h9"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = merges.merge_postings(target, batch)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.split("== Initial Plan ==")[-1].count("SortMergeJoin") == 2  # by identifier, and by hash
