@@ -332,3 +332,18 @@ def test_rows_of_a_key_are_filed_in_few_calls(rows):
     assert one.settled.value[:2] == (4000, 3999)
     (got,) = one.handleInputRows(("k",), iter(log), None)
     assert (got.value, got.last_id) == (5000, 4999) and len(calls) < 30
+
+
+def test_a_publication_that_ends_between_two_parts_is_taken_up_again(rows, spark, tmp_path):
+    _, table = keyed(rows, tmp_path, n=40)
+    start = {r.id: r for r in table.read(spark).collect()}
+    pending, parts = f"{tmp_path}/pending", list(range(table.parts))
+    new = table.read(spark).withColumn("v", F.col("v") + 1).where("id % 2 = 0").localCheckpoint()
+    table._write(new, pending)
+    written = {f.split("/")[-1] for f in files(pending)}
+    table._publish(spark, pending, parts)
+    # the files themselves are moved: no row is written a second time
+    assert {f.split("/")[-1] for f in files(table.folder)} == written and not files(pending)
+    table._publish(spark, pending, parts)  # as after a restart: parts that were moved are not taken for empty ones
+    got = {r.id: r.v for r in table.read(spark).collect()}
+    assert got == {i: r.v + 1 for i, r in start.items() if i % 2 == 0}
