@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.functions import fixed_values as V
+from rolecall.functions.hashing import packed_hash, unpacked_hash
 from rolecall.functions.text import like_contains
 from rolecall.operators.latest import latest_endpoint
 from rolecall.operators.targets import take
@@ -23,18 +24,21 @@ def posting_view(postings: DataFrame, companies: DataFrame, endpoints: DataFrame
 
     Company and vendor are put together first, so the postings are joined once.
     Spark broadcasts that side while it is small; beyond that it sorts and merges,
-    and splits the partition of a company with very many postings.
+    and splits the partition of a company with very many postings. A hash among
+    the ``extra`` columns travels packed, as its hex digits do not compress.
     """
     names = companies.select(F.col("id").alias("company_id"), "ticker",
                              F.col("name").alias("company_name"))
     vendor = latest_endpoint(
         endpoints.select("id", "company_id", "ats_type", "detected_at"), ties
     ).select("company_id", F.col("ats_type").alias("latest_ats_type"))
+    packed = [packed_hash(F.col(c)).alias(c) if c == "content_hash" else c for c in extra]
+    plain = [unpacked_hash(F.col(c)).alias(c) if c == "content_hash" else c for c in extra]
     return (
-        postings.select("id", "company_id", *POSTING_FIELDS, *extra)
+        postings.select("id", "company_id", *POSTING_FIELDS, *packed)
         .join(names.join(vendor, "company_id", "left"), "company_id")
         .select("id", "company_id", "ticker", "company_name", "latest_ats_type",
-                *POSTING_FIELDS, *extra)
+                *POSTING_FIELDS, *plain)
     )
 
 

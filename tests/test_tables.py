@@ -453,3 +453,23 @@ def test_postings_that_move_are_worked_out_once(rows, spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.split("== Initial Plan ==")[-1].count("SortMergeJoin") == 2  # by identifier, and by hash
+
+
+def test_conflicts_take_one_join(rows, spark):
+    target = rows(POSTING, stored(1, "A", "h1"), stored(2, " ", "h2"), stored(3, None, None), stored(4, "B", "h4"))
+    batch = rows(BATCH, fresh(1, "A", "h2"), fresh(2, "B", "h4"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = merges.posting_conflicts(target, batch)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.split("== Initial Plan ==")[-1].count("SortMergeJoin") == 1
+    assert [(r.company_id, r.conflicts) for r in found.collect()] == [(1, 1)]
+
+
+def test_hashes_of_posting_details_travel_packed(spark):
+    from rolecall.checks import catalog
+    plan = catalog.run("posting_detail", spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):]
+    assert "unhex(" in below and "lower(hex(" in plan[:plan.index("Join")]
