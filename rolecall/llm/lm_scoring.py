@@ -1,18 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counting: each task folds blocks of tokens to distinct one- and two-word sequences with counts and
-sends them, packed, to buckets by hash; a bucket sums them. A bucket then builds its segment of the
-filter: a sequence seen ``c`` times is entered with the levels 1 .. 1 + floor(log2 c), so probing level
-after level until one is absent gives back the size class of its count.
+Texts are stored once as blocks of tokens. Each block sends its distinct one- and two-word sequences,
+with their counts in the texts to learn from, to buckets by hash. A bucket sums the counts and builds its
+segment of the filter: a sequence seen ``c`` times is entered with the levels 1 .. 1 + floor(log2 c), so
+probing level after level until one is absent gives back the size class of its count. From the segment,
+and from the exact one-word counts that the base score needs, the bucket answers each block in the order
+in which it was asked; a block joins its answers to its tokens. So a sequence crosses the network once
+for each block that has it, as steps of its hash, and only a size class comes back.
 
 The filter has ``ENTRY_BITS`` bits for each entry, whatever the size of the input, so its rate of false
-hits does not grow; the two-word estimate is discounted by that rate. A filter of ``filter_bytes`` at
-most goes to all workers. A larger one stays in its buckets: each block of texts sends its distinct words
-and pairs there and gets back what the filter says of them. Both ways read the same filter.
+hits does not grow; the two-word estimate is discounted by that rate.
 
-Exact one-word counts, which the base score needs, are never sent whole: the words that make up at
-least one in ``FREQUENT`` tokens (so ``FREQUENT`` words at most) go to the workers, all other tokens go
-to the bucket that holds their count.
+A caller may have a small filter, of ``filter_bytes`` at most, sent to all workers instead. Then each task
+counts its own blocks and scores them by the whole filter; the words that make up at least one in
+``FREQUENT`` tokens (so ``FREQUENT`` words at most) go to the workers with exact counts, all other tokens
+go to the bucket that holds their count. Both ways read the same filter, as long as ``BUCKET`` adds no buckets.
 """
 
 from collections.abc import Iterator
@@ -27,10 +29,12 @@ from rolecall.llm import words
 
 #: Words of which exact counts may be sent to all workers.
 FREQUENT = 1 << 18
-#: Largest filter that is sent to all workers; a larger one is read in its buckets.
-FILTER_BYTES = 64 << 20
 #: Tokens that a task folds at once, and entries that it places at once.
 BLOCK = 1 << 20
+#: Tokens of the input for each bucket, if that takes more buckets than two for each shuffle partition.
+BUCKET = 1 << 21
+#: Blocks in one stored file, so that what a writer or reader holds does not grow with a task.
+FILE = 8
 #: Bits for each entry, and probes of a level.
 ENTRY_BITS = 10
 PROBES = 4
@@ -42,7 +46,10 @@ END = np.uint64(0x5BD1E9955BD1E995)
 _MASK48 = np.uint64((1 << 48) - 1)
 _COUNTS = "bucket int, n int, grams binary"
 _TOKENS = "bucket int, block long, entries binary, docs binary"
-_ASKED = "bucket int, block long, words binary, pairs binary, bits long, docs binary"
+_BLOCKS = "block long, tokens long, own binary"
+_ASKED = "bucket int, block long, asked binary"
+_ANSWERS = ("bucket int, block long, words binary, pairs binary, "
+            "total long, distinct long, bits long, filled long")
 _DOC = np.dtype([("doc", "<i8"), ("no_id", "?"), ("held_out", "?"), ("tokens", "<i8"), ("known", "<i8"),
                  ("sum", "<f8"), ("score", "<f8")])
 
@@ -101,6 +108,35 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | low.astype(np.uint64), counts
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _whole(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on: the high ones are alike and compress well."""
+    return values.view("u1").reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str, n: int, at: int) -> tuple[np.ndarray, int]:
+    """Values that begin at a byte, and where they end."""
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(data, "u1", n * size, at).reshape(size, n).T.copy().view(kind).ravel()
+    return values, at + n * size
+
+
+def _steps(grams: np.ndarray) -> bytes:
+    return _planes(np.diff(grams, prepend=np.uint64(0)).astype("<u8"))
+
+
+def _from_steps(data: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
+    steps, end = _from_planes(data, "<u8", n, at)
+    return np.cumsum(steps, dtype=np.uint64), end
+
+
 def _bucket(grams: np.ndarray, n: int, buckets: int) -> np.ndarray:
     """Buckets are ranges of the 16 bits below the 48th (one word: 64th) bit."""
     top = (grams >> np.uint64(32 if n == 2 else 48)).astype(np.int64) & 0xFFFF
@@ -147,25 +183,27 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
+def _built(n: int, bucket: int, grams: np.ndarray, counts: np.ndarray, piece: int = BLOCK) -> dict:
+    """The exact one-word counts of a bucket and its segment of the filter."""
+    levels = _levels(counts)
+    bits = max(64, ENTRY_BITS * int(levels.sum()))
+    taken = np.zeros(bits, bool)
+    for level in range(1, int(levels.max()) + 1):
+        chosen = grams[levels >= level]
+        for at in range(0, len(chosen), piece):
+            for probe in range(PROBES):
+                taken[_places(chosen[at:at + piece], level, probe, np.uint64(bits)).astype(np.int64)] = True
+    return {"n": n, "bucket": bucket, "distinct": len(grams), "total": int(counts.sum()), "bits": bits,
+            "filled": int(taken.sum()), "segment": np.packbits(taken, bitorder="little").tobytes(),
+            "exact": _pack(grams, counts) if n == 1 else None}
+
+
 def _segment(piece: int = BLOCK):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Sum the counts of a bucket; its exact one-word counts and its segment of the filter."""
-        n = int(group["n"].iloc[0])
         parts = [_unpack(x) for x in group["grams"]]
         grams, counts = _summed(*(np.concatenate(x) for x in zip(*parts)))
-        levels = _levels(counts)
-        bits = max(64, ENTRY_BITS * int(levels.sum()))
-        taken = np.zeros(bits, bool)
-        for level in range(1, int(levels.max()) + 1):
-            chosen = grams[levels >= level]
-            for at in range(0, len(chosen), piece):
-                for probe in range(PROBES):
-                    taken[_places(chosen[at:at + piece], level, probe, np.uint64(bits)).astype(np.int64)] = True
-        return pd.DataFrame({
-            "n": [n], "bucket": [int(group["bucket"].iloc[0])], "distinct": [len(grams)],
-            "total": [int(counts.sum())], "bits": [bits], "filled": [int(taken.sum())],
-            "segment": [np.packbits(taken, bitorder="little").tobytes()],
-            "exact": [_pack(grams, counts) if n == 1 else None]})
+        return pd.DataFrame([_built(int(group["n"].iloc[0]), int(group["bucket"].iloc[0]), grams, counts, piece)])
     return run
 
 
@@ -324,48 +362,90 @@ def _finish(total: int, distinct: int):
     return run
 
 
+def _tokenized(batches):
+    """Blocks of tokens: distinct words, which of them each token is, and the documents."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    docs: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    size = 0
+
+    def emit(block):
+        tokens, table = np.concatenate(held), np.concatenate(docs)
+        grams, place = np.unique(tokens, return_inverse=True)
+        own = b"".join((np.array([len(grams), len(place)], "<u8").tobytes(), _steps(grams),
+                        _planes(place.astype("<u4")), table.tobytes()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array([len(place)], pa.int64()), pa.array([_squeezed(own)], pa.binary())],
+            ["block", "tokens", "own"])
+
+    for batch in words.pieces(batches):
+        tokens, lengths = _tokens(batch)
+        held.append(tokens)
+        docs.append(_table(batch, lengths))
+        size += len(tokens)
+        if size >= BLOCK:
+            number += 1
+            yield emit(number)
+            docs, held, size = [], [], 0
+    if docs:
+        yield emit(number + 1)
+
+
+def _opened(own: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, which of them each token is, and the documents."""
+    data = _whole(own)
+    n, size = np.frombuffer(data, "<u8", 2).tolist()
+    grams, at = _from_steps(data, n, 16)
+    place, at = _from_planes(data, "<u4", size, at)
+    return grams, place, np.frombuffer(data, _DOC, -1, at).copy()
+
+
+def _packed(*parts: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Sorted sequences with counts, which a block's size bounds, of one and of two words."""
+    return _squeezed(b"".join(x for grams, counts in parts for x in (
+        len(grams).to_bytes(8, "little"), _steps(grams), _planes(counts.astype("<u4")))))
+
+
+def _unpacked(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    data, at, parts = _whole(blob), 0, []
+    for _ in (1, 2):
+        n = int.from_bytes(data[at:at + 8], "little")
+        grams, at = _from_steps(data, n, at + 8)
+        counts, at = _from_planes(data, "<u4", n, at)
+        parts.append((grams, counts.astype(np.int64)))
+    return parts
+
+
 def _ask(buckets: int):
-    """Distinct words and pairs of each block for the buckets; which word each token is, and the documents."""
+    """Distinct words and pairs of each block for the buckets, with counts in the texts to learn from."""
     def run(batches):
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        docs: list[np.ndarray] = []
-        held: list[np.ndarray] = []
-        size = 0
+        for batch in batches:
+            for block, own in zip(batch.column("block").to_pylist(), batch.column("own")):
+                grams, place, table = _opened(own.as_py())
+                learn = np.repeat(~table["held_out"], table["tokens"])
+                counts = np.bincount(place[learn], minlength=len(grams))
+                # a pair's 48 bits and whether it may be learned from
+                pairs = np.sort(_pairs(grams[place]) << np.uint64(1) | learn.astype(np.uint64))
+                head = np.flatnonzero(np.concatenate([[True], np.diff(pairs >> np.uint64(1)) > 0]))
+                pair_counts = np.add.reduceat(pairs & np.uint64(1), head)
+                pairs = pairs[head] >> np.uint64(1)
+                one, two = (np.searchsorted(_bucket(x, n, buckets), np.arange(buckets + 1))  # grows with the hash
+                            for n, x in ((1, grams), (2, pairs)))
+                rows = [(b, _packed((grams[i:j], counts[i:j]), (pairs[k:m], pair_counts[k:m])))
+                        for b, (i, j, k, m) in enumerate(zip(one, one[1:], two, two[1:])) if i < j or k < m]
+                bucket, asked = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket, pa.int32()), pa.array([block] * len(rows), pa.int64()),
+                     pa.array(asked, pa.binary())], ["bucket", "block", "asked"])
+    return run
 
-        def emit(block):
-            tokens, table = np.concatenate(held), np.concatenate(docs)
-            grams, place = np.unique(tokens, return_inverse=True)
-            pairs = np.unique(_pairs(tokens))
-            parts = [np.searchsorted(_bucket(x, n, buckets), np.arange(buckets + 1))  # grows with the hash
-                     for n, x in ((1, grams), (2, pairs))]
-            own = b"".join((np.array([len(grams), len(place)], "<u4").tobytes(), grams.tobytes(),
-                            place.astype("<u4").tobytes(), table.tobytes()))
-            rows = []
-            for b, (i, j, k, m) in enumerate(zip(parts[0], parts[0][1:], parts[1], parts[1][1:])):
-                if i < j or k < m or b == block % buckets:
-                    high = (pairs[k:m] >> np.uint64(32)).astype("<u2")
-                    rows.append((b, grams[i:j].tobytes(), pairs[k:m].astype("<u4").tobytes() + high.tobytes(),
-                                 own if b == block % buckets else None))
-            bucket, one, two, own = zip(*rows)
-            return pa.RecordBatch.from_arrays([
-                pa.array(bucket, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(one, pa.binary()),
-                pa.array(two, pa.binary()), pa.nulls(len(rows), pa.int64()), pa.array(own, pa.binary())],
-                ["bucket", "block", "words", "pairs", "bits", "docs"])
 
-        for batch in words.pieces(batches):
-            tokens, lengths = _tokens(batch)
-            held.append(tokens)
-            docs.append(_table(batch, lengths))
-            size += len(tokens)
-            if size >= BLOCK:
-                number += 1
-                yield emit(number)
-                docs, held, size = [], [], 0
-        if docs:
-            yield emit(number + 1)
-    return run
+def _pairs_sent(blob: bytes) -> np.ndarray:
+    """48-bit hashes: all low parts, then all high ones."""
+    n = len(blob) // 6
+    return np.frombuffer(blob, "<u4", n) | np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
 def _answer(buckets: int):
@@ -377,34 +457,56 @@ def _answer(buckets: int):
                           for k, x, bits in zip(model["block"], model["pairs"], model["bits"])], buckets)
         exact = [x for x, k in zip(model["words"], model["block"]) if k == -1]
         grams, counts = _unpack(exact[0]) if exact else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        rows = []
-        for block, one, two, docs in zip(group["block"], group["words"], group["pairs"], group["docs"]):
-            if block < 0:
+        asked = group[group["block"] >= 0]
+        one = [np.frombuffer(x, "<u8") for x in asked["words"]]
+        two = [_pairs_sent(x) for x in asked["pairs"]]
+        hashes, pairs = (np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (one, two))  # all blocks at once
+        found = np.zeros(len(hashes), np.int64)
+        if len(grams):
+            at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+            found = np.where(grams[at] == hashes, counts[at], 0)
+        level, levels = (filter_.levels(x, n).astype("u1") for n, x in ((1, hashes), (2, pairs)))
+        rows, i, j = [], 0, 0
+        for block, a, b in zip(asked["block"], one, two):
+            k, m = i + len(a), j + len(b)
+            rows.append((own, block, _count_bytes(found[i:k]) + level[i:k].tobytes(), levels[j:m].tobytes()))
+            i, j = k, m
+        return pd.DataFrame(rows, columns=["bucket", "block", "words", "pairs"])
+    return run
+
+
+def _learn_and_answer(buckets: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's part of the model, its answers to all blocks, and a row with its sums."""
+        own = int(group["bucket"].iloc[0])
+        asked = [_unpacked(x) for x in group["asked"]]
+        rows, sums = [], {"total": 0, "distinct": 0, "bits": 0, "filled": 0}
+        for n in (1, 2):
+            grams, counts = (np.concatenate(x) for x in zip(*(parts[n - 1] for parts in asked)))
+            seen = counts > 0
+            if not seen.any():
                 continue
-            hashes, n = np.frombuffer(one, "<u8"), len(two) // 6
-            pairs = (np.frombuffer(two, "<u4", n).astype(np.uint64)
-                     | np.frombuffer(two, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
-            found = np.zeros(len(hashes), np.int64)
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
-                found = np.where(grams[at] == hashes, counts[at], 0)
-            rows.append((own, block, _count_bytes(found) + filter_.levels(hashes, 1).astype("u1").tobytes(),
-                         filter_.levels(pairs, 2).astype("u1").tobytes(), docs))
-        return pd.DataFrame(rows, columns=["bucket", "block", "words", "pairs", "docs"])
+            made = _built(n, own, *_summed(grams[seen], counts[seen]))
+            rows.append((own, -n, made["exact"], made["segment"], made["bits"]))
+            sums |= {k: made[k] for k in (("total", "distinct") if n == 1 else ("bits", "filled"))}
+        for block, ((one, _), (two, _)) in zip(group["block"], asked):
+            high = (two >> np.uint64(32)).astype("<u2")
+            rows.append((own, block, one.tobytes(), two.astype("<u4").tobytes() + high.tobytes(), 0))
+        out = _answer(buckets)(pd.DataFrame(rows, columns=["bucket", "block", "words", "pairs", "bits"]))
+        out = out.assign(words=out["words"].map(_squeezed), pairs=out["pairs"].map(_squeezed), **dict.fromkeys(sums, 0))
+        return pd.concat([out, pd.DataFrame([{"bucket": own, "block": -1, "words": None, "pairs": None, **sums}])])
     return run
 
 
 def _finish_asked(total: int, distinct: int, false_rate: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bucket")  # so the answers are in the order of the hashes
-        (own,) = (x for x in group["docs"] if x is not None)
-        n, size = np.frombuffer(own, "<u4", 2).tolist()
-        grams, place = np.frombuffer(own, "<u8", n, 8), np.frombuffer(own, "<u4", size, 8 + 8 * n)
-        table = np.frombuffer(own, _DOC, -1, 8 + 8 * n + 4 * size).copy()
-        exact = [(x, *_counts(x)) for x in group["words"]]
+        (own,) = (x for x in group["own"] if x is not None)
+        grams, place, table = _opened(own)
+        group = group[group["own"].isna()].sort_values("bucket")  # so the answers are in the order of the hashes
+        exact = [(x, *_counts(x)) for x in group["words"].map(_whole)]
         counts = np.concatenate([counts for _, counts, _ in exact])
         level = np.concatenate([np.frombuffer(x, "u1", -1, end) for x, _, end in exact])
-        levels = np.concatenate([np.frombuffer(x, "u1") for x in group["pairs"]])
+        levels = np.concatenate([np.frombuffer(_whole(x), "u1") for x in group["pairs"]])
         _, pair = np.unique(_pairs(grams[place]), return_inverse=True)
         norm, lengths = total + ADDED * (distinct + 1), table["tokens"]
         begin = np.cumsum(lengths) - lengths
@@ -422,7 +524,7 @@ def _held_out(docs: DataFrame) -> DataFrame:
                        (F.crc32(number.cast("binary")) % 10 == 0).alias("held_out"))
 
 
-def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> DataFrame:
+def score_texts(docs: DataFrame, filter_bytes: int = 0, frequent: int = FREQUENT) -> DataFrame:
     """Score whole texts by a model learned from the documents that are not held out.
 
     Returns one row per input row: doc_id, held_out, n_tokens (words and one end), n_known, train_tokens,
@@ -431,10 +533,29 @@ def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int
     empty: its only token is the end. A null doc_id counts as the empty string, so it is held out.
     Repeated rows are learned from as often as they occur. With nothing to learn from, counts are 0.
     Other columns are left out. Words are told apart by 64-bit hashes, pairs by 48 bits.
+    A filter of ``filter_bytes`` at most is sent to all workers, together with ``frequent`` exact counts.
     """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _held_out(docs)
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = _score_by_sent_filter(texts, buckets, filter_bytes, frequent) if filter_bytes else None
+    if scored is not None:
+        return scored
+    blocks = words.stored(texts.mapInArrow(_tokenized, _BLOCKS), "lm-blocks", maxRecordsPerFile=FILE)
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    buckets = max(buckets, tokens // BUCKET)
+    answers = words.stored(
+        blocks.select("block", "own").mapInArrow(_ask(buckets), _ASKED)
+        .groupBy("bucket").applyInPandas(_learn_and_answer(buckets), _ANSWERS), "lm-answers")
+    sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct", "bits", "filled"))).first()
+    false_rate = (sums["filled"] / sums["bits"]) ** PROBES if sums["bits"] else 0.0
+    return (answers.where("block >= 0").select("block", "bucket", "words", "pairs")
+            .unionByName(blocks.select("block", "own"), allowMissingColumns=True)
+            .groupBy("block").applyInPandas(_finish_asked(sums["total"], sums["distinct"], false_rate), _RESULT))
+
+
+def _score_by_sent_filter(texts: DataFrame, buckets: int, filter_bytes: int, frequent: int) -> DataFrame | None:
+    """Scores by a filter that all workers hold; none if it is larger than ``filter_bytes``."""
+    spark = texts.sparkSession
     learned = words.stored(
         texts.where("NOT held_out").select("text").mapInArrow(_count(buckets), _COUNTS)
         .groupBy("n", "bucket").applyInPandas(
@@ -442,15 +563,9 @@ def score_texts(docs: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int
             "n int, bucket int, distinct long, total long, bits long, filled long, segment binary, exact binary"), "lm")
     sums = learned.where("n = 1").agg(F.sum("total").alias("t"), F.sum("distinct").alias("d")).first()
     total, distinct = int(sums["t"] or 0), int(sums["d"] or 0)
-    built = learned.agg(F.sum(F.length("segment")).alias("size"), F.expr("sum(bits) FILTER (WHERE n = 2)").alias("bits"),
-                        F.expr("sum(filled) FILTER (WHERE n = 2)").alias("filled")).first()
-    if (built["size"] or 0) > filter_bytes:
-        false_rate = (built["filled"] / built["bits"]) ** PROBES
-        model = learned.select("bucket", (-F.col("n")).cast("long").alias("block"), F.col("exact").alias("words"),
-                               F.col("segment").alias("pairs"), "bits", F.lit(None).cast("binary").alias("docs"))
-        return (texts.mapInArrow(_ask(buckets), _ASKED).unionByName(model).groupBy("bucket")
-                .applyInPandas(_answer(buckets), "bucket int, block long, words binary, pairs binary, docs binary")
-                .groupBy("block").applyInPandas(_finish_asked(total, distinct, false_rate), _RESULT))
+    size = learned.agg(F.sum(F.length("segment"))).first()[0] or 0
+    if size > filter_bytes:
+        return None
     segments = learned.select("n", "bucket", "bits", "filled", "segment").collect()  # filter_bytes at most
     model = spark.sparkContext.broadcast(Filter(segments, buckets))
 

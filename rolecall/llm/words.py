@@ -30,10 +30,10 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write a table into the shared folder and read it back: it cuts lineage, survives lost
     executors, and tells the planner its true size."""
-    return stored_in(df, new_folder(df.sparkSession, name))
+    return stored_in(df, new_folder(df.sparkSession, name), **options)
 
 
 def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
@@ -44,8 +44,8 @@ def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def stored_in(df: DataFrame, folder: str) -> DataFrame:
-    df.write.parquet(folder)
+def stored_in(df: DataFrame, folder: str, **options) -> DataFrame:
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
