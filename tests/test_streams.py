@@ -3,6 +3,7 @@
 import datetime
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -347,3 +348,60 @@ def test_a_publication_that_ends_between_two_parts_is_taken_up_again(rows, spark
     table._publish(spark, pending, parts)  # as after a restart: parts that were moved are not taken for empty ones
     got = {r.id: r.v for r in table.read(spark).collect()}
     assert got == {i: r.v + 1 for i, r in start.items() if i % 2 == 0}
+
+
+# ---- large parts one after another
+
+def shuffle_files(spark):
+    """Names of the shuffle files that lie on disk now."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+
+def left_over(spark, before):
+    """Shuffle files that came since and stay; they are deleted in the background."""
+    for _ in range(50):
+        new = shuffle_files(spark) - before
+        if not new:
+            break
+        time.sleep(0.1)
+    return new
+
+
+def test_large_parts_are_merged_one_after_another(rows, spark, tmp_path, monkeypatch):
+    start, table = keyed(rows, tmp_path, n=40, parts=4)
+    batch = rows("ord int, id bigint, k string, v int", *[(i, 900 + i, f"k{i}", -i) for i in range(30, 60)]).withColumn(
+        "none", F.lit(None))
+    seen = []
+
+    def fold(old, new):
+        assert dict(new.dtypes)["none"] == "void"
+        seen.append((table.touched(old), table.touched(new)))
+        return upsert(old, new)
+
+    monkeypatch.setattr("rolecall.sources.keyed.AT_ONCE", 0)
+    assert table.merge(batch, fold) == [0, 1, 2, 3]
+    assert [new for _, new in seen] == [[0], [1], [2], [3]] and all(old in ([], new) for old, new in seen)
+    assert sorted(table.read(spark).collect()) == sorted(upsert(start, batch).collect())
+    assert not [n for n in os.listdir(tmp_path) if os.path.exists(f"{tmp_path}/{n}/_SUCCESS") and n != "table"]
+
+
+def test_a_table_made_of_large_parts_is_filed_without_a_shuffle(rows, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("rolecall.sources.keyed.AT_ONCE", 0)
+    before = shuffle_files(spark)
+    start, table = keyed(rows, tmp_path, parts=4)
+    assert sorted(table.read(spark).collect()) == sorted(start.collect())
+    assert {part_of(f) for f in files(table.folder)} == {0, 1, 2, 3}
+    assert not left_over(spark, before)
+
+
+def test_a_merge_leaves_no_shuffle_files(rows, spark, tmp_path):
+    before = shuffle_files(spark)
+    _, table = keyed(rows, tmp_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # what large inputs meet
+    try:
+        table.merge(rows("ord int, id bigint, k string, v int", *[(i, i, f"k{i}", -i) for i in range(50)]), upsert)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not left_over(spark, before)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
