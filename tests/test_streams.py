@@ -405,3 +405,18 @@ def test_a_merge_leaves_no_shuffle_files(rows, spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not left_over(spark, before)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_posting_stream_closes_out_by_the_whole_batch(rows, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("rolecall.sources.keyed.AT_ONCE", 0)
+    start = rows(POSTING, *[stored(i, None, f"h{i}", company=i) for i in range(1, 9)])
+    batch = rows(BATCH, *[fresh(i, None, f"n{i}", run=i, company=i) for i in range(1, 9)])
+    put([batch], f"{tmp_path}/in")
+    # only the companies of the last run of the batch count, which a part may not hold
+    safe = lambda b: b.select("company_id").distinct().crossJoin(b.agg(F.max("crawl_run_id").alias("crawl_run_id")))
+    table = KeyedTable(f"{tmp_path}/out", ("company_id",), start.schema, 4).create(start)
+    posting_stream(stream(spark, batch.schema, f"{tmp_path}/in"), table, f"{tmp_path}/offsets", safe).awaitTermination()
+    want = merges.close_out_postings(merges.merge_postings(start, batch), safe(batch))
+    got = table.read(spark).select(*start.columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want.collect()))
+    assert {r.content_hash for r in got if r.is_active} == {"n8"}
