@@ -420,3 +420,20 @@ def test_posting_stream_closes_out_by_the_whole_batch(rows, spark, tmp_path, mon
     got = table.read(spark).select(*start.columns).collect()
     assert sorted(map(str, got)) == sorted(map(str, want.collect()))
     assert {r.content_hash for r in got if r.is_active} == {"n8"}
+
+
+def test_a_posting_merge_in_parts_equals_one_plan(rows, spark, monkeypatch):
+    monkeypatch.setattr("rolecall.sources.keyed.AT_ONCE", 0)
+    draw = random.Random(3)
+    target = rows(POSTING, *[stored(i, draw.choice(["A", "B", " ", None]), f"h{i}", company=draw.choice([1, 2, 3, 4, None]))
+                             for i in range(60)])
+    batch = rows(BATCH, *[fresh(i, draw.choice(["A", "B", " ", None]), f"h{draw.randrange(90)}",
+                                company=draw.choice([1, 2, 3, 5, None])) for i in range(40)])
+    before = shuffle_files(spark)
+    got = merges.merge_postings(target, batch, parts=4)
+    assert not left_over(spark, before)
+    want = merges.merge_postings(target, batch)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    none = merges.merge_postings(target.limit(0), batch.limit(0), parts=4)
+    assert none.columns == target.columns and none.count() == 0
